@@ -7,6 +7,7 @@ Larger sets (``MAX_UNROLLED``) have to use the join form in ``operators.artifact
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -15,13 +16,16 @@ from pyspark.sql import functions as F
 from provlake import vocab
 
 MAX_UNROLLED = 256
-#: Unicode classes and case folding, and only \n as a line end.
-IGNORE_CASE, CASE_SENSITIVE = "(?iUd)", "(?Ud)"
+#: Unicode classes, and only \n as a line end.
+CASE_SENSITIVE = "(?Ud)"
 NO_STRINGS = "array<string>"
+_CLASSES = re.compile(r"\\[wWbBsSdD]")
 
 
 def search(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return text.rlike((IGNORE_CASE if ignore_case else CASE_SENSITIVE) + pattern)
+    """Find ``pattern``; Unicode classes are only switched on where the pattern uses a class."""
+    fold = "iu" if ignore_case else ""
+    return text.rlike(f"(?{fold}{'U' if _CLASSES.search(pattern) else ''}d){pattern}")
 
 
 def check_size(rules: Iterable) -> list:

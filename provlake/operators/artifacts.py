@@ -13,30 +13,51 @@ from provlake.vocab import Rule
 
 
 # ── C-01 ────────────────────────────────────────────────────────────────────────────────────
-def matched_labels(matched: Column, rules: list[Rule]) -> Column:
-    """Joined labels of the matched rule ids; no match is ``{public}``."""
-    rank = F.lit(0)
-    for r in rules:
-        own = max([vocab.SENSITIVITY.index(x) for x in r.labels if x in vocab.SENSITIVITY] or [0])
-        if own:
-            rank = F.greatest(rank, F.when(F.array_contains(matched, r.id), own).otherwise(0))
-    flags = sorted({x for r in rules for x in r.labels if x not in vocab.SENSITIVITY})
-    found = strings(*[
-        F.when(F.arrays_overlap(matched, F.array(*[F.lit(r.id) for r in rules if f in r.labels])),
-               F.lit(f)) for f in flags])
-    return L.from_parts(rank, found)
+def _any_of(path: Column, rules: list[Rule]) -> Column:
+    """Does any of these rules match?  One alternation, so one pass over the text."""
+    if not rules:
+        return F.lit(False)
+    return F.coalesce(search(path, "|".join(f"(?:{r.pattern})" for r in rules), True),
+                      F.lit(False))
+
+
+def _rank(rule: Rule) -> int:
+    return max([vocab.SENSITIVITY.index(x) for x in rule.labels if x in vocab.SENSITIVITY] or [0])
+
+
+def _flags(rule: Rule) -> list[str]:
+    return [x for x in rule.labels if x not in vocab.SENSITIVITY]
+
+
+def path_labels(path: Column, rules: list[Rule]) -> Column:
+    """Joined labels of all matching rules; no match is ``{public}``."""
+    name = F.when(_any_of(path, [r for r in rules if _rank(r) == 3]), F.lit("restricted"))
+    for n in (2, 1):
+        name = name.when(_any_of(path, [r for r in rules if _rank(r) == n]),
+                         F.lit(vocab.SENSITIVITY[n]))
+    flags = sorted({x for r in rules for x in _flags(r)})
+    found = F.array_sort(strings(name.otherwise("public"), *[
+        F.when(_any_of(path, [r for r in rules if f in _flags(r)]), F.lit(f)) for f in flags]))
+    # Most paths match nothing: one search decides that.
+    return F.when(_any_of(path, rules), found).otherwise(F.array(F.lit("public")))
+
+
+def path_classified(path: Column, rules: list[Rule]) -> Column:
+    """Is the joined label set classified?  Kept free of the label set: filters on it are pushed
+    below the projection, and this form costs one search there."""
+    return _any_of(path, [r for r in rules if _rank(r) >= L.CONFIDENTIAL or _flags(r)])
 
 
 def classify(df: DataFrame, path: str = "path", rules: list[Rule] | None = None,
              prefix: str = "") -> DataFrame:
     """C-01: every matching rule contributes; adds labels, matched_rules, sources, classified."""
     rules = check_size(rules or vocab.classify_rules())
-    m = F.col(f"{prefix}matched_rules")
-    return (df.withColumn(f"{prefix}matched_rules", matching(F.col(path), rules))
-            .withColumn(f"{prefix}labels", matched_labels(m, rules))
-            .withColumn(f"{prefix}sources",
-                        F.transform(m, lambda x: F.concat(F.lit("rules/classify.yaml#"), x)))
-            .withColumn(f"{prefix}classified", L.is_classified(F.col(f"{prefix}labels"))))
+    p = F.col(path)
+    return df.withColumns({
+        f"{prefix}matched_rules": matching(p, rules),
+        f"{prefix}sources": matching(p, rules, lambda r: F.lit(f"rules/classify.yaml#{r.id}")),
+        f"{prefix}labels": path_labels(p, rules),
+        f"{prefix}classified": path_classified(p, rules)})
 
 
 def classify_by_table(df: DataFrame, rules: DataFrame, key: list[str],
@@ -57,12 +78,11 @@ def classify_by_table(df: DataFrame, rules: DataFrame, key: list[str],
 def egress(df: DataFrame, command: str = "command", rules: list[Rule] | None = None) -> DataFrame:
     """C-02: outbound command shapes; adds egress_rules, egress_reasons, is_egress."""
     rules = check_size(rules or vocab.EGRESS_RULES)
-    ids = F.col("egress_rules")
-    return (df.withColumn("egress_rules", F.coalesce(
-                matching(F.col(command), rules), F.array().cast("array<string>")))
-            .withColumn("egress_reasons", strings(*[
-                F.when(F.array_contains(ids, r.id), F.lit(r.reason)) for r in rules]))
-            .withColumn("is_egress", F.size(ids) > 0))
+    cmd = F.col(command)
+    return df.withColumns({
+        "egress_rules": matching(cmd, rules),
+        "egress_reasons": matching(cmd, rules, lambda r: F.lit(r.reason)),
+        "is_egress": _any_of(cmd, rules)})
 
 
 # ── C-03 ────────────────────────────────────────────────────────────────────────────────────
@@ -88,20 +108,20 @@ def with_aliases(paths: DataFrame, aliases: DataFrame | None = None,
         canonical = F.coalesce(F.col("_alias"), T.lexical_path(F.col("path")))
     else:
         canonical = T.lexical_path(F.col("path"))
+    rules = check_size(rules or vocab.classify_rules())
     df = paths.withColumn("canonical_path", canonical).drop("_alias")
-    df = classify(classify(df, "path", rules, "_g_"), "canonical_path", rules, "_c_")
-    moved = F.col("canonical_path") != F.col("path")
-
-    def union(name: str) -> Column:
-        g, c = F.col(f"_g_{name}"), F.col(f"_c_{name}")
-        return F.when(moved, F.array_union(g, c)).otherwise(g)
-
-    return (df.withColumn("labels", F.array_sort(union("labels")))
-            .withColumn("matched_rules", union("matched_rules"))
-            .withColumn("alias_finding", moved & F.col("_c_classified") & ~F.col("_g_classified"))
-            .withColumn("classified", L.is_classified(F.col("labels")))
-            .drop(*[f"_{s}_{n}" for s in "gc"
-                    for n in ("labels", "matched_rules", "sources", "classified")]))
+    given, real = F.col("path"), F.col("canonical_path")
+    moved = given != real
+
+    def union(of) -> Column:
+        return F.when(moved, F.array_union(of(given, rules), of(real, rules))).otherwise(
+            of(given, rules))
+
+    return df.withColumns({
+        "labels": F.array_sort(union(path_labels)),
+        "matched_rules": union(matching),
+        "classified": path_classified(given, rules) | (moved & path_classified(real, rules)),
+        "alias_finding": moved & path_classified(real, rules) & ~path_classified(given, rules)})
 
 
 def worst_input(paths: DataFrame, key: list[str]) -> DataFrame:

@@ -47,10 +47,9 @@ def _quoted(value: str) -> str:
 
 
 def _call(d: Dialect) -> str:
-    k = "cast(regexp_extract(props, '[0-9]+', 0) AS int)"
-    ks = "regexp_extract(props, '[0-9]+', 0)"
-    path = f"""CASE {k} % 10
-        WHEN 0 THEN concat('/home/u', cast({k} AS string), '/.ssh/id_rsa')
+    k, ks, path = "k", "ks", "path"
+    case = f"""CASE k % 10
+        WHEN 0 THEN concat('/home/u', ks, '/.ssh/id_rsa')
         WHEN 1 THEN concat('/repo/src/m', {ks}, '.py')
         WHEN 2 THEN concat('/data/customers_', {ks}, '.csv')
         WHEN 3 THEN concat('/exports/dump_', {ks}, '.sql')
@@ -61,13 +60,13 @@ def _call(d: Dialect) -> str:
     SELECT event_id AS seq, event_id, user_id, ts, {d.iso('ts')} AS at, event_type, value,
         concat('L', cast(user_id % 8 AS string)) AS ledger_id,
         concat('s', cast(user_id AS string)) AS session_id,
-        {k} AS k,
+        k,
         CASE event_type WHEN 'view' THEN 'artifact.read'
             WHEN 'click' THEN CASE WHEN {k} % 3 = 0 THEN 'artifact.derive' ELSE 'artifact.write' END
             WHEN 'purchase' THEN 'artifact.egress' WHEN 'error' THEN 'tool.result'
             ELSE CASE WHEN {k} % 10 < 3 THEN 'custody.declassify' ELSE 'custody.checkpoint' END
             END AS op,
-        {path} AS path,
+        path,
         concat('art_', substr({d.sha(f"concat('sg-artifact-v1:', {path})")}, 1, 16)) AS artifact_id,
         concat('/out/report_', {ks}, '.txt') AS out_path,
         concat('art_', substr({d.sha(f"concat('sg-artifact-v1:', concat('/out/report_', {ks}, '.txt'))")}, 1, 16)) AS out_id,
@@ -94,7 +93,9 @@ def _call(d: Dialect) -> str:
         CASE user_id % 3 WHEN 0 THEN 'observe' WHEN 1 THEN 'steer' ELSE 'bar' END AS posture,
         CASE event_id % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'acceptEdits'
             WHEN 2 THEN 'bypassPermissions' ELSE 'plan' END AS permission_mode
-    FROM {d.table('events')}"""
+    FROM (SELECT *, {case} AS path FROM (
+        SELECT *, regexp_extract(props, '[0-9]+', 0) AS ks,
+            cast(regexp_extract(props, '[0-9]+', 0) AS int) AS k FROM {d.table('events')}))"""
 
 
 #: Paths of the custody predicate, in the order used to plant gaps.
