@@ -22,7 +22,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     none = F.array().cast(_REFS)
     op = F.col("op")
     return c.select(
-        "ledger_id", "session_id", "seq", "op", "outcome", "action_id", "at", "k", "tool",
+        "ledger_id", "session_id", "seq", "op", "outcome", "action_id", F.col("at_iso").alias("at"), "k", "tool",
         "artifact_id",
         F.when(op.isin("artifact.read", "artifact.derive", "artifact.egress", "tool.result"),
                F.array(own)).otherwise(none).cast(_REFS).alias("used"),

@@ -57,7 +57,7 @@ def _call(d: Dialect) -> str:
         WHEN 5 THEN concat('/cfg/api_keys_', {ks}, '.txt')
         ELSE concat('/notes/n', {ks}, '.md') END"""
     return f"""
-    SELECT event_id AS seq, event_id, user_id, ts, {d.iso('ts')} AS at, event_type, value,
+    SELECT event_id AS seq, event_id, user_id, ts, {d.iso('ts')} AS at_iso, event_type, value,
         concat('L', cast(user_id % 8 AS string)) AS ledger_id,
         concat('s', cast(user_id AS string)) AS session_id,
         k,
@@ -114,8 +114,8 @@ def _predicate(d: Dialect) -> str:
     body = _object(
         _member("record", _object(
             _member("id", _quoted("concat('r', cast(event_id AS string))"), gap("record.id")),
-            _member("at", "CASE WHEN event_id % 199 = 5 THEN 'null' ELSE " + _quoted("at") + " END"),
-            _member("recorded_at", _quoted("at"), gap("record.recorded_at")))),
+            _member("at", "CASE WHEN event_id % 199 = 5 THEN 'null' ELSE " + _quoted("at_iso") + " END"),
+            _member("recorded_at", _quoted("at_iso"), gap("record.recorded_at")))),
         _member("actor", _object(
             _member("agent_id", _quoted("concat('agent-', cast(user_id % 50 AS string))"),
                     gap("actor.agent_id")),
@@ -182,7 +182,7 @@ def _event(d: Dialect) -> str:
         _member("actor", _quoted("concat('agent-', cast(user_id % 50 AS string))"),
                 "event_id % 401 = 9"),
         _member("alterations", "'[]'", "event_id % 409 = 11"),
-        _member("at", _quoted("at")),
+        _member("at", _quoted("at_iso")),
         _member("detail", _quoted("concat('k=', cast(k AS string))")),
         _member("known_gaps", "CASE WHEN event_id % 419 = 13 THEN '\"none\"' ELSE '[]' END"),
         _member("op", _quoted("op")),

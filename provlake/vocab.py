@@ -278,7 +278,6 @@ FILESET_SENSITIVITY = (
     (r"credentials|secrets\.json|\.npmrc$|\.pypirc$", "high", "stored credentials/tokens"),
     (r"(^|/)\.git/", "medium", "repo internals, not typically hand-edited"),
 )
-SENSITIVITY_BUMP = {"high": 15, "medium": 5}
 UNMATCHED_REASON = "no seed rule matched"
 RISK_TARGET_PATTERN = r"((?:/[A-Za-z0-9_.~-]+)+)"
 RISK_MARKER = r"# *risk-ok"
