@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake import vocab
@@ -93,3 +93,13 @@ def mentioned_paths(tool: Column, command: Column, path_args: list[Column],
 def python_repr(value: Column) -> Column:
     """How a plain string is quoted in a finding."""
     return F.concat(F.lit("'"), value, F.lit("'"))
+
+
+def unnest(df: DataFrame, array: Column, keep: list, name: str, pos: str = "_pos") -> DataFrame:
+    """One row per array element.
+
+    The plain generator makes the optimizer test the array's size below the projection, which
+    evaluates a computed array twice or more; the outer form does not.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).where(
+        F.col(pos).isNotNull())

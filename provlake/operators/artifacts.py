@@ -91,7 +91,7 @@ def mentions(calls: DataFrame, key: list[str], tool: str = "tool", command: str
     """C-03: one row per path a call touches: (key..., pos, path)."""
     found = T.mentioned_paths(F.col(tool), F.col(command), [F.col(c) for c in path_args],
                               [F.col(c) for c in list_args])
-    return calls.select(*key, F.posexplode(found).alias("pos", "path"))
+    return T.unnest(calls, found, key, "path", "pos")
 
 
 # ── C-04 ────────────────────────────────────────────────────────────────────────────────────

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from provlake.functions import labels as L
 from provlake.functions.ordered import CHUNK_ROWS, first_per_key, running
+from provlake.functions.text import unnest
 
 REF = "array<struct<artifact_id:string,path:string,digest:string,labels:array<string>>>"
 DERIVED = "array<struct<generated:string,source:string,via:string>>"
@@ -61,7 +62,7 @@ def touched_refs() -> Column:
 
 def touches(effects: DataFrame) -> DataFrame:
     """One row per touch: session_id, seq, ord, artifact_id, path, digest, labels, classified."""
-    return (effects.select("session_id", "seq", F.posexplode(touched_refs()).alias("ord", "_r"))
+    return (unnest(effects, touched_refs(), ["session_id", "seq"], "_r", "ord")
             .select("session_id", "seq", "ord", "_r.*")
             .withColumn("classified", L.is_classified(F.col("labels"))))
 

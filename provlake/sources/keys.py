@@ -17,8 +17,13 @@ class KeySource:
     keyid: str
     path: str | None = None
     env: str | None = None
+    shipped: str | None = None  # name of a file distributed with ``SparkContext.addFile``
 
     def read(self) -> bytes:
+        if self.shipped:
+            from pyspark import SparkFiles
+            with open(SparkFiles.get(self.shipped), "rb") as fh:
+                return fh.read().strip()
         if self.path:
             with open(self.path, "rb") as fh:
                 return fh.read().strip()

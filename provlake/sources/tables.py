@@ -155,7 +155,12 @@ def _predicate(d: Dialect) -> str:
         _member("resources", _object(
             _member("used", "CASE WHEN event_id % 193 = 11 THEN '[]' ELSE concat('[{\"artifact_id\":', "
                     + _quoted("artifact_id") + ", ',\"path\":', " + _quoted("path") + ", '}]') END",
-                    gap("resources.used")))),
+                    gap("resources.used")),
+            _member("generated", "concat('[{\"artifact_id\":\"', out_id, '\",\"path\":\"', "
+                    "out_path, '\",\"digest\":\"sha256:', substr(out_id, 5), '\"}]')",
+                    "op <> 'artifact.derive'"),
+            _member("derived_from", "concat('[{\"generated\":\"', out_id, '\",\"source\":\"', "
+                    "artifact_id, '\",\"via\":\"w\"}]')", "op <> 'artifact.derive'"))),
         _member("lifecycle", _object(
             _member("session_id", _quoted("session_id")),
             _member("prompt_id", _quoted("concat('pr', cast(k AS string))"),
