@@ -9,16 +9,20 @@ per-row views of ``events``, ``conversations``, ``documents``, ``pages``, ``part
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Dialect:
-    def __init__(self, engine: str, sf_dir: str | None = None):
-        self.engine, self.sf_dir = engine, sf_dir
+    def __init__(self, engine: str, sf_dir: str | None = None,
+                 views: dict[str, str] | None = None):
+        self.engine, self.sf_dir, self.views = engine, sf_dir, views or {}
 
     def table(self, name: str) -> str:
+        if name in self.views:
+            return self.views[name]
         return f"parquet.`{self.sf_dir}/{name}.parquet`" if self.engine == "spark" else name
 
     def sha(self, x: str) -> str:
@@ -340,6 +344,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {_with(d, [name])} SELECT * FROM {name}")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str, table_name: str) -> DataFrame:
+    """A projection over a file stream of one given table."""
+    schema = spark.read.parquet(f"{sf_dir}/{table_name}.parquet").schema
+    source = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table_name}.parquet")
+              .parquet(sf_dir))
+    alias = f"stream_{table_name}_{uuid.uuid4().hex}"
+    source.createOrReplaceTempView(alias)
+    d = Dialect("spark", sf_dir, {table_name: alias})
+    return spark.sql(f"WITH {_with(d, [name])} SELECT * FROM {name}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
