@@ -35,6 +35,7 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - t0, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total wall time of the headline queries",
                       "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
                       "sf": os.path.basename(sf.rstrip("/"))}))

@@ -46,6 +46,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/provlake/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that yields fewer partitions than cores one partition per core.
+
+    A large table already has more partitions than that and is returned as it is, without a
+    shuffle; only small inputs (one row group) are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (executors may be lost) and forget how it was made."""
     spark = df.sparkSession

@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provlake.session import spread
+
 
 class Dialect:
     def __init__(self, engine: str, sf_dir: str | None = None,
@@ -340,8 +342,16 @@ def _with(d: Dialect, names: list[str]) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    d = Dialect("spark", sf_dir)
-    return spark.sql(f"WITH {_with(d, [name])} SELECT * FROM {name}")
+    probe = _with(Dialect("spark", sf_dir), [name])
+    views = {}
+    for base in sorted(set(re.findall(rf"parquet\.`{re.escape(sf_dir)}/(\w+)\.parquet`", probe))):
+        views[base] = f"given_{base}_{uuid.uuid4().hex}"
+        table(spark, sf_dir, base).createOrReplaceTempView(views[base])
+    d = Dialect("spark", sf_dir, views)
+    out = spark.sql(f"WITH {_with(d, [name])} SELECT * FROM {name}")
+    for v in views.values():
+        spark.catalog.dropTempView(v)
+    return out
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, table_name: str) -> DataFrame:
@@ -356,7 +366,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str, table_name: str) -> Data
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def duck(names: list[str], sql: str, extra: str = "", recursive: bool = False) -> str:
