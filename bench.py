@@ -10,12 +10,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "c_01_classify_paths", "c_03_mentions", "c_04_worst_input", "c_07_manifest_diff",
-    "c_09_disclosure", "t_01_label_join", "t_03_effects", "t_04_rollup", "t_06_running_state",
-    "p_02_decision", "p_06_replay", "k_01_risk_score", "k_04_frequency_guard", "k_06_candidates",
-    "l_01_scan", "l_02_verify", "l_04_append", "v_02_tier_a", "r_01_reconcile", "r_03_alert_classes",
-    "e_07_claim_status", "q_02_regime_rollup", "q_05_answers", "x_02_prov_relations", "x_04_spans",
-    "m_01_call_sites", "st_05_frequency_guard", "st_07_ledger_sink",
+    "c_01_classify_paths", "c_04_worst_input", "c_07_manifest_diff", "c_09_disclosure",
+    "t_01_label_join", "t_03_effects", "t_04_rollup", "t_06_running_state", "p_02_decision",
+    "p_06_replay", "k_01_risk_score", "k_04_frequency_guard", "l_02_verify", "l_04_append",
+    "v_02_tier_a", "r_01_reconcile", "r_03_alert_classes", "e_07_claim_status",
+    "q_02_regime_rollup", "q_05_answers", "x_02_prov_relations", "x_04_spans", "m_01_call_sites",
+    "st_05_frequency_guard",
 )
 
 
@@ -35,7 +35,6 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - t0, 3)
-        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total wall time of the headline queries",
                       "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
                       "sf": os.path.basename(sf.rstrip("/"))}))

@@ -7,7 +7,7 @@ from provlake.operators import integrity as G
 from provlake.operators import reconcile as R
 from provlake.operators import validate as V
 from provlake.plans.registry import query
-from provlake.session import scratch_path
+from provlake.session import cut_lineage, scratch_path
 from provlake.sources import ledger as S
 from provlake.sources.tables import duck, view
 
@@ -32,7 +32,8 @@ def chain(spark, sf):
     """All events chained per ledger."""
     ev = view(spark, sf, "fx_event").select("ledger_id", F.col("event_id").alias("ord"), "event")
     accepted, _ = S.admit(ev)
-    return S.append(accepted)
+    # Built once, read by both sides of the verification.
+    return cut_lineage(S.append(accepted))
 
 
 def intact(spark, sf):
