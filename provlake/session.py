@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,25 @@ def build_session(app: str = "provlake", master: str | None = None,
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once a session, so that they need no path of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_provlake_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # it already runs from a shipped archive
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="provlake-ship-"), "provlake.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    sc._provlake_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
