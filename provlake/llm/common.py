@@ -121,3 +121,25 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def gapless(rows: DataFrame, group: list[str], order: list[str], name: str, chunks: int = 1024,
+            across: bool = False) -> DataFrame:
+    """``rows`` with a number from 0 without gaps in each group (or ``across`` all groups).
+
+    Rows are dealt by a hash of the order columns into chunks, numbered in their chunk, and each
+    chunk is moved by the rows before it. For few groups only: the offsets (groups x chunks rows)
+    are broadcast. ``rows`` is used twice and should be cheap to compute again.
+    """
+    from pyspark.sql import Window as W
+
+    c = fresh("_chunk", rows.columns)
+    off = fresh("_offset", rows.columns)
+    dealt = rows.withColumn(c, F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    counts = dealt.groupBy(*group, c).agg(F.count(F.lit(1)).alias("_n"))
+    over = (W.orderBy(*group, c) if across else W.partitionBy(*group).orderBy(c)).rowsBetween(
+        W.unboundedPreceding, -1)
+    offsets = counts.select(*group, c, F.coalesce(F.sum("_n").over(over), F.lit(0)).alias(off))
+    in_chunk = F.row_number().over(W.partitionBy(*group, c).orderBy(*order))
+    return (dealt.join(F.broadcast(offsets), [*group, c])
+            .withColumn(name, (F.col(off) + in_chunk - 1).cast("long")).drop(c, off))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm import quality
+from provlake.llm import chat, mixing, packing, quality, sharding
 from provlake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,51 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "quality.score",
         (F.col("quality.score") >= quality.THRESHOLD).cast("int").alias("predicted"),
         "quality.difference")
+
+
+#: The conversation that the query adds to those of the table.
+ADDED_ROLES, ADDED_TEXT = ("user", "assistant"), "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op2_chat", f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{ADDED_TEXT}'), (-1, 1, 'assistant', '{ADDED_TEXT}')),
+t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (
+  SELECT *, length('<|im_start|>') + 1 + length('<|im_end|>') + 1
+    + length(regexp_replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '<(\\\\*)\\|', '<\\1\\\\|', 'g'))
+    + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) AS f
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  cast(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  cast(sum(f) AS bigint) AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, n, r, ADDED_TEXT) for n, r in enumerate(ADDED_ROLES)],
+                                  "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.render(chat.fold(chat.log_of_turns(turns.unionByName(added)))))
+
+
+@query("op4_sharding")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.draws(docs, mixing.plan(docs)).select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target",
+        (F.col("mix.size") * F.size("mix.draws")).alias("taken"),
+        F.col("mix.draws.shard").alias("shards"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                        public_tokenizers.path("byte_bpe_50k.json"))
