@@ -20,6 +20,21 @@ FOLDS = 5
 SAMPLE_PER_CLASS = 2000
 
 
+class WordIndex(dict):
+    """Word -> row of a table that grows; a new word gets a row and waits to be looked into."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting: list[str] = []
+        self.chars = 0
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.waiting.append(word)
+        self.chars += len(word)
+        return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

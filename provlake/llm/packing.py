@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from provlake.llm.common import gapless
+from provlake.llm.common import WordIndex, gapless
 from provlake.session import cut_lineage
 
 LONGEST = 2048
@@ -33,21 +33,6 @@ REMEMBERED_CHARS = 48_000_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)|\x85 | \x85")
 
 
-class _Index(dict):
-    """Word -> row of the token table; unknown words get a row and wait to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.waiting: list[str] = []
-        self.chars = 0
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.waiting.append(word)
-        self.chars += len(word)
-        return n
-
-
 class WordCache:
     """Token ids of texts, encoding each distinct word once.
 
@@ -62,7 +47,7 @@ class WordCache:
         self._forget()
 
     def _forget(self) -> None:
-        self.words = {"": _Index(), " ": _Index()}
+        self.words = {"": WordIndex(), " ": WordIndex()}
         self.tokens = {k: (array("q", [0]), array("I")) for k in self.words}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
