@@ -10,6 +10,7 @@ documents of their own. Only the columns named are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,17 +34,51 @@ REMEMBERED_CHARS = 48_000_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)|\x85 | \x85")
 
 
+#: Fixed value: how byte-level tokenizers split text before they merge.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is
+    visible Latin-1, else the next free code point from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _fast(path: str):
+    """tiktoken over the file's own vocabulary, or None where its merges do not follow its ids.
+
+    It gives the ids that ``tokenizers`` gives, in a tenth of the time for single words.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    vocab, merges = whole["model"]["vocab"], whole["model"]["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+        return None
+    special = {t["content"] for t in whole["added_tokens"]}
+    byte = _letters()
+    ranks = {bytes(byte[c] for c in k): v for k, v in vocab.items() if k not in special}
+    return tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}), special
+
+
 class WordCache:
     """Token ids of texts, encoding each distinct word once.
 
     The tokenizer splits text before it merges, and a space before a visible character always
     begins a part of its own. So a text is cut at such spaces and the parts' ids are joined.
+    Texts with a special token, or with spaces where a cut would not be safe, are encoded as they
+    are by the tokenizer itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.fast, self.special = _fast(path) or (None, ())
         self._forget()
 
     def _forget(self) -> None:
@@ -55,7 +90,8 @@ class WordCache:
 
     def _learn(self, lead: str) -> tuple[np.ndarray, np.ndarray]:
         index, (ends, flat) = self.words[lead], self.tokens[lead]
-        for ids in self._encode([lead + w for w in index.waiting]):
+        waiting = [lead + w for w in index.waiting]
+        for ids in map(self.fast.encode_ordinary, waiting) if self.fast else self._encode(waiting):
             flat.extend(ids)
             ends.append(len(flat))
         index.waiting.clear()
@@ -68,7 +104,7 @@ class WordCache:
         first, later = self.words[""], self.words[" "]
         rows: list = []
         for t in texts:
-            if _UNSAFE.search(t):
+            if _UNSAFE.search(t) or any(x in t for x in self.special):
                 rows.append(None)
             else:
                 head, *rest = t.split(" ")
