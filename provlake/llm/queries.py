@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm import (chat, fingerprint, language, mixing, packing, quality, sharding,
+from provlake.llm import (chat, fingerprint, language, mixing, ngram_join, packing, quality, sharding,
                           toxicity)
 from provlake.llm.common import held_out, table
 
@@ -104,3 +104,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_fingerprint")
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_ngram_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh
+  FROM w, unnest(range(1, len(ws) - 2)) t(i)
+  UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
+h AS (SELECT doc_id, hash(sh) AS sh FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM h a JOIN h b USING (sh)
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * i >= 85 * (p.n + q.n - i)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT r.x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x""")
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
