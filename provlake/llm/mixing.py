@@ -41,7 +41,8 @@ BLOCK_WORDS = 1 << 16
 #: Most blocks of a source, as a power of two.
 BLOCK_BITS = 16
 PICKS = 64
-SHARDS = 64
+#: Output shards: one for so many words, within these numbers.
+SHARD_WORDS, SHARDS = 1 << 26, (64, 4096)
 SEED = 20
 
 
@@ -113,12 +114,13 @@ def _fill(rows: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
-         shards: int = SHARDS, seed: int = SEED, block_words: int = BLOCK_WORDS) -> list[dict]:
+         shards: int | None = None, seed: int = SEED, block_words: int = BLOCK_WORDS) -> list[dict]:
     """One entry per source, in the order of names, null last: sizes, target, cut and shard bounds."""
     narrow = cut_lineage(docs.select("source", words().alias("size"), place(seed=seed).alias("place")))
     got = sorted(narrow.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect(),
                  key=lambda r: (r[0] is None, r[0] or ""))
     wanted = targets([r[1] for r in got], weights, share)
+    shards = shards or int(min(max(sum(wanted) // SHARD_WORDS, SHARDS[0]), SHARDS[1]))
     plans = []
     for n, (r, t) in enumerate(zip(got, wanted, strict=True)):
         bits = min(BLOCK_BITS, max(0, math.ceil(math.log2(max(1, r[1] / block_words)))))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import components
+from provlake.llm.common import components, fresh
 from provlake.llm.shingles import shingle_sets
 from provlake.session import cut_lineage
 
@@ -297,3 +297,23 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     return about.select("doc_id", "n", "digest").join(cut_lineage(named), "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: those with its smallest id.
+
+    Rows that repeat an id are reduced to one of each text. Documents without words and null ids
+    all stay. Only the ids of rows that go or repeat are joined with the documents.
+    """
+    found = classes(docs, width, percent)
+    gone, twice = fresh("_gone", docs.columns), fresh("_twice", docs.columns)
+    cut = cut_lineage(found.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(
+        F.min(F.col("component_id") != F.col("doc_id")).alias(gone),
+        (F.count(F.lit(1)) > 1).alias(twice)).filter(f"{gone} OR {twice}"))
+    rest = docs.join(cut, "doc_id", "left").filter(f"NOT coalesce({gone}, false)").select(
+        *docs.columns, twice)
+    single = rest.filter(f"NOT coalesce({twice}, false)").select(*docs.columns)
+    if cut.filter(twice).isEmpty():
+        return single
+    return single.unionByName(
+        rest.filter(twice).select(*docs.columns).dropDuplicates(["doc_id", "text"]))
