@@ -30,6 +30,8 @@ LEVEL = 3
 TRAIN_FACTOR = 100
 #: A text's evidence is weighed against the usual ratio as if that had been seen on so many bytes.
 PRIOR_BYTES = 48
+#: Folds of the learnt texts for the curve.
+FITS = 3
 THRESHOLD = 0.3
 
 
@@ -60,7 +62,7 @@ class Compressors:
         return saved, size
 
 
-def _ratio(found: list[tuple[int, int]], usual: float) -> np.ndarray:
+def _ratio(found: list[tuple[int, int]] | np.ndarray, usual: float) -> np.ndarray:
     saved, size = np.array(found, dtype=float).reshape(-1, 2).T
     return (saved + PRIOR_BYTES * usual) / (size + PRIOR_BYTES)
 
@@ -108,24 +110,25 @@ def _fit(share: float | None):
         base = 0.5 if share is None else share
         if (y == 1).sum() < 2 or (y == 0).sum() < 2:
             return {"good": None, "bad": None, "slope": 0.0, "prior": float(base)}
-        texts = rows["text"].tolist()
-        # Every third text of a class is kept from its dictionary, for the curve.
-        nth = rows.groupby("y").cumcount().to_numpy()
-        learn = nth % 3 != 0
-        made = [_dictionary([t for t, k, u in zip(texts, y, learn, strict=True) if k == c and u])
-                for c in (1, 0)]
-        c = Compressors(*made)
-        found = [c.difference(t) for t, u in zip(texts, learn, strict=True) if not u]
-        yy = y[~learn]
-        usual = float(np.median([a / n for a, n in found if n] or [0.0]))
+        texts = np.array(rows["text"].tolist(), dtype=object)
+        # Texts are compared under dictionaries that have not seen them, fold by fold.
+        fold = rows.groupby("y").cumcount().to_numpy() % FITS
+        made = lambda use: [_dictionary(texts[use & (y == c)].tolist()) for c in (1, 0)]
+        found = np.zeros((len(texts), 2))
+        for k in np.unique(fold):
+            c = Compressors(*made(fold != k))
+            found[fold == k] = [c.difference(t) for t in texts[fold == k]]
+        some = found[found[:, 1] > 0]
+        usual = float(np.median(some[:, 0] / some[:, 1])) if len(some) else 0.0
         x = _ratio(found, usual)
         scale = float(np.median(np.abs(x))) or 1.0
-        slope, cut = _logistic(_squash(x, scale), yy)
+        slope, cut = _logistic(_squash(x, scale), y)
         # The sample holds other shares of the classes than the labels do.
         if share is not None and 0 < share < 1:
-            seen = yy.mean()
+            seen = y.mean()
             cut += np.log(share / (1 - share)) - np.log(seen / (1 - seen))
-        return {"good": made[0], "bad": made[1], "usual": usual, "scale": scale, "slope": slope,
+        good, bad = made(np.ones(len(y), bool))
+        return {"good": good, "bad": bad, "usual": usual, "scale": scale, "slope": slope,
                 "cut": float(cut)}
     return fit
 
