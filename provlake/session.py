@@ -27,7 +27,9 @@ def build_session(app: str = "provlake", master: str | None = None,
         builder = builder.master(master)
     for k, v in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:
