@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake import vocab
-from provlake.functions import labels as L
+from provlake.functions import pointwise
 from provlake.functions import text as T
 from provlake.functions.rules import check_size, in_scope, strings, when_holds
 from provlake.operators import artifacts as A
-from provlake.operators import taint
-from provlake.session import cut_lineage
 from provlake.vocab import Policy
 
 
@@ -259,37 +259,50 @@ def call_context(protect_ledger: bool = True) -> dict[str, Column]:
             "call.protect_ledger": F.lit(protect_ledger)}
 
 
-def replay(facts: DataFrame, policies: list[Policy] | None = None, protect_ledger: bool = True,
-           max_rounds: int = 200) -> DataFrame:
+_REPLAYED = ("session_id string, seq long, op string, artifact_id string, outcome string, "
+             "determining_policy string, downgraded_from string, taint array<string>, "
+             "taint_depth long, artifacts_touched long, since_last_egress long, first_touch boolean")
+
+
+def replay(facts: DataFrame, policies: list[Policy] | None = None,
+           protect_ledger: bool = True) -> DataFrame:
     """P-06: decide every call of every session, each seeing the outcomes before it.
 
-    The recursion is solved as a fixpoint instead of a per-session fold: outcomes start as
-    "allowed", the running state is computed from them for all calls at once (T-06), the policies
-    are applied, and this repeats until no outcome moves.  A call depends only on earlier calls of
-    its session, so the fixpoint is unique; a round settles at least one more state change, and
-    accumulation thresholds settle sessions within a few rounds.  A hot session stays spread over
-    its chunks.
+    A call's decision needs the state that all earlier decisions of its session left, so the calls
+    are sorted by (session, seq) and folded in one pass, whatever the policies and however long the
+    session. Only narrow rows are sorted (ids, flags and labels, no paths or commands), and a task
+    holds one session's labels, counters and touched ids. Sessions run in parallel; the streaming
+    processor (ST-01) decides with the same function.
     """
-    rows = cut_lineage(facts.withColumn("_prev", F.lit("allow")))
-    null = F.lit(None).cast("string")
-    for _ in range(max_rounds):
-        touch = F.col("classified") & F.col("_prev").isin("allow", "ask")
-        reset = ~F.col("classified") & F.col("is_egress") & (F.col("_prev") == "allow")
-        ref = F.struct("artifact_id", F.col("canonical_path").alias("path"),
-                       null.alias("digest"), "labels")
-        effects = rows.where(touch | reset).select(
-            "session_id", "seq",
-            F.when(F.col("classified"), "artifact.read").otherwise("artifact.egress").alias("op"),
-            F.when(F.col("classified"), F.array(ref)).otherwise(F.array().cast(taint.REF)).cast(
-                taint.REF).alias("used"),
-            F.array().cast(taint.REF).alias("generated"))
-        seen = taint.running_state(effects, rows)
-        done = downgrade(decide(seen, F.col("op"), F.col("posture"),
-                                call_context(protect_ledger), policies))
-        done = cut_lineage(done)
-        moved = done.where(F.col("_prev") != F.col("outcome")).limit(1).count()
-        if not moved:
-            return done.drop("_prev")
-        rows = done.select(*[F.col("outcome").alias("_prev") if c == "_prev" else F.col(c)
-                             for c in rows.columns])
-    raise RuntimeError(f"decisions did not settle in {max_rounds} rounds")
+    policies = list(policies or vocab.POLICIES)
+    given = ["session_id", "seq", "op", "posture", "permission_mode", "artifact_id", "labels",
+             "classified", "is_egress", "is_write", "is_ledger", "is_own_binary"]
+    made = [c.split()[0] for c in _REPLAYED.split(", ")]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(),
+             pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, head, held = None, {}, set()
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if not head or r["session_id"] != session:
+                    session, held = r["session_id"], set()
+                    head = {"labels": ["public"], "depth": 0, "touched": 0, "since": 0}
+                has = r["artifact_id"] in held
+                outcome, policy, was = pointwise.call(policies, protect_ledger, head, has, r)
+                out.append((session, r["seq"], r["op"], r["artifact_id"], outcome, policy, was,
+                            head["labels"], head["depth"], head["touched"], head["since"],
+                            bool(r["classified"]) and not has))
+                if r["classified"] and outcome in ("allow", "ask"):
+                    held.add(r["artifact_id"])
+                    head = {"labels": pointwise.join(head["labels"], r["labels"]),
+                            "depth": len(held), "touched": head["touched"] + 1,
+                            "since": head["since"] + 1}
+                elif r["is_egress"] and not r["classified"] and outcome == "allow":
+                    head = {**head, "since": 0}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=made)
+
+    return (facts.select(*given).repartition("session_id").sortWithinPartitions("session_id", "seq")
+            .mapInArrow(run, _REPLAYED))

@@ -230,3 +230,31 @@ def replay(spark, sf):
             "op", "outcome", "path", "artifact_id", "out_path", "out_id", "props")
     return P.replay(P.call_facts(calls)).select(
         "session_id", "seq", "outcome", "determining_policy", "taint_depth", "since_last_egress")
+
+
+#: Egress needs two touches since the last one, so every decision hangs on the one before it.
+_ALTERNATING = [
+    vocab.Policy("a#forbid-hasty-egress", "forbid",
+                 {"call.is_egress": True, "session.since_last_egress": {"lt": 2}}),
+    vocab.Policy("b#permit", "permit")]
+
+
+@query("p_06_long_dependency", duck(["fx_call"], """
+    SELECT session_id, seq, outcome, since_before AS since_last_egress FROM fx_hasty WHERE n > 0""",
+    _P06.split("fx_fold AS (")[0] + """
+fx_hasty AS (
+    SELECT session_id, 0::bigint AS n, NULL::bigint AS seq, ''::varchar AS outcome,
+        0::bigint AS since, 0::bigint AS since_before FROM (SELECT DISTINCT session_id FROM fx_rel)
+    UNION ALL
+    SELECT r.session_id, r.n, r.seq,
+        CASE WHEN r.is_egress AND f.since < 2 THEN 'deny' ELSE 'allow' END,
+        CASE WHEN r.is_egress AND f.since < 2 THEN f.since WHEN r.classified THEN f.since + 1 ELSE 0 END,
+        f.since
+    FROM fx_hasty f JOIN fx_rel r ON r.session_id = f.session_id AND r.n = f.n + 1)""",
+    recursive=True))
+def long_dependency(spark, sf):
+    calls = view(spark, sf, "fx_call").withColumn(
+        "file_path", F.when(F.col("tool") != "Bash", F.col("path"))).drop(
+            "op", "outcome", "path", "artifact_id", "out_path", "out_id", "props")
+    return P.replay(P.call_facts(calls), _ALTERNATING).select(
+        "session_id", "seq", "outcome", "since_last_egress")

@@ -86,17 +86,7 @@ class SessionProcessor(StatefulProcessor):
     # ── events ──────────────────────────────────────────────────────────────────────────────
     def _call(self, h: dict, r: dict) -> list[dict]:
         held = bool(r["artifact_id"]) and self.sources.containsKey((r["artifact_id"],))
-        ctx = {"session.taint": h["labels"], "session.taint_depth": h["depth"],
-               "session.artifacts_touched": h["touched"], "session.since_last_egress": h["since"],
-               "artifact.classified": bool(r["classified"]), "artifact.labels": r["labels"],
-               "artifact.first_touch": bool(r["classified"]) and not held,
-               "artifact.is_ledger": bool(r["is_ledger"]), "call.is_egress": bool(r["is_egress"]),
-               "call.is_write": bool(r["is_write"]),
-               "call.is_own_binary": bool(r["is_own_binary"]),
-               "call.protect_ledger": self.protect_ledger}
-        outcome, policy = P.decide(self.policies, r["op"], r["posture"], ctx)
-        if outcome == "ask" and r["permission_mode"] in vocab.NON_INTERRUPTING_MODES:
-            outcome = "allow"
+        outcome, policy, _ = P.call(self.policies, self.protect_ledger, h, held, r)
         out = {"row_kind": "decision", "op": r["op"], "outcome": outcome,
                "determining_policy": policy, "artifact_id": r["artifact_id"],
                "taint_depth": h["depth"], "since_last_egress": h["since"], "detail": None}
