@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,6 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", {
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": cpus,
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-shared-"),
         "spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
     spark.sparkContext.setLogLevel("OFF")
     spark.read.parquet(f"{sf}/events.parquet").count()

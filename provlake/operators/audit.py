@@ -23,7 +23,8 @@ def call_sites(lines: DataFrame, allowed: DataFrame | None = None,
     found = strings(*[F.when(search(F.col("line"), p), F.lit(n)) for n, p in patterns])
     sites = T.unnest(code, found, ["*"], "pattern").drop("_pos").withColumn(
         "text", F.substring(F.trim("line"), 1, 100))
-    local = (F.col("pattern") == "socket") & search(F.col("text"), ipc)
+    # The whole line decides; the text is cut for display only.
+    local = (F.col("pattern") == "socket") & search(F.col("line"), ipc)
     if allowed is None:
         sites = sites.withColumn("_why", F.lit(None).cast("string"))
     else:

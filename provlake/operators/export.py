@@ -44,6 +44,7 @@ def export_view(df: DataFrame, body: str = "body") -> DataFrame:
         s("record.at").alias("record_at"),
         F.coalesce(some(s("action.op")), T.string_at(r, "op")).alias("op"),
         F.coalesce(some(s("decision.outcome")), T.string_at(r, "outcome")).alias("outcome"),
+        s("decision.outcome").alias("decided"), s("action.op").alias("acted"),
         s("policy.determining_policy").alias("policy"), s("actor.agent_id").alias("agent_id"),
         s("actor.agent_type").alias("agent_type"), s("actor.operator.identity").alias("operator"),
         s("actor.runtime_action_id").alias("call_id"),
@@ -190,7 +191,10 @@ def _list(c: Column) -> Column:
 
 
 def spans(records: DataFrame) -> DataFrame:
-    """X-04: one OTLP span per record, attributes as (key, typed JSON value), nulls dropped."""
+    """X-04: one OTLP span per record, attributes as (key, typed JSON value), nulls dropped.
+
+    Status and the name's fallback follow the nested decision and operation, not the flat mirrors.
+    """
     c = F.col
     ns = vocab.SPAN_NS
     ids = lambda n: F.transform(n, lambda u: u["artifact_id"])
@@ -226,13 +230,13 @@ def spans(records: DataFrame) -> DataFrame:
     return records.select(
         "ledger_id", "seq", T.hex_id(seed, 32).alias("trace_id"),
         T.hex_id(F.coalesce(digest, c("seq").cast("string")), 16).alias("span_id"),
-        F.coalesce(F.when(tool != "", tool), F.when(c("op") != "", c("op")), F.lit("custody")
-                   ).alias("name"),
+        F.coalesce(F.when(tool != "", tool), F.when(c("acted") != "", c("acted")),
+                   F.lit("custody")).alias("name"),
         F.lit(vocab.SPAN_KIND_INTERNAL).alias("kind"), start.alias("start_unix_nano"),
         F.when(end == 0, start).otherwise(end).alias("end_unix_nano"),
         F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in attrs]),
                  lambda x: x["value"].isNotNull()).alias("attributes"),
-        F.when(c("outcome") == "deny", vocab.STATUS_ERROR).otherwise(vocab.STATUS_OK
+        F.when(c("decided") == "deny", vocab.STATUS_ERROR).otherwise(vocab.STATUS_OK
                                                                      ).alias("status_code"))
 
 

@@ -60,14 +60,20 @@ def record_findings(entries: DataFrame, key: KeySource | None = None,
     return df.withColumn("finding", reason).drop("_prev", "recomputed")
 
 
-def verify(entries: DataFrame, key: KeySource | None = None,
-           chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """L-02: one verdict per ledger: intact, broken_at, reason, verified_keyed, checked."""
+def verify(entries: DataFrame, key: KeySource | None = None, chunk_rows: int = CHUNK_ROWS,
+           ledgers: DataFrame | None = None) -> DataFrame:
+    """L-02: one verdict per ledger: intact, broken_at, reason, verified_keyed, checked.
+
+    Ledgers listed in ``ledgers`` without an entry are intact, with nothing checked.
+    """
     rows = record_findings(entries, key, chunk_rows)
     agg = rows.groupBy("ledger_id").agg(
         F.min(F.when(F.col("finding").isNotNull(), F.struct("idx", "finding"))).alias("_f"),
         F.bool_or(F.col("hash_alg").eqNullSafe(vocab.ALGO_KEYED)).alias("_keyed"),
         F.count(F.lit(1)).alias("records"))
+    if ledgers is not None:
+        agg = (ledgers.select("ledger_id").join(agg, "ledger_id", "left")
+               .fillna(False, ["_keyed"]).fillna(0, ["records"]))
     intact = F.col("_f").isNull()
     return agg.select(
         "ledger_id", intact.alias("intact"), F.col("_f.idx").alias("broken_at"),
@@ -111,12 +117,24 @@ def admission(entries: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumn("refusal", refusal)
 
 
-def heads(entries: DataFrame) -> DataFrame:
-    """L-09: head hash, next seq and first keyid of each ledger."""
-    return entries.groupBy("ledger_id").agg(
+def heads(entries: DataFrame, ledgers: DataFrame | None = None) -> DataFrame:
+    """L-09: head hash, next seq and first keyid of each ledger; genesis for listed empty ones."""
+    found = entries.groupBy("ledger_id").agg(
         F.max_by("hash", "idx").alias("head"), F.count(F.lit(1)).alias("next_seq"),
         F.min_by("keyid", F.when(F.coalesce("keyid", F.lit("")) != "", F.col("idx"))
                  ).alias("keyid"))
+    if ledgers is None:
+        return found
+    return (ledgers.select("ledger_id").join(found, "ledger_id", "left")
+            .fillna(vocab.GENESIS, ["head"]).fillna(0, ["next_seq"]))
+
+
+def dump(damaged: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """L-10: per ledger the number of records, the verdict, and whether its end is torn."""
+    torn = damaged.groupBy("ledger_id").agg(F.bool_or("truncated").alias("truncated"))
+    return verdicts.join(torn, "ledger_id", "left").select(
+        "ledger_id", "records", "intact", "broken_at", "reason", "verified_keyed",
+        F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 def tail(entries: DataFrame, n: int) -> DataFrame:

@@ -95,8 +95,13 @@ def turn_reconciliation(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ── R-03 / R-04 ─────────────────────────────────────────────────────────────────────────────
 def classify_alerts(records: DataFrame) -> DataFrame:
-    """R-03: adds alert, reason, wake.  Anything unrecognised alerts the operator."""
+    """R-03: adds alert, reason, wake.  Anything unrecognised alerts the operator.
+
+    The operation is ``op`` or, where that is missing or blank, ``kind`` if there is such a column.
+    """
     op = F.col("op")
+    if "kind" in records.columns:
+        op = F.coalesce(F.when(op != "", op), "kind")
     severity = F.coalesce("severity", F.lit("info"))
     reason, wake = F.when(F.lit(False), ""), F.when(F.lit(False), "")
     for name, why in vocab.WAKE_HUMAN.items():

@@ -22,13 +22,20 @@ def predicate_of(body: Column) -> Column:
 
 
 def normalise(df: DataFrame, body: str = "body") -> DataFrame:
-    """V-01: one typed record per entry; the nested path first, the flat mirror second."""
+    """V-01: one typed record per entry; the nested path first, the flat mirror second.
+
+    A blank operation, outcome or action id counts as absent and falls through to the next place;
+    a session id only when it is missing.
+    """
     df = df.withColumn("pred", predicate_of(F.col(body)))
     p, r = F.col("pred"), F.col(body)
 
-    def text(nested: str, *flat: str) -> Column:
-        return F.coalesce(T.string_at(p, nested), *[T.string_at(p, f) for f in flat],
-                          *[T.string_at(r, f) for f in flat])
+    def some(c: Column) -> Column:
+        return F.when(c != "", c)
+
+    def text(nested: str, flat: str, keep=some) -> Column:
+        return F.coalesce(*[keep(T.string_at(b, path)) for b, path in
+                            ((p, nested), (p, flat), (r, flat))])
 
     def refs(name: str, kind: str) -> Column:
         nested = F.from_json(T.json_at(p, f"resources.{name}"), kind)
@@ -38,11 +45,12 @@ def normalise(df: DataFrame, body: str = "body") -> DataFrame:
     keep = [c for c in ("ledger_id", "idx", "seq", "hash") if c in df.columns]
     return df.select(
         *keep, "pred",
-        text("lifecycle.session_id", "session_id").alias("session_id"),
+        text("lifecycle.session_id", "session_id", lambda c: c).alias("session_id"),
         text("action.op", "op").alias("op"),
         text("decision.outcome", "outcome").alias("outcome"),
-        F.coalesce(T.string_at(p, "actor.runtime_action_id"), T.string_at(p, "runtime_action_id"),
-                   T.string_at(p, "action.tool.call_id")).alias("action_id"),
+        F.coalesce(*[some(T.string_at(p, path)) for path in (
+            "actor.runtime_action_id", "runtime_action_id", "action.tool.call_id")]
+                   ).alias("action_id"),
         refs("used", REF).alias("used"), refs("generated", REF).alias("generated"),
         F.coalesce(F.from_json(T.json_at(p, "resources.derived_from"), DERIVED),
                    F.array().cast(DERIVED)).alias("derived_from"),

@@ -221,6 +221,29 @@ def tail(spark, sf):
     return G.tail(intact(spark, sf), 20).select("ledger_id", "seq", "hash")
 
 
+@query("l_04_append_twice", duck(["fx_event"], """
+    SELECT ledger_id, count(*) AS records, true AS intact, false AS truncated, arg_max(hash, seq) AS head
+    FROM fx_chain GROUP BY ledger_id UNION ALL SELECT 'empty', 0, true, false, repeat('0', 64)""",
+                                 DUCK_CHAIN, recursive=True))
+def append_twice(spark, sf):
+    """Half of each ledger, then the rest onto its head, beside an empty ledger; read back."""
+    path = scratch_path(spark, "twice")
+    events, _ = S.admit(view(spark, sf, "fx_event").select(
+        "ledger_id", F.col("event_id").alias("ord"), "event"))
+    cut = events.groupBy("ledger_id").agg((F.max("ord") / 2).alias("_half"))
+    events = events.join(cut, "ledger_id")
+    S.write_jsonl(S.append(events.where("ord <= _half")), path)
+    lines = S.scan(spark, path)
+    S.write_jsonl(S.append(events.where("ord > _half"), G.heads(S.entries(lines, S.damage(lines)))),
+                  path)
+    lines, extra = S.scan(spark, path), spark.range(1).select(F.lit("empty").alias("ledger_id"))
+    known = S.ledgers(spark, path).unionByName(extra)
+    damaged = S.damage(lines)
+    e = S.entries(lines, damaged)
+    return G.dump(damaged, G.verify(e, ledgers=known)).join(G.heads(e, known), "ledger_id").select(
+        "ledger_id", "records", "intact", "truncated", "head")
+
+
 # ── validation ──────────────────────────────────────────────────────────────────────────────
 def predicates(spark, sf):
     return view(spark, sf, "fx_predicate").withColumn("pred", F.parse_json("predicate"))
@@ -257,7 +280,7 @@ def _duck_tier_a():
 @query("v_01_normalise", duck(["fx_predicate"], """
     SELECT event_id, session_id, CASE WHEN regexp_extract(predicate, 'artifact.eat') <> ''
             THEN 'artifact.eat' ELSE op END AS op, outcome,
-        json_extract_string(predicate, '$.actor.runtime_action_id') AS action_id,
+        nullif(json_extract_string(predicate, '$.actor.runtime_action_id'), '') AS action_id,
         coalesce(json_array_length(json_extract(predicate, '$.resources.used')), 0)::bigint AS used
     FROM fx_predicate"""))
 def normalise(spark, sf):
@@ -274,6 +297,28 @@ def normalise(spark, sf):
                       F.size("used").cast("long").alias("used"))
 
 
+@query("v_01_blank_falls_through", duck(["fx_predicate"], """
+    SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN session_id END AS session_id,
+        'artifact.flat' AS op, CASE WHEN event_id % 2 = 0 THEN 'ask' END AS outcome,
+        CASE WHEN event_id % 5 = 0 THEN concat('call-', event_id) END AS action_id
+    FROM fx_predicate"""))
+def blank_falls_through(spark, sf):
+    """Blank nested values over flat mirrors, some of which are blank too."""
+    n = F.col("event_id")
+    body = F.concat(
+        F.lit('{"action":{"op":"","tool":{"call_id":"'),
+        F.when(n % 5 == 0, F.concat(F.lit("call-"), n.cast("string"))).otherwise(""),
+        F.lit('"}},"actor":{"runtime_action_id":""},"runtime_action_id":"","op":"artifact.flat",'
+              '"decision":{"outcome":""},"outcome":"'),
+        F.when(n % 2 == 0, "ask").otherwise(""), F.lit('","lifecycle":{'),
+        F.when(n % 3 == 0, F.lit('"session_id":""')).otherwise(""), F.lit("}"),
+        F.when(n % 3 == 1, F.concat(F.lit(',"session_id":"'), "session_id", F.lit('"'))).otherwise(""),
+        F.lit("}"))
+    out = V.normalise(view(spark, sf, "fx_predicate").select(
+        "ledger_id", n.alias("seq"), F.parse_json(body).alias("body")))
+    return out.select(F.col("seq").alias("event_id"), "session_id", "op", "outcome", "action_id")
+
+
 @query("v_02_tier_a", duck(["fx_predicate"], f"""
     SELECT event_id, {_duck_tier_a()} AS problems FROM fx_predicate"""))
 def tier_a(spark, sf):
@@ -432,6 +477,15 @@ def alert_classes(spark, sf):
     return R.classify_alerts(_alert_records(spark, sf)).select("event_id", "alert", "reason", "wake")
 
 
+@query("r_03_alert_kinds", duck(["fx_call"], """
+    SELECT event_id, wake IS NOT NULL AS alert, reason, wake FROM fx_alert""", _ALERT))
+def alert_kinds(spark, sf):
+    """Records that name their operation ``kind``; some carry a blank ``op`` besides."""
+    r = _alert_records(spark, sf).withColumn("kind", F.col("op")).withColumn(
+        "op", F.when(F.col("event_id") % 3 == 0, F.col("kind")).when(F.col("event_id") % 3 == 1, ""))
+    return R.classify_alerts(r).select("event_id", "alert", "reason", "wake")
+
+
 @query("r_04_alert_report", duck(["fx_call"], f"""
     SELECT ledger_id, 0 AS priority, broken_at AS seq, CASE WHEN broken_at IS NOT NULL THEN
         concat('LEDGER CHAIN BROKEN at entry ', broken_at, ': ', reason, ' — tampering or corruption')

@@ -337,9 +337,9 @@ def _duck_sites():
     pats = ", ".join("CASE WHEN regexp_matches(line, '" + p.replace("'", "''") + f"') THEN '{n}' END"
                      for n, p in _SITES)
     return f"""fx_site AS (SELECT path, line_no, pattern, text,
-        (pattern = 'socket' AND regexp_matches(text, '\\bAF_UNIX\\b'))
+        (pattern = 'socket' AND regexp_matches(line, '\\bAF_UNIX\\b'))
         OR (pattern = 'prose' AND cast(split_part(path, '/', 2) AS bigint) % 7 = 0) AS allowed
-    FROM (SELECT path, line_no, substr(trim(line), 1, 100) AS text,
+    FROM (SELECT path, line_no, line, substr(trim(line), 1, 100) AS text,
         unnest(list_filter([{pats}], lambda x: x IS NOT NULL)) AS pattern FROM fx_line
         WHERE NOT starts_with(trim(line), '#') AND NOT starts_with(trim(line), '"')))"""
 

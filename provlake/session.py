@@ -52,13 +52,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A temporary folder of this machine stands in only on a local master, where all tasks see it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="provlake-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provlake import vocab
@@ -25,7 +25,9 @@ def scan(spark: SparkSession, path: str, ledger_id: Column | None = None) -> Dat
     """L-01: the lines of all ledger files under ``path``: file, ledger_id, line_no, idx, raw, bad.
 
     The scan splits files; line numbers are counted per split and shifted by the splits before it,
-    so a single huge file is still read by many tasks.
+    so a single huge file is still read by many tasks. ``idx`` counts the entries of a ledger over
+    all its files, which are ordered by the first sequence number in their folder's name (as
+    ``write_jsonl`` names them), then by name.
     """
     lines = (spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
              .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"),
@@ -33,16 +35,27 @@ def scan(spark: SparkSession, path: str, ledger_id: Column | None = None) -> Dat
                      F.col("_metadata.file_size").alias("file_size"))
              .withColumn("_at", F.monotonically_increasing_id())
              .withColumn("blank", F.col("raw").rlike(BLANK)))
-    numbered = running(lines, ["file"], "_at", {
-        "line_no": ("sum", F.lit(1).cast("long")),
-        "idx": ("sum", F.when(F.col("blank"), 0).otherwise(1).cast("long"))},
-        chunk=F.col("block"))
+    lines = lines.withColumn("ledger_id", F.regexp_extract("file", r"ledger_id=([^/]+)", 1)
+                             if ledger_id is None else ledger_id)
+    numbered = running(lines, ["file"], "_at", {"line_no": ("sum", F.lit(1).cast("long"))},
+                       chunk=F.col("block"))
+    first = F.coalesce(F.regexp_extract("file", r"first_seq=([0-9]+)", 1).try_cast("long"),
+                       F.lit(0).cast("long"))
+    numbered = running(
+        numbered, ["ledger_id"], "_at",
+        {"idx": ("sum", F.when(F.col("blank"), 0).otherwise(1).cast("long"))},
+        chunk=F.struct(first.alias("first"), F.col("file"), F.col("block")))
     bad = F.when(F.col("blank"), F.lit(None).cast("string")).when(
         ~F.is_valid_utf8("raw"), "decode").when(F.try_parse_json("raw").isNull(), "json")
-    return numbered.withColumn("line_no", F.col("line_no") + 1).withColumns({
-        "bad": bad,
-        "ledger_id": F.regexp_extract("file", r"ledger_id=([^/]+)", 1)
-        if ledger_id is None else ledger_id}).drop("_at", "block")
+    return numbered.withColumn("line_no", F.col("line_no") + 1).withColumn("bad", bad).drop(
+        "_at", "block")
+
+
+def ledgers(spark: SparkSession, path: str) -> DataFrame:
+    """The ledgers that have a file under ``path``, empty ones too: only file names are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"ledger_id=([^/]+)", 1).alias("ledger_id")).where(
+        "ledger_id <> ''").distinct()
 
 
 def damage(lines: DataFrame) -> DataFrame:
@@ -205,6 +218,9 @@ def append(events: DataFrame, heads: DataFrame | None = None,
 
 
 def write_jsonl(chained: DataFrame, path: str, mode: str = "append") -> None:
-    """One directory per ledger; lines keep record order inside their file."""
-    (chained.repartition("ledger_id").sortWithinPartitions("ledger_id", "seq")
-     .select("ledger_id", "raw").write.mode(mode).partitionBy("ledger_id").text(path))
+    """One folder per ledger and write, named by its first seq; lines keep record order inside."""
+    first = F.first("seq").over(Window.partitionBy("ledger_id").orderBy("seq"))
+    (chained.repartition("ledger_id").withColumn("first_seq", first)
+     .sortWithinPartitions("ledger_id", "first_seq", "seq")
+     .select("ledger_id", "first_seq", "raw").write.mode(mode)
+     .partitionBy("ledger_id", "first_seq").text(path))

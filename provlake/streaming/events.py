@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -108,34 +109,45 @@ def disabled_once(notices: DataFrame) -> DataFrame:
 def ledger_sink(path: str, key: KeySource | None = None) -> Callable[[DataFrame, int], None]:
     """ST-07: a ``foreachBatch`` function that validates, chains and appends events.
 
-    Events are (ledger_id, ord, event).  Each batch owns its own folders: records, refusals and
-    the heads after it.  A batch that runs again starts from the heads before it and overwrites
-    its own folders, so every event is in the ledger exactly once.
+    Events are (ledger_id, ord, event).  Each batch of a query owns its own folders: records,
+    refusals and the heads after it.  A batch that runs again starts from the heads before it and
+    overwrites its own folders, so every event is in the ledger exactly once.  A query with a new
+    checkpoint is another epoch: it keeps the folders of earlier ones and goes on from their heads.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         good, bad = validate.split_events(batch)
         accepted, reserved = S.admit(good)
-        last = _last_heads(spark, path, batch_id)
+        epoch = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        mine_at = f"epoch={epoch}/batch={batch_id}"
+        last = _last_heads(spark, path, epoch, batch_id)
         chained = S.append(accepted, last, key)
-        chained.write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
+        chained.write.mode("overwrite").parquet(f"{path}/records/{mine_at}")
         refused = bad.select("ledger_id", "ord", "event", F.array_join("problems", "; ").alias(
             "refusal")).unionByName(reserved.select("ledger_id", "ord", "event", "refusal"))
-        refused.write.mode("overwrite").parquet(f"{path}/refused/batch={batch_id}")
-        mine = spark.read.parquet(f"{path}/records/batch={batch_id}").groupBy("ledger_id").agg(
+        refused.write.mode("overwrite").parquet(f"{path}/refused/{mine_at}")
+        mine = spark.read.parquet(f"{path}/records/{mine_at}").groupBy("ledger_id").agg(
             (F.max("seq") + 1).alias("next_seq"), F.max_by("hash", "seq").alias("head"))
         heads = mine if last is None else mine.unionByName(
             last.join(mine, "ledger_id", "left_anti"))
-        heads.write.mode("overwrite").parquet(f"{path}/heads/batch={batch_id}")
+        heads.write.mode("overwrite").parquet(f"{path}/heads/{mine_at}")
     return run
 
 
-def _last_heads(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Heads after the newest batch before this one; batch ids count up from 0."""
-    if batch_id == 0:
+def _last_heads(spark: SparkSession, path: str, epoch: str, batch_id: int) -> DataFrame | None:
+    """Heads after the batch before this one; before an epoch's first batch, the furthest heads
+    that other epochs have left."""
+    if batch_id:
+        return spark.read.parquet(f"{path}/heads/epoch={epoch}/batch={batch_id - 1}").select(
+            "ledger_id", "next_seq", "head")
+    try:
+        every = spark.read.parquet(f"{path}/heads")
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+            raise
         return None
-    return spark.read.parquet(f"{path}/heads/batch={batch_id - 1}").select(
-        "ledger_id", "next_seq", "head")
+    return every.where(F.col("epoch") != epoch).groupBy("ledger_id").agg(
+        F.max("next_seq").alias("next_seq"), F.max_by("head", "next_seq").alias("head"))
 
 
 # ── ST-08 ───────────────────────────────────────────────────────────────────────────────────
@@ -156,11 +168,14 @@ def run_available(stream: DataFrame, name: str, partitions: list[str] | None = N
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_sink(stream: DataFrame, name: str, make: Callable[[str], Callable]) -> str:
-    """Run a ``foreachBatch`` sink over what is available now; returns its folder."""
+def run_sink(stream: DataFrame, name: str, make: Callable[[str], Callable],
+             ledger: str | None = None) -> str:
+    """Run a ``foreachBatch`` sink over what is available now, with a new checkpoint; returns its
+    folder, which is ``ledger`` where one is given."""
     base = scratch_path(stream.sparkSession, name)
-    q = (stream.writeStream.foreachBatch(make(f"{base}/ledger"))
+    ledger = ledger or f"{base}/ledger"
+    q = (stream.writeStream.foreachBatch(make(ledger))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return f"{base}/ledger"
+    return ledger
 
