@@ -124,6 +124,33 @@ def prov(records: DataFrame) -> dict[str, DataFrame]:
             _id("person", F.col("human_id")).alias("responsible"), "prompt_id")}
 
 
+def prov_relations(records: DataFrame) -> DataFrame:
+    """X-02: all PROV relations in one pass: ledger_id, seq, relation, subject, object.
+
+    Each record yields an array of its relations, so the records are read and parsed once.
+    """
+    unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+    act = _id("activity", F.col("record_id"))
+    agent = _id("agent", unknown(F.when(F.col("agent_id") != "", F.col("agent_id"))))
+    person = _id("person", F.col("human_id"))
+
+    def one(name: str, subject: Column, target: Column) -> Column:
+        return F.struct(F.lit(name).alias("relation"), subject.alias("subject"),
+                        target.alias("object"))
+
+    def of(name: str, c: str) -> Column:
+        return F.transform(c, lambda r: one(name, act, _id("entity", unknown(r["artifact_id"]))))
+
+    derived = F.transform("derived_from", lambda d: one(
+        "wasDerivedFrom", _id("entity", unknown(d["generated"])), _id("entity", unknown(d["source"]))))
+    behalf = F.when(F.col("human_id").isNotNull(), F.array(
+        one("actedOnBehalfOf", agent, person))).otherwise(F.array().cast(
+            "array<struct<relation:string,subject:string,object:string>>"))
+    return records.select("ledger_id", "seq", F.inline(F.concat(
+        of("used", "used"), of("wasGeneratedBy", "generated"),
+        F.array(one("wasAssociatedWith", act, agent)), behalf, derived)))
+
+
 # ── X-03 ────────────────────────────────────────────────────────────────────────────────────
 def _node(*pairs: tuple[str, Column]) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in pairs]), {"ignoreNullFields": "false"})

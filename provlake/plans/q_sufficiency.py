@@ -280,16 +280,7 @@ def prov_agents(spark, sf):
         concat('sg:artifact/', json_extract_string(predicate, '$.resources.derived_from[0].source'))
         FROM fx_x WHERE json_extract(predicate, '$.resources.derived_from') IS NOT NULL""", _X))
 def prov_relations(spark, sf):
-    p = X.prov(export_records(spark, sf))
-
-    def rel(name, a, b):
-        return p[name].select("ledger_id", "seq", F.lit(name).alias("relation"),
-                              F.col(a).alias("subject"), F.col(b).alias("object"))
-
-    return (rel("used", "activity", "entity").unionByName(rel("wasGeneratedBy", "activity", "entity"))
-            .unionByName(rel("wasAssociatedWith", "activity", "agent"))
-            .unionByName(rel("actedOnBehalfOf", "delegate", "responsible"))
-            .unionByName(rel("wasDerivedFrom", "generated", "source")))
+    return X.prov_relations(export_records(spark, sf))
 
 
 @query("x_03_case_graph", duck(["fx_predicate"], """
