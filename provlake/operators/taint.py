@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake.functions import labels as L
+from provlake.functions import pointwise
 from provlake.functions.ordered import CHUNK_ROWS, first_per_key, running
 from provlake.functions.text import unnest
 
@@ -148,15 +149,83 @@ def rollup(records: DataFrame) -> DataFrame:
 
 
 # ── T-06 ────────────────────────────────────────────────────────────────────────────────────
+_STATE = ("session_id string, seq long, taint array<string>, taint_depth long, "
+          "artifacts_touched long, since_last_egress long, first_touch boolean")
+
+
+def _is_drop() -> Column:
+    return (F.col("op") == "custody.declassify") & (F.coalesce("declassified", F.lit("")) != "")
+
+
 def running_state(effects: DataFrame, records: DataFrame, artifact: str = "artifact_id",
                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """T-06: what a decision sees before its own record.
 
     ``effects`` are the effected records that change state; ``records`` are the rows to describe
-    (session_id, seq, and the call's artifact).  Labels need no window: the first position of each
-    label in a session says from where on it is held.  Depth counts first touches.  Valid where no
-    declassification occurs.
+    (session_id, seq unique in it, and the call's artifact).  Sessions that only accumulate are
+    computed from counts and first positions, in chunks.  A declassification takes an artifact and
+    its labels back, so what is held depends on everything before: sessions with one are folded in
+    order over narrow rows.
     """
+    if "declassified" not in effects.columns:
+        return _accumulated(effects, records, artifact, chunk_rows)
+    dropping = effects.where(_is_drop()).select("session_id").distinct()
+    rows = records.join(dropping, "session_id", "left_semi")
+    grown = _accumulated(effects.join(dropping, "session_id", "left_anti"),
+                         records.join(dropping, "session_id", "left_anti"), artifact, chunk_rows)
+    folded = rows.join(_folded(effects.join(dropping, "session_id", "left_semi"), rows, artifact),
+                       ["session_id", "seq"])
+    return grown.unionByName(folded)
+
+
+def _folded(effects: DataFrame, records: DataFrame, artifact: str) -> DataFrame:
+    """The running state at every record, by one ordered pass; a task holds one session's state."""
+    none = F.lit(None)
+    refs = "array<struct<artifact_id:string,labels:array<string>>>"
+    asked = records.select(
+        "session_id", "seq", F.lit(0).alias("step"), F.col(artifact).alias("artifact"),
+        none.cast(refs).alias("refs"), F.lit(False).alias("out"))
+    done = effects.select(
+        "session_id", "seq", F.lit(1).alias("step"),
+        F.when(_is_drop(), F.col("declassified")).alias("artifact"),
+        F.transform(touched_refs(), lambda r: F.struct(r["artifact_id"], r["labels"])).cast(
+            refs).alias("refs"), (F.col("op") == "artifact.egress").alias("out"))
+    types = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(),
+             pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, held, labels, touched, since = None, None, ["public"], 0, 0
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if held is None or r["session_id"] != session:
+                    session, held, labels, touched, since = r["session_id"], {}, ["public"], 0, 0
+                if r["step"] == 0:
+                    out.append((session, r["seq"], labels, len(held), touched, since,
+                                r["artifact"] not in held))
+                    continue
+                for ref in r["refs"] or []:
+                    touched, since = touched + 1, since + 1
+                    if pointwise.is_classified(ref["labels"]):
+                        held[ref["artifact_id"]] = ref["labels"]
+                    labels = pointwise.join(labels, ref["labels"])
+                if r["out"]:
+                    since = 0
+                if r["artifact"] is not None:
+                    held.pop(r["artifact"], None)
+                    labels = pointwise.join(["public"], *held.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([o[i] for o in out], t) for i, t in enumerate(types)],
+                names=[c.split()[0] for c in _STATE.split(", ")])
+
+    return (asked.unionByName(done).repartition("session_id")
+            .sortWithinPartitions("session_id", "seq", "step").mapInArrow(run, _STATE))
+
+
+def _accumulated(effects: DataFrame, records: DataFrame, artifact: str, chunk_rows: int
+                 ) -> DataFrame:
+    """The running state where nothing is declassified.  Labels need no window: the first position
+    of each label in a session says from where on it is held.  Depth counts first touches."""
     t = touches(effects)
     held = t.where("classified").groupBy("session_id", "artifact_id").agg(
         F.min("seq").alias("seq"),

@@ -87,3 +87,29 @@ fx_touch AS (
     FROM fx_effect e JOIN fx_path p ON p.path = e.path
     WHERE op IN ('artifact.read', 'artifact.write', 'artifact.derive', 'artifact.egress',
                  'tool.result'))"""
+
+#: What each call sees: a touch is held until its artifact is touched again or dropped; its labels
+#: count since the last drop, or from before it where the touch was then still held.
+DUCK_RUNNING = DUCK_EFFECTS + """,
+fx_drop AS (SELECT session_id, seq, artifact_id FROM fx_effect WHERE op = 'custody.declassify'),
+fx_span AS (
+    SELECT t.*, lead(seq) OVER (PARTITION BY session_id, artifact_id, classified ORDER BY seq)
+            AS next_touch,
+        (SELECT min(d.seq) FROM fx_drop d WHERE d.session_id = t.session_id
+            AND d.artifact_id = t.artifact_id AND d.seq > t.seq) AS dropped
+    FROM fx_touch t),
+fx_asked AS (
+    SELECT session_id, seq, artifact_id, (SELECT max(d.seq) FROM fx_drop d
+        WHERE d.session_id = c.session_id AND d.seq < c.seq) AS last_drop FROM fx_call c),
+fx_seen AS (
+    SELECT session_id, seq, max(rnk) FILTER (visible) AS rnk,
+        coalesce(flatten(list(flags) FILTER (visible)), []) AS flags,
+        count(*) FILTER (held) AS depth, bool_or(held AND artifact_id = asked) AS has
+    FROM (SELECT c.session_id, c.seq, c.artifact_id AS asked, t.artifact_id, t.rnk, t.flags,
+            t.classified AND coalesce(t.next_touch >= c.seq, true)
+                AND coalesce(t.dropped >= c.seq, true) AS held,
+            t.seq > coalesce(c.last_drop, -1) OR t.classified
+                AND coalesce(t.next_touch > c.last_drop, true)
+                AND coalesce(t.dropped > c.last_drop, true) AS visible
+        FROM fx_asked c JOIN fx_span t ON t.session_id = c.session_id AND t.seq < c.seq)
+    GROUP BY session_id, seq)"""

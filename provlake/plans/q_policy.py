@@ -41,17 +41,14 @@ def conditions(spark, sf):
 
 
 #: Per-call facts and running state under recorded outcomes, then the published policy set.
-_P02 = I.DUCK_EFFECTS + """,
+_P02 = I.DUCK_RUNNING + """,
 fx_state AS (
     SELECT c.*, p.rnk, p.flags, (p.rnk >= 2 OR len(p.flags) > 0) AS classified,
-        (SELECT count(DISTINCT artifact_id) FROM fx_touch t WHERE t.session_id = c.session_id
-            AND t.seq < c.seq AND t.classified) AS depth,
-        (SELECT coalesce(bool_or(list_contains(t.flags, 'credential')), false) FROM fx_touch t
-            WHERE t.session_id = c.session_id AND t.seq < c.seq) AS cred,
-        NOT EXISTS (SELECT 1 FROM fx_touch t WHERE t.session_id = c.session_id AND t.seq < c.seq
-            AND t.classified AND t.artifact_id = c.artifact_id) AS first_touch,
+        coalesce(s.depth, 0) AS depth, coalesce(list_contains(s.flags, 'credential'), false) AS cred,
+        NOT coalesce(s.has, false) AS first_touch,
         c.op = 'artifact.egress' AS is_egress, c.posture IN ('steer', 'bar') AS enforcing
-    FROM fx_call c JOIN fx_path p ON p.path = c.path),
+    FROM fx_call c JOIN fx_path p ON p.path = c.path
+    LEFT JOIN fx_seen s ON s.session_id = c.session_id AND s.seq = c.seq),
 fx_match AS (
     SELECT *, list_filter([
         CASE WHEN enforcing AND is_egress AND cred THEN '30-classified#forbid-credential-egress' END,

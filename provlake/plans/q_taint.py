@@ -99,18 +99,15 @@ def measures(spark, sf):
 
 @query("t_06_running_state", duck(["fx_call"], f"""
     SELECT c.session_id, c.seq,
-        (SELECT {I.duck_labels('coalesce(max(rnk), 0)', 'coalesce(list_distinct(flatten(list(flags))), [])')}
-         FROM fx_touch t WHERE t.session_id = c.session_id AND t.seq < c.seq) AS taint,
-        (SELECT count(DISTINCT artifact_id) FROM fx_touch t WHERE t.session_id = c.session_id
-            AND t.seq < c.seq AND classified) AS taint_depth,
+        {I.duck_labels('coalesce(s.rnk, 0)', 'coalesce(list_distinct(s.flags), [])')} AS taint,
+        coalesce(s.depth, 0) AS taint_depth,
         (SELECT count(*) FROM fx_touch t WHERE t.session_id = c.session_id AND t.seq < c.seq)
             AS artifacts_touched,
         (SELECT count(*) FROM fx_touch t WHERE t.session_id = c.session_id AND t.seq < c.seq
             AND t.seq > coalesce((SELECT max(seq) FROM fx_effect e WHERE e.session_id = c.session_id
                 AND e.seq < c.seq AND e.op = 'artifact.egress'), -1)) AS since_last_egress,
-        NOT EXISTS (SELECT 1 FROM fx_touch t WHERE t.session_id = c.session_id AND t.seq < c.seq
-            AND classified AND t.artifact_id = c.artifact_id) AS first_touch
-    FROM fx_call c""", _EFF))
+        NOT coalesce(s.has, false) AS first_touch
+    FROM fx_call c LEFT JOIN fx_seen s USING (session_id, seq)""", I.DUCK_RUNNING))
 def running_state(spark, sf):
     recs = I.records(spark, sf)
     rows = recs.select("session_id", "seq", "artifact_id")

@@ -232,3 +232,28 @@ def test_policy_files(spark, tmp_path):
     assert [p.id for p in got] == ["10-a#one", "20-b#two"] and len(digest) == 64
     assert P.decide(got, "x", "steer", {"call.is_egress": True}) == ("deny", "20-b#two")
     assert policy.policy_table(spark, got).count() == 2
+
+
+def test_a_declassification_takes_its_artifact_back(spark):
+    """The running state after the last record equals the rollup of the same records."""
+    ref = lambda a, *labels: [(a, f"/{a}", None, list(labels))]
+    rows = [("s", 0, "artifact.read", ref("a", "restricted", "pii"), None),
+            ("s", 1, "artifact.read", ref("b", "internal"), None),
+            ("s", 2, "custody.declassify", [], "a"), ("s", 3, "artifact.read", ref("a", "pii"), None),
+            ("s", 4, "custody.declassify", [], "other"), ("s", 5, "artifact.egress", [], None),
+            ("t", 0, "artifact.read", ref("a", "restricted"), None), ("t", 1, "artifact.read", [], None)]
+    e = spark.createDataFrame(
+        [(*r[:3], "allow", None, r[3], [], [], r[4], r[3][0][0] if r[3] else None) for r in rows],
+        "session_id string, seq long, op string, outcome string, action_id string, "
+        f"used {T.REF}, generated {T.REF}, derived_from {T.DERIVED}, declassified string, artifact_id string")
+    ask = e.select("session_id", "seq", "artifact_id").unionByName(spark.createDataFrame(
+        [("s", 9, "a"), ("t", 9, "a")], "session_id string, seq long, artifact_id string"))
+    got = {(r.session_id, r.seq): r for r in T.running_state(e, ask).collect()}
+    end = {r.session_id: r for r in T.rollup(e).collect()}
+    for s in ("s", "t"):
+        last = got[s, 9]
+        assert (sorted(last.taint), last.taint_depth, last.artifacts_touched, last.since_last_egress) == (
+            sorted(end[s].labels), end[s].depth, end[s].touched, end[s].since_last_egress)
+    assert (got["s", 2].taint, got["s", 2].taint_depth) == (["pii", "restricted"], 1)
+    assert (got["s", 3].taint, got["s", 3].taint_depth, got["s", 3].first_touch) == (["public"], 0, True)
+    assert (got["s", 9].first_touch, got["t", 9].first_touch) == (False, False)

@@ -6,18 +6,9 @@ from compare import compare
 from provlake.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-FAST = [
-    "c_01_classify_paths", "c_03_mentions", "c_05_identity", "c_07_manifest_diff",
-    "c_08_handler", "t_01_label_join", "t_02_label_predicates", "t_03_effects", "t_04_rollup",
-    "t_07_state_digest", "p_01_conditions", "p_04_posture", "k_01_risk_score",
-    "k_04_frequency_guard", "k_05_build_guard", "l_03_record_hash", "l_04_append", "l_10_tail",
-    "v_02_tier_a", "v_03_boundary", "r_01_reconcile", "r_05_nonces", "e_07_claim_status",
-    "e_09_retractions", "q_02_regime_rollup", "q_05_answers", "x_04_spans", "m_01_call_sites",
-    "m_05_outstanding", "st_05_frequency_guard", "st_07_ledger_sink",
-]
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_oracle(spark, name):
     assert compare(spark, name, SF) is None
 
