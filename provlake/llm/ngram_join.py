@@ -14,8 +14,9 @@ Deciding who links: the documents that meet under one leader are points in an R-
 hash puts it into one of GROUPS groups, and the counts of the groups are a document's coordinates.
 The intersection of two sets is at most the sum of the smaller coordinates; for two boxes, of the
 smaller upper corners. Node pairs and then document pairs that cannot reach the threshold are
-pruned; survivors are verified on the full sets, closest first, skipping pairs that are already
-in one component. More than SHARD documents under one leader are split into shards and compared
+pruned. This is done twice: on count vectors alone, to leave only documents with a partner, and
+with their texts, where surviving pairs are verified on the full sets, closest first, skipping
+pairs that are already in one component. More than SHARD documents under one leader are split into shards and compared
 shard pair by shard pair.
 
 Null texts and texts without words have an empty set and link with nothing, not even each other.
@@ -78,24 +79,26 @@ def heat(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 def described(docs: DataFrame, hot: np.ndarray, width: int = WIDTH,
               percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, digest, keys): size and digest of each set (null if empty) and its key shingles,
-    cold ones and (in ``hot_keys``) those of frequent buckets."""
+    """(doc_id, n, digest, keys, hot_keys, counts): size and digest of each set (null if empty), its
+    key shingles, those of frequent buckets apart, and its count vector."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
-                        ("keys", pa.list_(pa.int64())), ("hot_keys", pa.list_(pa.int64()))])
+                        ("keys", pa.list_(pa.int64())), ("hot_keys", pa.list_(pa.int64())),
+                        ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heat_of = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                n, digest, keys, hot_keys = [], [], [], []
+                n, digest, keys, hot_keys, counts = [], [], [], [], []
                 for s in shingle_sets(part.column(1).to_pylist(), width):
                     n.append(len(s))
                     if not len(s):
                         digest.append(None)
                         keys.append([])
                         hot_keys.append([])
+                        counts.append(None)
                         continue
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     h = heat_of[s >> np.uint64(64 - BUCKET_BITS)]
@@ -103,13 +106,15 @@ def described(docs: DataFrame, hot: np.ndarray, width: int = WIDTH,
                     k, kh = s[first].view(np.int64), h[first] > 0
                     keys.append(k[~kh])
                     hot_keys.append(k[kh])
+                    counts.append(points([s]).astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, f.type) for c, f in
-                                       zip((n, digest, keys, hot_keys), list(schema)[1:],
+                                       zip((n, digest, keys, hot_keys, counts), list(schema)[1:],
                                            strict=True))], schema=schema)
 
     return _texts(docs).mapInArrow(
-        run, "doc_id long, n long, digest binary, keys array<long>, hot_keys array<long>")
+        run, "doc_id long, n long, digest binary, keys array<long>, hot_keys array<long>, "
+             "counts binary")
 
 
 def _met_cold(keys: DataFrame, percent: int) -> DataFrame:
@@ -204,13 +209,17 @@ class Tree:
                 stack += [(i, below2[0]), (i, below2[1])]
 
 
+def points(sets: list[np.ndarray]) -> np.ndarray:
+    """Count vectors: how many shingles of each set fall into each group."""
+    return np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                     for s in sets])
+
+
 def links(sets: list[np.ndarray], percent: int = PERCENT,
           side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Linking pairs that hold the sets' components together (of different sides, where given)."""
     size = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
-                       for s in sets])
-    found = list(Tree(points, size).pairs(percent, side))
+    found = list(Tree(points(sets), size).pairs(percent, side))
     if not found:
         return []
     a, b, bound = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -234,51 +243,76 @@ def links(sets: list[np.ndarray], percent: int = PERCENT,
     return out
 
 
-def _verified(met: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among the documents met under each leader; ``met`` holds distinct pairs."""
+def _grouped(batches: Iterator[pa.RecordBatch], decode) -> Iterator[tuple]:
+    """((leader, x, y), ids, shards, decoded values) of rows sorted by leader, x, y and id; the
+    columns are leader, x, y, own, rep and the value. Repeated ids count once."""
+    now, ids, own, values = None, [], [], []
+    for b in batches:
+        leader, x, y, mine, rep = (b.column(c).to_pylist() for c in range(5))
+        for at in range(0, b.num_rows, 500):
+            for k, v in enumerate(decode(b.column(5).slice(at, 500).to_pylist()), at):
+                if (leader[k], x[k], y[k]) != now:
+                    if len(ids) > 1:
+                        yield now, ids, np.array(own), values
+                    now, ids, own, values = (leader[k], x[k], y[k]), [], [], []
+                if not ids or rep[k] != ids[-1]:
+                    ids.append(rep[k])
+                    own.append(mine[k])
+                    values.append(v)
+    if len(ids) > 1:
+        yield now, ids, np.array(own), values
+
+
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    return (rows.repartition("leader", "x", "y")
+            .sortWithinPartitions("leader", "x", "y", "rep"))
+
+
+def _candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(leader, x, y, own, rep) of the documents that the R-tree of their leader's shards x and y
+    leaves with a partner. Only count vectors travel here; ``met`` holds distinct pairs."""
     parts = met.groupBy("leader").agg(F.count(F.lit(1)).alias("m")).select(
         "leader", F.ceil(F.col("m") / SHARD).cast("int").alias("parts"))
     own = F.when(F.col("parts") == 1, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = (met.join(cut_lineage(parts), "leader").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("rep", "leader", F.least("own", "other").alias("x"),
-                    F.greatest("own", "other").alias("y"), "own"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    ready = (rows.join(texts, "rep").repartition("leader", "x", "y")
-             .sortWithinPartitions("leader", "x", "y", "rep"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+            .select("leader", F.least("own", "other").alias("x"),
+                    F.greatest("own", "other").alias("y"), "own", "rep"))
+    ready = _sorted_groups(rows.join(sets.select("rep", "counts"), "rep").select(
+        "leader", "x", "y", "own", "rep", "counts"))
+    names = ["leader", "x", "y", "own", "rep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, own, sets = None, [], [], []
+        vectors = lambda values: (np.frombuffer(v, np.uint32) for v in values)
+        for key, ids, own, found in _grouped(batches, vectors):
+            p = np.stack(found).astype(np.int64)
+            keep = np.zeros(len(ids), bool)
+            for i, j, _ in Tree(p, p.sum(1)).pairs(percent, None if key[1] == key[2] else own):
+                keep[i] = keep[j] = True
+            if keep.any():
+                n = int(keep.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()),
+                     pa.array([key[2]] * n, pa.int32()), pa.array(own[keep], pa.int32()),
+                     pa.array(np.array(ids)[keep], pa.int64())], names=names)
 
-        def closed() -> list[tuple[int, int]]:
-            if len(ids) < 2:
-                return []
-            side = None if now[1] == now[2] else np.array(own)
-            return [(ids[i], ids[j]) for i, j in links(sets, percent, side)]
+    return ready.mapInArrow(run, "leader long, x int, y int, own int, rep long")
 
-        for b in batches:
-            found = []
-            leader, x, y, rep, mine = (b.column(c).to_pylist() for c in (1, 2, 3, 0, 5))
-            for at in range(0, b.num_rows, 500):
-                some = shingle_sets(b.column(4).slice(at, 500).to_pylist(), width)
-                for k, s in enumerate(some, at):
-                    if (leader[k], x[k], y[k]) != now:
-                        found += closed()
-                        now, ids, own, sets = (leader[k], x[k], y[k]), [], [], []
-                    if not ids or rep[k] != ids[-1]:  # a repeated id has the same set
-                        ids.append(rep[k])
-                        own.append(mine[k])
-                        sets.append(s)
-            yield _batch(found)
-        yield _batch(closed())
 
-    def _batch(found):
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64())
-                                           for i in (0, 1)], schema=schema)
+def _verified(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among candidates, decided on the full sets of their whole texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    ready = _sorted_groups(rows.join(texts, "rep").select("leader", "x", "y", "own", "rep", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, own, sets in _grouped(batches, lambda texts: shingle_sets(texts, width)):
+            found = links(sets, percent, None if key[1] == key[2] else own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[f[i]] for f in found], pa.int64()) for i in (0, 1)],
+                names=["a", "b"])
 
-    return ready.select("rep", "leader", "x", "y", "text", "own").mapInArrow(run, "a long, b long")
+    return ready.mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -287,11 +321,13 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     about = cut_lineage(described(docs, heat(docs, width), width, percent))
     sets = cut_lineage(about.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"),
-        F.first("hot_keys").alias("hot_keys")))
+        F.first("hot_keys").alias("hot_keys"),
+        F.first("counts").alias("counts")))
     met = (_met_cold(sets.select(F.explode("keys").alias("key"), "n", "rep"), percent)
            .unionByName(_met_hot(sets.select(F.explode("hot_keys").alias("key"), "rep")))
            .distinct())
-    found = components(_verified(cut_lineage(met), docs, width, percent))
+    near = cut_lineage(_candidates(cut_lineage(met), sets, percent))
+    found = components(_verified(near, docs, width, percent))
     named = sets.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component"))
     return about.select("doc_id", "n", "digest").join(cut_lineage(named), "digest", "left").select(
