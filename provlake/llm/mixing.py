@@ -9,8 +9,8 @@ source's counts add up to its quota. Within a source, permuted block draws are t
 order, so shards get disjoint draws; rows are shuffled inside a shard.
 
 The last pass ends inside a block: documents are taken in order up to the first that does not fit,
-then at most PICKS later ones that still fit. So a target is missed by less than the last
-documents' sizes and no document is taken more than twice.
+then at most PICKS later ones, of that block and the NEXT ones, that still fit. So a target is
+missed by a few words as long as short documents follow, and no document is taken more than twice.
 
 A document's size is its number of words (null and empty texts: 0; they are taken as often as
 their place in the order says and add nothing). Null is a source of its own. Rows with equal ids
@@ -40,7 +40,7 @@ REPEATS = 2
 BLOCK_WORDS = 1 << 16
 #: Most blocks of a source, as a power of two.
 BLOCK_BITS = 16
-PICKS = 64
+PICKS, NEXT = 64, 3
 #: Output shards: one for so many words, within these numbers.
 SHARD_WORDS, SHARDS = 1 << 26, (64, 4096)
 SEED = 20
@@ -139,12 +139,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
             .withColumn("before", F.coalesce(F.sum("words").over(
                 W.partitionBy("n").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
     last = (sums.filter("before <= room AND before + words > room")
-            .select("n", "block", (F.col("room") - F.col("before")).alias("left")))
-    edge = (at.join(F.broadcast(last), ["n", "block"]).groupBy("n", "left", "place")
-            .agg(F.sum("size").alias("size")).withColumnRenamed("left", "room"))
-    for r in _fill(edge).join(F.broadcast(last), "n").collect():
-        plans[r["n"]] |= {"cut": r["cut"], "picks": list(r["picks"]), "edge": r["block"]}
-    quotas = [p["whole"] * (1 << p["bits"]) + (p.get("edge", -1) + 1) for p in plans]
+            .select("n", F.col("block").alias("edge"), (F.col("room") - F.col("before")).alias("left")))
+    edge = (at.join(F.broadcast(last), "n").filter(F.col("block").between(
+        F.col("edge"), F.col("edge") + NEXT)).groupBy("n", "left", "place")
+        .agg(F.sum("size").alias("size")).withColumnRenamed("left", "room"))
+    for r in _fill(edge).collect():
+        plans[r["n"]] |= {"cut": r["cut"], "picks": list(r["picks"])}
+    quotas = []
+    for p in plans:
+        ends = [x for x in (p.get("cut"), *p.get("picks", ())) if x is not None]
+        part = 1 + (max(ends) >> (63 - p["bits"])) if ends else 0
+        quotas.append(p["whole"] * (1 << p["bits"]) + part)
     counts = split(quotas, shards, np.random.default_rng(seed))
     for p, q, c in zip(plans, quotas, counts.T, strict=True):
         p |= {"quota": q, "bounds": np.cumsum(c).tolist()}
@@ -161,7 +166,7 @@ def draws(docs: DataFrame, plans: list[dict], seed: int = SEED, as_name: str = "
     """
     spark = docs.sparkSession
     schema = ("name string, source_size long, target double, bits int, whole int, room long, "
-              "cut long, picks array<long>, edge long, quota long, bounds array<long>, factor long")
+              "cut long, picks array<long>, quota long, bounds array<long>, factor long")
     names = [x.split()[0] for x in schema.split(", ")]
     rows = [tuple(p["source"] if k == "name" else p.get(k) for k in names) for p in plans]
     pl = fresh("_plan", docs.columns)
@@ -171,8 +176,7 @@ def draws(docs: DataFrame, plans: list[dict], seed: int = SEED, as_name: str = "
     block = F.when(p("bits") == 0, F.lit(0)).otherwise(
         F.call_function("shiftrightunsigned", at, F.lit(63) - p("bits"))).cast("long")
     blocks = F.call_function("shiftleft", F.lit(1).cast("long"), p("bits"))
-    extra = F.when(p("edge").isNull() | (block > p("edge")), 0).when(block < p("edge"), 1).when(
-        p("cut").isNull() | (at < p("cut")) | F.array_contains(p("picks"), at), 1).otherwise(0)
+    extra = F.when((at < p("cut")) | F.array_contains(p("picks"), at), 1).otherwise(0)
     copies = (p("whole") + extra).cast("int")
 
     def one(copy):
