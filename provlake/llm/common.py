@@ -105,7 +105,7 @@ def scored(docs: DataFrame, model: object, scorer: Callable[[object], Callable],
     return docs.withColumn(as_name, udf(F.col(text)))
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node id reachable, for every node of ``edges`` (a, b).
 
     Alternates the large-star and small-star steps until the edges stand still, which takes a
@@ -116,7 +116,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
          .filter("a <> b").distinct())
     e = cut_lineage(e)
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         star = (both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -132,8 +132,6 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
