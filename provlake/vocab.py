@@ -330,7 +330,7 @@ REGIME_OPS = {
     "policy": ("tool.decision", "artifact.read", "artifact.write", "artifact.egress"),
 }
 
-# ── fixed values: questionnaire ─────────────────────────────────────────────────────────────
+# ── fixed values: questionnaire; the two answer texts are this deployment's own and can be passed ─
 NEGATIVE_CONTROLS = {
     "LOG-12": "No. No continuous activity log exists for key lifecycle events.",
     "STA-09": "No. A service bill of materials is not emitted.",
