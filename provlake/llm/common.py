@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from provlake.session import cut_lineage
 
@@ -96,7 +96,7 @@ def scored(docs: DataFrame, model: object, scorer: Callable[[object], Callable],
     """``docs`` with a struct column ``as_name``; ``scorer(model)`` maps a Series of whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T._parse_datatype_string(schema))
+    @F.pandas_udf(schema)
     def udf(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = scorer(shared.value)
         for s in series:
@@ -144,8 +144,6 @@ def gapless(rows: DataFrame, group: list[str], order: list[str], name: str, chun
     chunk is moved by the rows before it. For few groups only: the offsets (groups x chunks rows)
     are broadcast. ``rows`` is used twice and should be cheap to compute again.
     """
-    from pyspark.sql import Window as W
-
     c = fresh("_chunk", rows.columns)
     off = fresh("_offset", rows.columns)
     dealt = rows.withColumn(c, F.pmod(F.xxhash64(*order), F.lit(chunks)))

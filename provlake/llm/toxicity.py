@@ -107,11 +107,12 @@ def _fit(share: float | None):
         bucket, col = np.unique(ids, return_inverse=True)
         pos = np.bincount(col, weights=y[owner], minlength=len(bucket))
         df = np.bincount(col, minlength=len(bucket))
-        a, n = pos.sum() and (y == 1).sum(), len(y)
-        expected = df * a / n
+        n = len(y)
+        expected = df * (y == 1).sum() / n
         z = np.abs(pos - expected) / np.sqrt(expected * (1 - df / n) + 1e-9)
         z[df < LEAST_TEXTS] = 0
-        keep = np.sort(np.argsort(-z, kind="stable")[:ACTIVE][z[np.argsort(-z, kind="stable")[:ACTIVE]] > 1])
+        best = np.argsort(-z, kind="stable")[:ACTIVE]
+        keep = np.sort(best[z[best] > 1])
         place = np.full(len(bucket), -1)
         place[keep] = np.arange(len(keep))
         x = np.zeros((n, len(keep)), np.float32)
