@@ -170,13 +170,29 @@ _ARROW_SEAL = pa.schema([("series", pa.string()), ("index", pa.int64())] + [
     for n in _SEAL_FIELDS] + [("seal_digest", pa.string())])
 
 
+def refused_segments(state: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """L-06: ledgers that may not be sealed (ledger_id, refusal).
+
+    ``state`` is ``dump`` over all ledgers, empty ones included; ``digests(ledger_id, file_digest)``
+    names the files that could be read. The first reason counts: broken, partial, empty, unreadable.
+    """
+    why = (F.when(~F.col("intact"), F.concat(F.lit("broken at entry "),
+                                             F.col("broken_at").cast("string")))
+           .when(F.col("truncated"), "the last record is partial")
+           .when(F.col("records") == 0, "nothing to seal"))
+    if digests is not None:
+        state = state.join(digests.select("ledger_id", "file_digest"), "ledger_id", "left")
+        why = why.when(F.col("file_digest").isNull(), "the file cannot be digested")
+    return state.select("ledger_id", why.alias("refusal")).where("refusal IS NOT NULL")
+
+
 def seal(segments: DataFrame, files: DataFrame, sealed_at: str,
          key: KeySource | None = None) -> DataFrame:
     """L-06: seals of verified segments, each naming the digest of the seal before it.
 
     ``segments(series, index, path, records, first_seq, last_seq, head_hash, refusal)`` has one
-    row per segment; ``files(path, content)`` whole segment files.  Refused segments have to be
-    filtered out by the caller (``refused_segments``).  Only these small rows are chained.
+    row per segment; ``files(path, content)`` whole segment files.  The caller leaves out what
+    ``refused_segments`` names.  Only these small rows are chained.
     """
     digests = files.select("path", T.sha(F.col("content")).alias("file_digest"))
     rows = segments.join(digests, "path").withColumns({

@@ -244,6 +244,32 @@ def append_twice(spark, sf):
         "ledger_id", "records", "intact", "truncated", "head")
 
 
+@query("l_06_refusals", duck(["fx_call"], f"""
+    SELECT ledger_id, concat('broken at entry ', broken_at) AS refusal FROM ({_VERDICT})
+    WHERE broken_at IS NOT NULL
+    UNION ALL VALUES ('L7', 'the last record is partial'), ('empty', 'nothing to seal'),
+        ('L6', 'the file cannot be digested')"""))
+def refusals(spark, sf):
+    p = planted(spark, sf)
+    ids = p.select("ledger_id").distinct()
+    known = ids.unionByName(spark.range(1).select(F.lit("empty").alias("ledger_id")))
+    torn = ids.select("ledger_id", (F.col("ledger_id") == "L7").alias("truncated"))
+    digests = known.where("ledger_id <> 'L6'").withColumn("file_digest", F.lit("d"))
+    return G.refused_segments(G.dump(torn, G.verify(p, ledgers=known)), digests)
+
+
+@query("l_10_dump", duck(["fx_call"], f"""
+    SELECT ledger_id, records, broken_at IS NULL AS intact, broken_at, ledger_id = 'L7' AS truncated
+    FROM ({_VERDICT}) UNION ALL VALUES ('empty', 0, true, NULL, false)"""))
+def dump(spark, sf):
+    p = planted(spark, sf)
+    ids = p.select("ledger_id").distinct()
+    known = ids.unionByName(spark.range(1).select(F.lit("empty").alias("ledger_id")))
+    torn = ids.select("ledger_id", (F.col("ledger_id") == "L7").alias("truncated"))
+    return G.dump(torn, G.verify(p, ledgers=known)).select(
+        "ledger_id", "records", "intact", "broken_at", "truncated")
+
+
 # ── validation ──────────────────────────────────────────────────────────────────────────────
 def predicates(spark, sf):
     return view(spark, sf, "fx_predicate").withColumn("pred", F.parse_json("predicate"))
