@@ -187,10 +187,10 @@ def verify_sealed(spark, sf):
 
 
 @query("l_08_verify_series", duck(["fx_call"], """
-    SELECT ledger_id AS path, CASE WHEN ledger_id IN ('L0', 'L7') THEN 0
-        WHEN ledger_id IN ('L2', 'L5', 'L6') THEN 1 ELSE 1 END AS links_broken
-    FROM (SELECT DISTINCT ledger_id FROM fx_call)
-    WHERE ledger_id IN ('L0', 'L5', 'L7')"""))
+    SELECT ledger_id AS path, ledger_id IN ('L0', 'L5', 'L7') AS ok, CASE
+        WHEN ledger_id IN ('L0', 'L7') THEN 0 WHEN ledger_id IN ('L5', 'L6') THEN 1
+        WHEN ledger_id = 'L2' THEN 3 ELSE 2 END AS findings
+    FROM (SELECT DISTINCT ledger_id FROM fx_call)"""))
 def verify_series(spark, sf):
     # Unauthenticated seals always have a finding; here the MAC is left out of the verdict.
     checked = _sealed(spark, sf).withColumn("findings", F.filter(
@@ -203,8 +203,8 @@ def verify_series(spark, sf):
                                               F.col("seal_digest").alias("_five"))
     linked = linked.join(five, "path", "left").withColumn("seal", F.col("seal").withField(
         "prev_seal_digest", F.coalesce("_five", F.col("seal.prev_seal_digest"))))
-    return G.verify_series(linked).where("ok").select(
-        "path", F.size("series_findings").cast("long").alias("links_broken"))
+    return G.verify_series(linked).select(
+        "path", "ok", F.size("series_findings").cast("long").alias("findings"))
 
 
 @query("l_09_heads", duck(["fx_event"], """
