@@ -14,6 +14,7 @@ and to any other text 0. Equal texts have equal fingerprints, whatever the row.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,25 +39,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _uniform(bits: np.ndarray) -> np.ndarray:
-    """32 bits to a number inside (0, 1)."""
-    return (bits.astype(np.float64) + 0.5) / 4294967296.0
+def _uniform(bits: np.ndarray, at: int) -> np.ndarray:
+    """21 of the bits, from ``at`` on, to a number inside (0, 1)."""
+    part = (bits >> np.uint64(at)).astype(np.uint32) & np.uint32(0x1FFFFF)
+    return (part.astype(np.float32) + np.float32(0.5)) * np.float32(2.0 ** -21)
 
 
 def samples(word_hash: np.ndarray, weight: np.ndarray, n: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
-    """ln a and the 16-bit hash of (word, t) for each word and sample."""
+    """ln a and t for each word and sample."""
     step = np.uint64(0x9E3779B97F4A7C15) * np.arange(1, n + 1, dtype=np.uint64)
     base = word_hash[:, None] + step[None, :]
-    low = np.uint64(0xFFFFFFFF)
-    one, two, three = _mix(base), _mix(base ^ np.uint64(0xA5A5A5A5A5A5A5A5)), _mix(base + np.uint64(7))
-    r = -np.log(_uniform(one >> np.uint64(32)) * _uniform(one & low))
-    c = -np.log(_uniform(two >> np.uint64(32)) * _uniform(two & low))
-    beta = _uniform(three >> np.uint64(32))
-    t = np.floor(np.log(weight)[:, None] / r + beta)
-    ln_a = np.log(c) - r * (t - beta) - r
-    drawn = _mix(word_hash[:, None] ^ _mix(t.astype(np.int64).astype(np.uint64) + np.uint64(1)))
-    drawn = (drawn >> np.uint64(48)).astype(np.uint16)
-    return ln_a.astype(np.float32), np.maximum(drawn, 1).astype(np.uint16)
+    one, two = _mix(base), _mix(base ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    r = -np.log(_uniform(one, 0) * _uniform(one, 21))
+    c = -np.log(_uniform(two, 0) * _uniform(two, 21))
+    beta = _uniform(one, 42)
+    t = np.floor(np.log(weight).astype(np.float32)[:, None] / r + beta)
+    return np.log(c) - r * (t - beta) - r, t.astype(np.int16)
+
+
+def drawn(word_hash: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """16-bit hashes of draws (word, t), never 0."""
+    h = _mix(word_hash ^ _mix(t.astype(np.int64).astype(np.uint64) + np.uint64(1)))
+    return np.maximum(h >> np.uint64(48), np.uint64(1)).astype(np.uint16)
 
 
 class Sampler:
@@ -70,7 +74,8 @@ class Sampler:
         self.index = WordIndex()
         self.size = 1024
         self.ln_a = np.empty((self.size, self.n), np.float32)
-        self.drawn = np.empty((self.size, self.n), np.uint16)
+        self.t = np.empty((self.size, self.n), np.int16)
+        self.hash = np.empty(self.size, np.uint64)
         self.known = 0
 
     def _learn(self) -> None:
@@ -78,18 +83,18 @@ class Sampler:
         total = self.known + len(waiting)
         if total > self.size:
             self.size = max(total, 2 * self.size)
-            for name in ("ln_a", "drawn"):
+            for name in ("ln_a", "t", "hash"):
                 old = getattr(self, name)
-                new = np.empty((self.size, self.n), old.dtype)
+                new = np.empty((self.size, *old.shape[1:]), old.dtype)
                 new[:self.known] = old[:self.known]
                 setattr(self, name, new)
         for i in range(0, len(waiting), 2000):
             part = waiting[i:i + 2000]
-            h = np.array([int.from_bytes(hashlib.blake2b(
-                w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                for w, _ in part], np.uint64)
+            data = [w.encode("utf-8", "surrogatepass") for w, _ in part]
+            h = np.array([zlib.crc32(d) | len(d) << 32 for d in data], np.uint64)
             at = slice(self.known + i, self.known + i + len(part))
-            self.ln_a[at], self.drawn[at] = samples(h, np.array([k for _, k in part], float), self.n)
+            self.hash[at] = h
+            self.ln_a[at], self.t[at] = samples(h, np.array([k for _, k in part], float), self.n)
         self.known = total
         waiting.clear()
 
@@ -103,7 +108,7 @@ class Sampler:
         if self.index.waiting:
             self._learn()
         best = rows[self.ln_a[rows].argmin(0)]
-        return self.drawn[best, np.arange(self.n)]
+        return drawn(self.hash[best], self.t[best, np.arange(self.n)])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
