@@ -36,7 +36,7 @@ STEPS, RATE, DECAY = 40, 0.08, 1e-6
 LONGEST_WORD = 64
 SEGMENT = 256
 #: Words remembered by a task before it forgets all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 UNKNOWN = "und"
 
 
@@ -286,7 +286,7 @@ class Labeller:
 
 
 #: Words that are labelled together; a longer text is labelled by itself.
-BATCH_WORDS = 200_000
+BATCH_WORDS = 100_000
 
 
 def _batches(texts: list):

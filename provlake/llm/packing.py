@@ -28,8 +28,8 @@ from provlake.session import cut_lineage
 LONGEST = 2048
 END_ID = 1
 #: Words remembered by a worker, and their characters, before it forgets all and starts anew.
-REMEMBERED = 1_000_000
-REMEMBERED_CHARS = 48_000_000
+REMEMBERED = 300_000
+REMEMBERED_CHARS = 16_000_000
 #: White space before and after a space (or a space that ends the text after white space): there
 #: the tokenizer's own split may not fall on the space, so such a text is encoded as a whole.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)|\x85 | \x85")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Characters of text that are hashed together.
-PART = 1 << 22
+PART = 1 << 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.random.default_rng(1234).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}

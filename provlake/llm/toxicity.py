@@ -29,7 +29,7 @@ RANK, STEPS, RATE = 8, 200, 0.05
 LINEAR_DECAY, PAIR_DECAY = 2e-5, 3e-4
 THRESHOLD = 0.5
 #: Words remembered by a task before it forgets all and starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def terms(token: str) -> list[int]:
@@ -46,12 +46,12 @@ class Bags:
 
     def __init__(self, active: np.ndarray | None = None):
         self.row = None if active is None else {int(b): i for i, b in enumerate(active)}
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}
 
-    def _of(self, token: str) -> list[int]:
-        t = terms(token)
+    def _of(self, token: str) -> tuple[int, ...]:
+        t = tuple(terms(token))
         if self.row is not None:
-            t = [self.row[b] for b in t if b in self.row]
+            t = tuple(self.row[b] for b in t if b in self.row)
         self.seen[token] = t
         return t
 
