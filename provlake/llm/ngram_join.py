@@ -20,7 +20,7 @@ pairs that are already in one component. More than SHARD documents under one lea
 shard pair by shard pair.
 
 Null texts and texts without words have an empty set and link with nothing, not even each other.
-Repeated rows have equal sets and so link. Null ids take part under no id and are left out of the
+Repeated rows have equal sets and so link; rows with one id are one document to its links. Null ids take part under no id and are left out of the
 links: their component is null.
 """
 
@@ -30,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ BUCKET_BITS = 20
 GROUPS = 256
 LEAF = 16
 SHARD = 512
+#: Bits of the map that tells which texts are wanted.
+BITMAP_BITS = 26
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -53,68 +56,85 @@ def _texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), "text")
 
 
-def heat(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """How frequent the shingles of each bucket are: 0, or the logarithm of the count.
+def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n, digest) of every document: size and digest of its set, digest null if empty;
+    and (bucket, n) rows: the shingle buckets that stand out in the counts of a task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
+                        ("bucket", pa.int64())])
 
-    Every document is counted. A task reports the buckets that stand out in its own counts, so
-    the rows that reach the driver are at most the 2^20 buckets.
-    """
-    schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
+    def batch(doc_id, n, digest, bucket) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip((doc_id, n, digest, bucket), schema, strict=True)],
+            schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                for s in shingle_sets(b.slice(at, 500).column(1).to_pylist(), width):
+                part = b.slice(at, 500)
+                n, digest = [], []
+                for s in shingle_sets(part.column(1).to_pylist(), width):
+                    n.append(len(s))
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                                  if len(s) else None)
                     np.add.at(count, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                yield batch(part.column(0), n, digest, [None] * len(n))
         hot = np.flatnonzero(count >= max(8, 6 * count.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(count[hot])], schema=schema)
+        yield batch([None] * len(hot), count[hot], [None] * len(hot), hot)
 
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, digest binary, bucket long")
+
+
+def heat(about: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each bucket are: 0, or the logarithm of the count.
+
+    Every document is counted; the rows that reach the driver are at most the 2^20 buckets.
+    """
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for bucket, n in (_texts(docs).mapInArrow(run, "bucket long, n long").groupBy("bucket")
-                      .agg(F.sum("n")).collect()):
+    for bucket, n in about.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n")).collect():
         out[bucket] = int(n).bit_length()
     return out
 
 
-def described(docs: DataFrame, hot: np.ndarray, width: int = WIDTH,
-              percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, digest, keys, hot_keys, counts): size and digest of each set (null if empty), its
-    key shingles, those of frequent buckets apart, and its count vector."""
+def _keys(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(key, n, rep, hot): the key shingles of each document; hot ones lie in frequent buckets."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
-                        ("keys", pa.list_(pa.int64())), ("hot_keys", pa.list_(pa.int64())),
-                        ("counts", pa.binary())])
+    names = ["key", "n", "rep", "hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heat_of = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                n, digest, keys, hot_keys, counts = [], [], [], [], []
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                keys, frequent, size = [], [], []
                 for s in shingle_sets(part.column(1).to_pylist(), width):
-                    n.append(len(s))
-                    if not len(s):
-                        digest.append(None)
-                        keys.append([])
-                        hot_keys.append([])
-                        counts.append(None)
-                        continue
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     h = heat_of[s >> np.uint64(64 - BUCKET_BITS)]
                     first = np.argsort(h, kind="stable")[:prefix_length(len(s), percent)]
-                    k, kh = s[first].view(np.int64), h[first] > 0
-                    keys.append(k[~kh])
-                    hot_keys.append(k[kh])
-                    counts.append(points([s]).astype(np.uint32).tobytes())
+                    keys.append(s[first].view(np.int64))
+                    frequent.append(h[first] > 0)
+                    size.append(len(s))
+                count = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, f.type) for c, f in
-                                       zip((n, digest, keys, hot_keys, counts), list(schema)[1:],
-                                           strict=True))], schema=schema)
+                    [pa.array(np.concatenate(keys)), pa.array(np.repeat(size, count)),
+                     pa.array(np.repeat(ids, count)), pa.array(np.concatenate(frequent))],
+                    names=names)
 
-    return _texts(docs).mapInArrow(
-        run, "doc_id long, n long, digest binary, keys array<long>, hot_keys array<long>, "
-             "counts binary")
+    return docs.select("rep", "text").mapInArrow(run, "key long, n long, rep long, hot boolean")
+
+
+def _counts(docs: DataFrame, width: int) -> DataFrame:
+    """(rep, counts): the count vectors of documents (rep, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sets = shingle_sets(part.column(1).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(
+                    [c.astype(np.uint16 if c.max() < 1 << 16 else np.uint32).tobytes()
+                     for c in points(sets)], pa.binary())], names=["rep", "counts"])
+
+    return docs.select("rep", "text").mapInArrow(run, "rep long, counts binary")
 
 
 def _met_cold(keys: DataFrame, percent: int) -> DataFrame:
@@ -146,8 +166,8 @@ def _met_cold(keys: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])],
                                              schema=schema)
 
-    return (keys.repartition("key").sortWithinPartitions("key", "n", "rep")
-            .mapInArrow(run, "leader long, rep long"))
+    return (keys.select("key", "n", "rep").repartition("key")
+            .sortWithinPartitions("key", "n", "rep").mapInArrow(run, "leader long, rep long"))
 
 
 def _met_hot(keys: DataFrame) -> DataFrame:
@@ -245,7 +265,7 @@ def links(sets: list[np.ndarray], percent: int = PERCENT,
 
 def _grouped(batches: Iterator[pa.RecordBatch], decode) -> Iterator[tuple]:
     """((leader, x, y), ids, shards, decoded values) of rows sorted by leader, x, y and id; the
-    columns are leader, x, y, own, rep and the value. Repeated ids count once."""
+    columns are leader, x, y, own, rep and the value. Repeated rows count once."""
     now, ids, own, values = None, [], [], []
     for b in batches:
         leader, x, y, mine, rep = (b.column(c).to_pylist() for c in range(5))
@@ -255,7 +275,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], decode) -> Iterator[tuple]:
                     if len(ids) > 1:
                         yield now, ids, np.array(own), values
                     now, ids, own, values = (leader[k], x[k], y[k]), [], [], []
-                if not ids or rep[k] != ids[-1]:
+                if not ids or rep[k] != ids[-1] or not np.array_equal(v, values[-1]):
                     ids.append(rep[k])
                     own.append(mine[k])
                     values.append(v)
@@ -268,9 +288,9 @@ def _sorted_groups(rows: DataFrame) -> DataFrame:
             .sortWithinPartitions("leader", "x", "y", "rep"))
 
 
-def _candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _candidates(met: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(leader, x, y, own, rep) of the documents that the R-tree of their leader's shards x and y
-    leaves with a partner. Only count vectors travel here; ``met`` holds distinct pairs."""
+    leaves with a partner. Only count vectors are moved here; ``met`` holds distinct pairs."""
     parts = met.groupBy("leader").agg(F.count(F.lit(1)).alias("m")).select(
         "leader", F.ceil(F.col("m") / SHARD).cast("int").alias("parts"))
     own = F.when(F.col("parts") == 1, F.lit(0)).otherwise(
@@ -279,14 +299,16 @@ def _candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .select("leader", F.least("own", "other").alias("x"),
                     F.greatest("own", "other").alias("y"), "own", "rep"))
-    ready = _sorted_groups(rows.join(sets.select("rep", "counts"), "rep").select(
+    counts = _counts(_among(texts, met, "rep"), width)
+    ready = _sorted_groups(rows.join(counts, "rep").select(
         "leader", "x", "y", "own", "rep", "counts"))
     names = ["leader", "x", "y", "own", "rep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = lambda values: (np.frombuffer(v, np.uint32) for v in values)
+        vectors = lambda values: (np.frombuffer(
+            v, np.uint16 if len(v) == 2 * GROUPS else np.uint32).astype(np.int64) for v in values)
         for key, ids, own, found in _grouped(batches, vectors):
-            p = np.stack(found).astype(np.int64)
+            p = np.stack(found)
             keep = np.zeros(len(ids), bool)
             for i, j, _ in Tree(p, p.sum(1)).pairs(percent, None if key[1] == key[2] else own):
                 keep[i] = keep[j] = True
@@ -300,10 +322,36 @@ def _candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ready.mapInArrow(run, "leader long, x int, y int, own int, rep long")
 
 
-def _verified(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _among(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``docs`` without most rows whose ``key`` is not in ``ids``, where they lie.
+
+    The hashed ids are gathered into a bitmap of 2^BITMAP_BITS bits, whatever their number, which
+    is broadcast; it keeps every row that is in ``ids`` and some that are not.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    made = ids.select(h(F.col(key)).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    # Buckets are numbered from 1 and hold the values that share their quotient.
+    per = 8 * 4096
+    bitmap = np.zeros(((1 << BITMAP_BITS) // per + 2, 4096), np.uint8)
+    for b, bits in made:
+        bitmap[b] = np.frombuffer(bytes(bits), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def has(bucket: pd.Series, at: pd.Series) -> pd.Series:
+        b, p = bucket.to_numpy(np.int64), at.to_numpy(np.int64)
+        return pd.Series((shared.value[b, p >> 3] >> (p & 7)) & 1 == 1)
+
+    hashed = h(F.col(key))
+    return docs.filter(F.col(key).isNotNull()).filter(
+        has(F.bitmap_bucket_number(hashed), F.bitmap_bit_position(hashed)))
+
+
+def _verified(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) among candidates, decided on the full sets of their whole texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    ready = _sorted_groups(rows.join(texts, "rep").select("leader", "x", "y", "own", "rep", "text"))
+    ready = _sorted_groups(rows.join(_among(texts, rows, "rep"), "rep").select(
+        "leader", "x", "y", "own", "rep", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, ids, own, sets in _grouped(batches, lambda texts: shingle_sets(texts, width)):
@@ -317,17 +365,18 @@ def _verified(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    about = cut_lineage(described(docs, heat(docs, width), width, percent))
+    docs = _texts(docs)
+    both = cut_lineage(described(docs, width))
+    about = both.filter("bucket IS NULL")
     sets = cut_lineage(about.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"),
-        F.first("hot_keys").alias("hot_keys"),
-        F.first("counts").alias("counts")))
-    met = (_met_cold(sets.select(F.explode("keys").alias("key"), "n", "rep"), percent)
-           .unionByName(_met_hot(sets.select(F.explode("hot_keys").alias("key"), "rep")))
-           .distinct())
-    near = cut_lineage(_candidates(cut_lineage(met), sets, percent))
-    found = components(_verified(near, docs, width, percent))
+        F.min("doc_id").alias("rep")))
+    texts = docs.filter("text IS NOT NULL").withColumnRenamed("doc_id", "rep")
+    # A copy that the bitmap lets through meets its smallest copy again and links with it.
+    keys = _keys(_among(texts, sets, "rep"), heat(both), width, percent)
+    met = cut_lineage(_met_cold(keys.filter("NOT hot"), percent).unionByName(
+        _met_hot(cut_lineage(keys.filter("hot")))).distinct())
+    near = cut_lineage(_candidates(met, texts, width, percent))
+    found = components(_verified(near, texts, width, percent))
     named = sets.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component"))
     return about.select("doc_id", "n", "digest").join(cut_lineage(named), "digest", "left").select(

@@ -343,3 +343,10 @@ def test_join_of_hot_and_near_copies(spark):
 def test_prefixes_meet():
     for n in range(1, 200):
         assert ngram_join.prefix_length(n) == n - math.ceil(0.85 * n - 1e-9) + 1
+
+
+def test_bitmap_keeps_what_is_wanted_and_little_else(spark):
+    docs = spark.range(20000).selectExpr("id AS rep", "cast(id AS string) AS text")
+    ids = spark.createDataFrame([(i,) for i in range(0, 20000, 100)] + [(None,)], "rep long")
+    kept = {r.rep for r in ngram_join._among(docs, ids, "rep").collect()}
+    assert set(range(0, 20000, 100)) <= kept and len(kept) < 230
