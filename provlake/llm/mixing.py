@@ -8,14 +8,16 @@ from the multivariate hypergeometric distribution, so every shard gets exact blo
 source's counts add up to its quota. Within a source, permuted block draws are then cut in that
 order, so shards get disjoint draws; rows are shuffled inside a shard.
 
-The last pass ends inside a block: documents are taken in order up to the first that does not fit,
-then at most PICKS later ones, of that block and the NEXT ones, that still fit. So a target is
-missed by a few words as long as short documents follow, and no document is taken more than twice.
+The last pass takes, in that order, every document that fits the room left: a longer one is passed
+over and all documents after it compete for the room. So a target is missed by less than the
+shortest document that is left out after the last one taken, and no document is taken more than
+twice. The pass has as many block draws as its words fill; blocks beyond that wrap around.
 
 A document's size is its number of words (null and empty texts: 0; they are taken as often as
 their place in the order says and add nothing). Null is a source of its own. Rows with equal ids
-are taken together. One row per source passes through the driver: sources are what weights are
-given to, so their number is that of the mixture's entries.
+are taken together. One row per source passes through the driver, in each of the few rounds that
+fill the last pass: sources are what weights are given to, so their number is that of the mixture's
+entries.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provlake.llm.common import WORD_PATTERN, fresh
-from provlake.session import cut_lineage
+from provlake.session import cut_lineage, scratch_path
 
 #: Weights in the order of the source names, repeated; taken share of all sizes; most repeats.
 WEIGHTS = (5, 2, 1)
@@ -40,7 +42,6 @@ REPEATS = 2
 BLOCK_WORDS = 1 << 16
 #: Most blocks of a source, as a power of two.
 BLOCK_BITS = 16
-PICKS, NEXT = 64, 3
 #: Output shards: one for so many words, within these numbers.
 SHARD_WORDS, SHARDS = 1 << 26, (64, 4096)
 SEED = 20
@@ -90,34 +91,110 @@ def split(quotas: list[int], shards: int, rng: np.random.Generator) -> np.ndarra
     return counts
 
 
-def _fill(rows: DataFrame) -> DataFrame:
-    """Per source, of rows (source, room, place, size): where to cut, and later places that fit."""
+def _block(at, bits):
+    """The block that a place lies in."""
+    return F.when(bits == 0, F.lit(0)).otherwise(
+        F.call_function("shiftrightunsigned", at, F.lit(63) - bits)).cast("long")
+
+
+def _fits(at, size, p):
+    """Is a document of the last pass taken? Each step (start, most) bounds the sizes from there on."""
+    return (at <= p("end")) & F.forall(
+        p("steps"), lambda s: (at < s["start"]) | (size <= s["most"]))
+
+
+def _scan(rows: DataFrame) -> DataFrame:
+    """Per source, of one block's rows (n, room, place, size): steps, last place taken, room left."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, out = None, []
         for b in batches:
-            for s, room, at, size in zip(b["n"], b["room"], b["place"], b["size"], strict=True):
-                if s != now:
-                    now, left, cut, picks = s, room, None, []
-                    out.append([s, None, picks])
-                if size <= left:
-                    if cut is not None and size and len(picks) < PICKS:
-                        picks.append(at)
-                        left -= size
-                    elif cut is None:
-                        left -= size
-                elif cut is None:
-                    cut = out[-1][1] = at
-        yield pd.DataFrame(out, columns=["n", "cut", "picks"]).astype({"cut": "Int64"})
+            for n, room, at, size in zip(b["n"], b["room"], b["place"], b["size"], strict=True):
+                if n != now:
+                    now, most = n, None
+                    out.append([n, [], None, room])
+                if size <= out[-1][3]:
+                    out[-1][2] = at
+                    out[-1][3] -= size
+                elif most is None or size <= most:
+                    most = out[-1][3]
+                    out[-1][1].append((at, most))
+        yield pd.DataFrame(out, columns=["n", "steps", "end", "left"]).astype({"end": "Int64"})
 
     return (rows.repartition("n").sortWithinPartitions("n", "place")
-            .mapInPandas(run, "n int, cut long, picks array<long>"))
+            .mapInPandas(run, "n int, steps array<struct<start:long,most:long>>, end long, left long"))
+
+
+def _fill(places: DataFrame, plans: list[dict]) -> None:
+    """Fill the last passes: adds to the plans ``steps``, ``end`` (last place taken) and ``filled``.
+
+    ``places`` has (n, place, size). A round takes whole blocks of all documents that fit by
+    themselves up to the block where their sum exceeds the room, and goes through that block in
+    order. It goes on behind that block until nothing that follows fits. As the order is random, the
+    room shrinks fast and rounds are few.
+    """
+    spark = places.sparkSession
+    for p in plans:
+        p |= {"steps": [], "end": None, "filled": 0}
+    todo = {p["n"]: 0 for p in plans if p["room"]}
+    while todo:
+        for n, start in todo.items():
+            plans[n]["steps"].append((start, plans[n]["room"] - plans[n]["filled"]))
+        state = spark.createDataFrame(
+            [(n, start, plans[n]["bits"], plans[n]["steps"][-1][1]) for n, start in todo.items()],
+            "n int, start long, bits int, room long")
+        live = (places.join(F.broadcast(state), "n").filter("place >= start AND size BETWEEN 1 AND room")
+                .withColumn("block", _block(F.col("place"), F.col("bits"))))
+        sums = (live.groupBy("n", "room", "block").agg(F.sum("size").alias("words"),
+                                                       F.max("place").alias("end"))
+                .withColumn("upto", F.sum("words").over(W.partitionBy("n").orderBy("block"))))
+        full = F.col("upto") <= F.col("room")
+        got = sums.groupBy("n").agg(
+            F.max(F.when(full, F.col("upto"))).alias("words"), F.max(F.when(full, F.col("end"))).alias("end"),
+            F.min(F.when(~full, F.col("block"))).alias("edge")).collect()
+        todo, edges = {}, []
+        for r in got:
+            p = plans[r["n"]]
+            p["filled"] += r["words"] or 0
+            p["end"] = p["end"] if r["end"] is None else r["end"]
+            if r["edge"] is not None:
+                edges.append((r["n"], r["edge"], p["room"] - p["filled"]))
+        if not edges:
+            break
+        edge = live.drop("room").join(F.broadcast(spark.createDataFrame(
+            edges, "n int, block long, room long")), ["n", "block"])
+        for r in _scan(edge.select("n", "room", "place", "size")).collect():
+            p = plans[r["n"]]
+            p["steps"] += [tuple(x) for x in r["steps"]]
+            p["end"] = p["end"] if r["end"] is None else r["end"]
+            p["filled"] = p["room"] - r["left"]
+        for n, at, _ in edges:
+            p = plans[n]
+            if p["filled"] < p["room"] and at + 1 < 1 << p["bits"]:
+                todo[n] = (at + 1) << (63 - p["bits"])
+    for p in plans:
+        p["steps"] = [s for s in p["steps"] if p["end"] is not None and s[0] <= p["end"]]
+
+
+def _apart(places: DataFrame, plans: list[dict]) -> str | None:
+    """Folder of the places whose rows together are not taken though one of them would fit."""
+    spark = places.sparkSession
+    steps = spark.createDataFrame([(p["n"], p["end"], p["steps"]) for p in plans],
+                                  "n int, end long, steps array<struct<start:long,most:long>>")
+    found = (places.filter("least < size").join(F.broadcast(steps), "n")
+             .filter(_fits(F.col("place"), F.col("least"), F.col)
+                     & ~_fits(F.col("place"), F.col("size"), F.col)))
+    path = scratch_path(spark, "mixing-apart")
+    found.select("n", "place").write.parquet(path)
+    return None if spark.read.parquet(path).isEmpty() else path
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
          shards: int | None = None, seed: int = SEED, block_words: int = BLOCK_WORDS) -> list[dict]:
-    """One entry per source, in the order of names, null last: sizes, target, cut and shard bounds."""
-    narrow = cut_lineage(docs.select("source", words().alias("size"), place(seed=seed).alias("place")))
-    got = sorted(narrow.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect(),
+    """One entry per source, in the order of names, null last: sizes, target, steps and shard bounds."""
+    narrow = cut_lineage(
+        docs.select("source", words().alias("size"), place(seed=seed).alias("place"))
+        .groupBy("source", "place").agg(F.sum("size").alias("size"), F.min("size").alias("least")))
+    got = sorted(narrow.groupBy("source").agg(F.sum("size"), F.max(F.col("least") < F.col("size"))).collect(),
                  key=lambda r: (r[0] is None, r[0] or ""))
     wanted = targets([r[1] for r in got], weights, share)
     shards = shards or int(min(max(sum(wanted) // SHARD_WORDS, SHARDS[0]), SHARDS[1]))
@@ -131,25 +208,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     if not plans:
         return []
     spark = docs.sparkSession
-    keys = spark.createDataFrame([(p["n"], p["source"], p["bits"], p["room"]) for p in plans],
-                                 "n int, name string, bits int, room long")
-    at = narrow.join(F.broadcast(keys), narrow["source"].eqNullSafe(keys["name"])).filter("room > 0")
-    at = at.withColumn("block", F.expr("CASE WHEN bits = 0 THEN 0L ELSE shiftright(place, 63 - bits) END"))
-    sums = (at.groupBy("n", "room", "block").agg(F.sum("size").alias("words"))
-            .withColumn("before", F.coalesce(F.sum("words").over(
-                W.partitionBy("n").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
-    last = (sums.filter("before <= room AND before + words > room")
-            .select("n", F.col("block").alias("edge"), (F.col("room") - F.col("before")).alias("left")))
-    edge = (at.join(F.broadcast(last), "n").filter(F.col("block").between(
-        F.col("edge"), F.col("edge") + NEXT)).groupBy("n", "left", "place")
-        .agg(F.sum("size").alias("size")).withColumnRenamed("left", "room"))
-    for r in _fill(edge).collect():
-        plans[r["n"]] |= {"cut": r["cut"], "picks": list(r["picks"])}
+    keys = spark.createDataFrame([(p["n"], p["source"]) for p in plans], "n int, name string")
+    places = narrow.join(F.broadcast(keys), narrow["source"].eqNullSafe(keys["name"])).select(
+        "n", "place", "size", "least")
+    _fill(places, plans)
+    apart = _apart(places, plans) if any(r[2] for r in got) else None
     quotas = []
     for p in plans:
-        ends = [x for x in (p.get("cut"), *p.get("picks", ())) if x is not None]
-        part = 1 + (max(ends) >> (63 - p["bits"])) if ends else 0
-        quotas.append(p["whole"] * (1 << p["bits"]) + part)
+        # Block draws in proportion to the words.
+        p["part"] = -(-(p["filled"] << p["bits"]) // p["source_size"]) if p["filled"] else 0
+        p["apart"] = apart
+        quotas.append(p["whole"] * (1 << p["bits"]) + p["part"])
     counts = split(quotas, shards, np.random.default_rng(seed))
     for p, q, c in zip(plans, quotas, counts.T, strict=True):
         p |= {"quota": q, "bounds": np.cumsum(c).tolist()}
@@ -165,29 +234,36 @@ def draws(docs: DataFrame, plans: list[dict], seed: int = SEED, as_name: str = "
     has one row per source and is broadcast; documents are not moved.
     """
     spark = docs.sparkSession
-    schema = ("name string, source_size long, target double, bits int, whole int, room long, "
-              "cut long, picks array<long>, quota long, bounds array<long>, factor long")
+    schema = ("n int, name string, source_size long, target double, bits int, whole int, "
+              "steps array<struct<start:long,most:long>>, end long, part long, quota long, "
+              "bounds array<long>, factor long")
     names = [x.split()[0] for x in schema.split(", ")]
     rows = [tuple(p["source"] if k == "name" else p.get(k) for k in names) for p in plans]
-    pl = fresh("_plan", docs.columns)
+    pl, sz, pc, ap = (fresh(x, docs.columns) for x in ("_plan", "_size", "_place", "_apart"))
     keys = spark.createDataFrame(rows, schema).select(F.struct(*names).alias(pl))
     p = lambda k: F.col(f"{pl}.{k}")
-    at = place(seed=seed)
-    block = F.when(p("bits") == 0, F.lit(0)).otherwise(
-        F.call_function("shiftrightunsigned", at, F.lit(63) - p("bits"))).cast("long")
+    sized = docs.select("*", words().alias(sz), place(seed=seed).alias(pc))
+    joined = sized.join(F.broadcast(keys), sized["source"].eqNullSafe(p("name")))
+    at, fits = F.col(pc), _fits(F.col(pc), F.col(sz), p)
+    folder = plans[0]["apart"] if plans else None
+    if folder:
+        no = spark.read.parquet(folder).select(F.struct("n", "place").alias(ap))
+        joined = joined.join(no, (at == F.col(f"{ap}.place")) & (p("n") == F.col(f"{ap}.n")), "left")
+        fits = fits & F.col(ap).isNull()
+    block = _block(at, p("bits"))
     blocks = F.call_function("shiftleft", F.lit(1).cast("long"), p("bits"))
-    extra = F.when((at < p("cut")) | F.array_contains(p("picks"), at), 1).otherwise(0)
-    copies = (p("whole") + extra).cast("int")
+    copies = (p("whole") + F.when(fits, 1).otherwise(0)).cast("int")
 
     def one(copy):
-        number = (copy * blocks + block) * p("factor") % F.greatest(p("quota"), F.lit(1))
+        nth = F.when(copy < p("whole"), block).otherwise(block % F.greatest(p("part"), F.lit(1)))
+        number = (copy * blocks + nth) * p("factor") % F.greatest(p("quota"), F.lit(1))
         shard = F.size(F.filter(p("bounds"), lambda b: b <= number))
         return F.struct(copy.cast("int").alias("copy"), shard.alias("shard"))
     taken = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), one)).otherwise(
         F.array().cast("array<struct<copy:int,shard:int>>"))
-    return docs.join(F.broadcast(keys), docs["source"].eqNullSafe(p("name"))).select(
-        *[docs[c] for c in docs.columns],
-        F.struct(words().alias("size"), p("source_size").alias("source_size"),
+    return joined.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.struct(F.col(sz).alias("size"), p("source_size").alias("source_size"),
                  p("target").alias("target"), taken.alias("draws"))
         .alias(fresh(as_name, docs.columns)))
 

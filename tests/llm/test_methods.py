@@ -230,6 +230,57 @@ def test_mixture(spark, documents):
     assert mixed.count() == sum(len(m["draws"]) for m in got["mix"])
 
 
+def _greedy(rows, room):
+    """Places taken of rows (place, words), in order, each that fits; the words taken."""
+    taken, left = set(), room
+    for at, size in sorted(rows):
+        if 0 < size <= left:
+            taken.add(at)
+            left -= size
+    return taken, room - left
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 20])
+def test_mixture_fills_the_room_after_a_long_document(spark, seed):
+    """A source with documents of 10% or more of its words, and many short ones, meets its target."""
+    from pyspark.sql import functions as F
+    sizes = [40 + i % 21 for i in range(2000)] + [30_000, 31_000, 32_000]
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").select(
+        "doc_id", F.lit("s").alias("source"), F.expr("repeat('w ', n)").alias("text"))
+    plans = mixing.plan(d, share=0.6, shards=5, seed=seed, block_words=4000)
+    got = mixing.draws(d, plans, seed=seed).select(
+        "doc_id", mixing.place(seed=seed).alias("place"), "mix.*").collect()
+    room = int(0.6 * sum(sizes))
+    want, words = _greedy([(r.place, r["size"]) for r in got], room)
+    assert {r.place for r in got if r.draws} == want
+    assert plans[0]["filled"] == words and room - words < 40
+    filled = collections.Counter()
+    for r in got:
+        for x in r.draws:
+            filled[x["shard"]] += r["size"]
+    assert sum(filled.values()) == words and set(filled) <= set(range(5))
+
+
+def test_mixture_takes_equal_ids_together(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(4)
+    rows = [(i // 2, rng.choice([0, 3, 50, 200, 900])) for i in range(400)] + [(None, 700), (None, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, n int").select(
+        "doc_id", F.lit(None).cast("string").alias("source"), F.expr("repeat('w ', n)").alias("text"))
+    for seed in range(3):
+        plans = mixing.plan(d, share=0.55, shards=3, seed=seed, block_words=500)
+        got = mixing.draws(d, plans, seed=seed).collect()
+        by, times = collections.Counter(), collections.defaultdict(set)
+        for r in d.select(mixing.place(seed=seed).alias("place"), mixing.words().alias("n")).collect():
+            by[r.place] += r.n
+        for r in mixing.draws(d, plans, seed=seed).select(mixing.place(seed=seed).alias("place"), "mix").collect():
+            times[r.place].add(len(r.mix["draws"]))
+        assert len(got) == len(rows) and all(len(t) == 1 for t in times.values())
+        want, words = _greedy(list(by.items()), int(0.55 * sum(n for _, n in rows)))
+        assert {p for p, t in times.items() if t == {1} and by[p]} == want
+        assert words == plans[0]["filled"]
+
+
 def test_packing_round_trip(spark, documents):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
