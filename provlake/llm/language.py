@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 from provlake.llm.common import WordIndex, fit_in_task, fresh, held_out, scored
 
-#: Documents per language to learn from, and languages to learn, at most.
-SAMPLE_PER_LANG, LANGS = 500, 64
+#: Documents per language to learn from, at most.
+SAMPLE_PER_LANG = 500
+#: Up to so many languages the numbers of chains and words below hold as they are. With more, chains
+#: grow and the words that are worked on or remembered at once shrink; no language is left out.
+LANGS = 64
 #: Chains and words in each, as drawn for training; mean words before a switch.
 CHAINS, CHAIN_WORDS, RUN_WORDS = 2500, 64, 24
 #: Feature buckets, words of the lexicon, least occurrences of a lexicon word.
@@ -162,12 +165,16 @@ def forward_backward(e: np.ndarray, length: np.ndarray, t: np.ndarray) -> tuple[
 
 
 def _chains(rows: pd.DataFrame, langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Tokens and labels of CHAINS chains, as runs from random places of the sampled texts."""
+    """Tokens and labels of chains, as runs from random places of the sampled texts.
+
+    There are CHAINS chains, and with more than LANGS languages as many for each as with LANGS.
+    """
     rng = np.random.default_rng(11)
+    chains = max(CHAINS, -(-CHAINS * len(langs) // LANGS))
     by = [[w for w in map(words, rows.loc[rows["lang"] == g, "text"]) if w] for g in langs]
     have = [k for k, d in enumerate(by) if d]
     tokens, labels = [], []
-    for _ in range(CHAINS if have else 0):
+    for _ in range(chains if have else 0):
         left = CHAIN_WORDS
         while left:
             k = have[rng.integers(len(have))]
@@ -180,6 +187,11 @@ def _chains(rows: pd.DataFrame, langs: list[str]) -> tuple[list[str], np.ndarray
     return tokens, np.array(labels, np.int64)
 
 
+def _share(words: int, langs: int) -> int:
+    """``words``, or fewer with more than LANGS languages: memory goes with words times languages."""
+    return words * LANGS // max(LANGS, langs)
+
+
 def _fit(rows: pd.DataFrame) -> dict | None:
     rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
     langs = sorted(set(rows["lang"]))
@@ -203,8 +215,7 @@ def _fit(rows: pd.DataFrame) -> dict | None:
     n = len(label)
     wt = np.zeros((BUCKETS + len(lexicon), k))
     tr = np.zeros((k, k))
-    truth = np.zeros((n, k))
-    truth[np.arange(n), label] = 1
+    some = max(1, _share(CHAINS, k))  # chains that are worked on at once
     same = np.arange(n) % CHAIN_WORDS != 0
     to = np.flatnonzero(same)
     observed = np.zeros((k, k))
@@ -214,9 +225,13 @@ def _fit(rows: pd.DataFrame) -> dict | None:
     for step in range(1, STEPS + 1):
         em = emissions(ids, owners, len(names), wt)
         em -= em.max(1, keepdims=True)
-        p, pairs = forward_backward(np.exp(np.maximum(em, -60))[word], length, np.exp(tr))
-        d = p - truth
-        g = np.stack([np.bincount(word, weights=d[:, j], minlength=len(names)) for j in range(k)], 1)
+        em, g, pairs = np.exp(np.maximum(em, -60)), np.zeros((len(names), k)), np.zeros((k, k))
+        for at in range(0, len(length), some):
+            w = word[at * CHAIN_WORDS:(at + some) * CHAIN_WORDS]
+            d, between = forward_backward(em[w], length[at:at + some], np.exp(tr))
+            d[np.arange(len(w)), label[at * CHAIN_WORDS:(at + some) * CHAIN_WORDS]] -= 1
+            g += np.stack([np.bincount(w, weights=d[:, j], minlength=len(names)) for j in range(k)], 1)
+            pairs += between
         dw = np.stack([np.bincount(ids, weights=g[owners, j], minlength=len(wt))
                        for j in range(k)], 1) / n + DECAY * wt
         dt = (pairs - observed) / n
@@ -228,12 +243,11 @@ def _fit(rows: pd.DataFrame) -> dict | None:
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict | None:
-    """The field, from at most ``per_lang`` learnable documents of each of the most frequent LANGS."""
+    """The field, from at most ``per_lang`` learnable documents of every language."""
     ok = docs.select("doc_id", "lang", "text").filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
         & ~held_out())
-    counts = (ok.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(LANGS))
+    counts = ok.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
     grain = 1 << 30
     hashed = ok.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     near = (hashed.join(F.broadcast(counts), "lang")
@@ -274,7 +288,7 @@ class Labeller:
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probabilities, has letters) per word of all texts, and the texts' numbers of words."""
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > _share(REMEMBERED, len(self.model["langs"])):
             self._forget()
         found = [words(t) for t in texts]
         length = [len(f) for f in found]
@@ -289,12 +303,12 @@ class Labeller:
 BATCH_WORDS = 100_000
 
 
-def _batches(texts: list):
+def _batches(texts: list, langs: int):
     now, size = [], 0
     for t in texts:
         now.append(t)
         size += len(t or "") // 6 + 1
-        if size >= BATCH_WORDS:
+        if size >= _share(BATCH_WORDS, langs):
             yield now
             now, size = [], 0
     if now:
@@ -309,7 +323,7 @@ def _scorer(model: dict | None):
 
     def score(s: pd.Series) -> pd.DataFrame:
         best, share = [], []
-        for part in _batches([t if isinstance(t, str) else None for t in s]):
+        for part in _batches([t if isinstance(t, str) else None for t in s], len(langs)):
             p, letters, length = label(part)
             owner = np.repeat(np.arange(len(part)), length)[letters]
             total = np.stack([np.bincount(owner, weights=p[letters, k], minlength=len(part))
@@ -338,7 +352,7 @@ def _runs(model: dict | None):
 
     def runs(s: pd.Series) -> pd.DataFrame:
         out = []
-        for part in _batches([t if isinstance(t, str) else None for t in s]):
+        for part in _batches([t if isinstance(t, str) else None for t in s], len(model["langs"])):
             p, _, length = label(part)
             best = p.argmax(1)
             at = 0

@@ -55,6 +55,23 @@ def test_language_held_out(spark, documents):
     assert (got[got.held_out].lang_pred == got[got.held_out].lang).mean() > 0.98
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than LANGS, the rarest of which are known by their own words."""
+    rng = random.Random(5)
+    langs = [f"l{i:02}" for i in range(language.LANGS + 6)]
+    vocab = {g: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(20)]
+             for g in langs}
+    rows = [(f"{g}-{i}", g, " ".join(rng.choices(vocab[g], k=30)))
+            for g in langs for i in range(8 if g > "l63" else 12)]
+    monkeypatch.setattr(language, "fit_in_task", lambda sample, fit: fit(sample.toPandas()))
+    monkeypatch.setattr(language, "STEPS", 10)
+    docs = spark.createDataFrame(rows, "doc_id string, lang string, text string").cache()
+    model = language.train(docs)
+    assert model["langs"] == langs
+    got = language.score(docs.filter("lang > 'l63'"), model, as_name="found").collect()
+    assert len(got) == 48 and all(r.found.lang == r.lang for r in got)
+
+
 def test_code_switched_words(spark, documents):
     model = language.train(spark.read.parquet(f"{SF}/documents.parquet"))
     a = documents[documents.lang == "de"].text.iloc[3].split()[:40]
