@@ -257,3 +257,15 @@ def test_a_declassification_takes_its_artifact_back(spark):
     assert (got["s", 2].taint, got["s", 2].taint_depth) == (["pii", "restricted"], 1)
     assert (got["s", 3].taint, got["s", 3].taint_depth, got["s", 3].first_touch) == (["public"], 0, True)
     assert (got["s", 9].first_touch, got["t", 9].first_touch) == (False, False)
+
+
+def test_candidates_without_limits(spark):
+    from provlake.operators import risk
+    name = "aaaa_bbbb_cccc_dddd_eeee_ffff_gggg.py"
+    writes = spark.createDataFrame([(name,)], "file_path string")
+    corpus = spark.createDataFrame([(f"c{i}", "gggg AAAA") for i in range(7)] + [(name, "aaaa")],
+                                   "path string, content string")
+    got = {tuple(r)[1:] for r in risk.candidates(writes, corpus, None, None).collect()}
+    assert got == {(t, f"c{i}") for t in ("aaaa", "gggg") for i in range(7)}
+    got = {tuple(r)[1:] for r in risk.candidates(writes, corpus).collect()}
+    assert got == {("aaaa", f"c{i}") for i in range(4)}
