@@ -269,3 +269,31 @@ def test_candidates_without_limits(spark):
     assert got == {(t, f"c{i}") for t in ("aaaa", "gggg") for i in range(7)}
     got = {tuple(r)[1:] for r in risk.candidates(writes, corpus).collect()}
     assert got == {("aaaa", f"c{i}") for i in range(4)}
+
+
+def test_drift_against_a_table_of_current_values(spark):
+    from provlake.operators import evidence as E
+    from provlake.plans import q_evidence as Q
+    n = E.MAX_LITERALS + 900
+    now = spark.createDataFrame([(f"m{i}", f"v{i % 7}") for i in range(n)], "key string, value string")
+    rows = spark.createDataFrame(
+        [("a", {f"m{i}": "v0" for i in (0, 1, n - 1)}), ("b", {"m7": "v0", "none": "x", "m8": ""}),
+         ("c", {}), ("d", None)], "ref string, recorded map<string,string>")
+    seen = E.with_current(rows, "recorded", now, "now")
+    got = {r.ref: (r.impl, sorted(r.subj)) for r in seen.select(
+        "ref", E.implementation_drift(F.col("recorded"), F.col("now")).alias("impl"),
+        E.subject_drift(F.col("recorded"), F.col("now")).alias("subj")).collect()}
+    moved = ["m1", f"m{n - 1}"] if (n - 1) % 7 else ["m1"]
+    values = {"m1": "v1", f"m{n - 1}": f"v{(n - 1) % 7}"}
+    assert got.pop("a") == tuple([f"{m} changed {w} this proof (v0 -> {values[m]})" for m in moved]
+                                 for w in ("after", "since"))
+    assert got == {k: ([], []) for k in "bcd"}
+
+    sf = "/root/testdata/sf0.001"
+
+    def judged(subject, modules):
+        return sorted(map(repr, E.judge_refs(Q.refs(spark, sf), Q.claims(spark, sf), Q.proofs(spark, sf),
+                                             Q.procedures(spark, sf), subject, modules).collect()))
+    tables = [spark.createDataFrame(list(d.items()), "key string, value string") for d in (Q.SUBJECT, Q.MODULES)]
+    want = judged(Q.SUBJECT, Q.MODULES)
+    assert judged(*tables) == want and any("changed" in r for r in want)
