@@ -7,7 +7,8 @@ shards, an item that fits nowhere goes to the emptiest shard; without one, a new
 One packing of all groups would pass everything through one process. Only groups of at least
 1/ITEMS of all bytes (so at most ITEMS of them) are items of their own; all other groups are
 gathered, by hash, into ITEMS bundles of whole groups, and the bundles are the remaining items.
-The packing itself then sees at most 2 * ITEMS items at any size of the input.
+The packing itself then sees at most 2 * ITEMS items at any size of the input; with a given capacity,
+2 * PER_SHARD for each shard where that is more.
 
 Null texts count no bytes and form one group; empty texts another. Repeated rows are documents of
 their own. A group larger than a shard's share keeps its shard to itself as far as possible.
@@ -24,6 +25,8 @@ from provlake.llm.common import gapless
 from provlake.session import cut_lineage
 
 ITEMS = 2048
+#: With a capacity: least bundles for each shard, so that bundles stay well below the capacity.
+PER_SHARD = 16
 
 
 class Tree:
@@ -105,8 +108,12 @@ def best_fit_decreasing(items: list[tuple[object, int]], capacity: int,
     return placed
 
 
-def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row, sizes near equal."""
+def shard(docs: DataFrame, shards: int = 8, capacity: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row, sizes near equal.
+
+    With a ``capacity`` in bytes, ``shards`` is not used: as few shards are opened as the packing
+    needs, none above the capacity but those of a single larger group.
+    """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     narrow = cut_lineage(docs.select(
@@ -115,11 +122,16 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.when(F.col("text").isNull(), F.lit("")).otherwise(F.md5("text")).alias("_group")))
     groups = narrow.groupBy("_group").agg(F.sum("size").alias("bytes"))
     total = narrow.agg(F.sum("size")).first()[0] or 0
-    bundle = F.pmod(F.xxhash64("_group"), F.lit(ITEMS))
-    item = F.when(F.col("bytes") * ITEMS >= total, F.concat(F.lit("g"), F.col("_group"))).otherwise(
+    bundles = ITEMS if capacity is None else max(ITEMS, PER_SHARD * -(-total // capacity))
+    bundle = F.pmod(F.xxhash64("_group"), F.lit(bundles))
+    item = F.when(F.col("bytes") >= -(-total // bundles), F.concat(F.lit("g"), F.col("_group"))).otherwise(
         F.concat(F.lit("b"), bundle.cast("string")))
     items = [(r[0], r[1]) for r in groups.groupBy(item.alias("item")).agg(F.sum("bytes")).collect()]
-    placed = best_fit_decreasing(items, -(-total // shards), shards)
+    if capacity is None:
+        placed = best_fit_decreasing(items, -(-total // shards), shards)
+    else:
+        placed = best_fit_decreasing(items, capacity)
+        shards = max(placed.values(), default=0) + 1
     big = spark.createDataFrame([(k[1:], v) for k, v in placed.items() if k[0] == "g"],
                                 "_group string, _big int")
     small = spark.createDataFrame([(int(k[1:]), v) for k, v in placed.items() if k[0] == "b"],
@@ -127,6 +139,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     rows = (narrow.withColumn("_bundle", bundle)
             .join(F.broadcast(big), "_group", "left").join(F.broadcast(small), "_bundle", "left")
             .withColumn("shard", F.coalesce("_big", "_small")))
-    return gapless(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot").select(
+    return gapless(rows, ["shard"], ["doc_id", "size", "text_crc32"], "slot",
+                   min(1024, max(1, 8192 // shards))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

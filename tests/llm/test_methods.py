@@ -211,6 +211,25 @@ def test_components(spark):
     assert {i: top(i) for i in root if i in got or i not in loops} == got
 
 
+def test_sharding_opens_as_many_shards_as_the_capacity_needs(spark):
+    """Texts of 600 and 400 bytes pair up; one is larger than the capacity."""
+    d = spark.createDataFrame(
+        [(i, f"{i:04}" + "x" * (595 if i % 2 else 395)) for i in range(40)] + [(40, "y" * 1500)],
+        "doc_id long, text string")
+    by, slots = collections.defaultdict(int), collections.defaultdict(list)
+    for r in sharding.shard(d, capacity=1000).collect():
+        by[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert sorted(by.values()) == [1000] * 20 + [1501] and set(by) == set(range(21))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    # More bundles than ITEMS, each with many groups.
+    d = spark.range(60_000).selectExpr("id AS doc_id", "concat(id, repeat('z', 60)) AS text")
+    by = collections.Counter()
+    for r in sharding.shard(d, capacity=20_000).select("shard", "size").collect():
+        by[r.shard] += r.size
+    assert max(by.values()) <= 20_000 and len(by) <= 1.02 * sum(by.values()) / 20_000 + 1
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100]) == pytest.approx([200, 500 / 3, 250 / 3])
     assert mixing.targets([10, 1000]) == [20.0, 1495.0]
