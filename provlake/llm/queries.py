@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and, where SQL can express them, their SQL."""
+"""The registered queries of the operators and, where SQL can express them, their SQL."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm import (chat, covertree, fingerprint, language, mixing, ngram_join, packing, quality,
-                          sharding, toxicity)
+from provlake.llm import (centroids, chat, covertree, fingerprint, language, mixing, ngram_join, packing,
+                          periodicity, quality, sharding, topk, toxicity)
 from provlake.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,85 @@ SELECT c.x AS vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.x = c.compo
 FROM c LEFT JOIN n USING (x)""")
 def op5_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    """Assignments a0, a1, ... and centroids c0, c1, ... of the rounds, from kept vectors ``v``."""
+    out = [f"""c0 AS (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e
+  FROM (SELECT * FROM v ORDER BY h NULLS LAST, e LIMIT {k}))"""]
+    for n in range(rounds + 1):
+        out.append(f"""a{n} AS (SELECT rid, min(d * {k} + c) % {k} AS c, min(d * {k} + c) // {k} AS d
+  FROM (SELECT v.rid, x.c, cast(list_sum(list_transform(range(1, 65),
+      lambda i: (v.e[i] - x.e[i]) * (v.e[i] - x.e[i]))) AS hugeint) AS d FROM v CROSS JOIN c{n} x) GROUP BY rid)""")
+        if n < rounds:
+            out.append(f"""m{n} AS (SELECT c, list(m ORDER BY i) AS e FROM (
+    SELECT c, i, cast(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END AS bigint) AS m FROM (
+      SELECT a.c, i, sum(v.e[i]) AS s, count(*) AS n
+      FROM a{n} a JOIN v USING (rid), range(1, 65) t(i) GROUP BY a.c, i)) GROUP BY c),
+c{n + 1} AS (SELECT x.c, coalesce(m.e, x.e) AS e FROM c{n} x LEFT JOIN m{n} m USING (c))""")
+    return ",\n".join(out)
+
+
+#: Fixed by the contract: centroids, rounds and scale of op11.
+CENTROIDS, ROUNDS = 16, 3
+
+
+@query("op11_centroids", f"""
+WITH u AS (SELECT row_number() OVER () AS rid, vec_id, cast(embedding AS double[]) AS e FROM embeddings),
+v AS (SELECT rid, vec_id, list_transform(e, lambda x: cast(floor(64 * x) AS bigint)) AS e,
+    sha256('1:' || vec_id) AS h FROM u
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+{_rounds_sql(CENTROIDS, ROUNDS)}
+SELECT v.vec_id, cast(a.c AS integer) AS cluster, cast(a.d AS bigint) AS distance,
+  cast(sum(a.d) OVER (PARTITION BY a.c) AS bigint) AS cluster_inertia, cast(sum(a.d) OVER () AS bigint) AS inertia,
+  sha256(array_to_string(x.e, ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN v USING (rid) JOIN c{ROUNDS} x ON x.c = a.c""")
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS)
+    of = found.centroids.select(
+        "cluster", F.col("inertia").alias("cluster_inertia"),
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+    return found.assigned.join(F.broadcast(of), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia",
+        F.lit(found.inertia).cast("long").alias("inertia"), "centroid_sha256")
+
+
+@query("op12_topk", """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(cast(embedding AS double[]), lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+SELECT q.vec_id AS query_id,
+  cast(row_number() OVER (PARTITION BY q.rid ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id NULLS LAST)
+    AS integer) AS rank,
+  c.vec_id, cast(list_inner_product(q.e, c.e) AS bigint) AS score
+FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5""")
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _rewritten(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document, by hash of the id, the words from a on repeat a period."""
+    h, g = F.crc32(F.col("doc_id").cast("string")), F.expr("crc32(cast(doc_id AS string)) div 10")
+    rows = docs.select("doc_id", "text", F.when(
+        h % 10 == 0, F.regexp_extract_all("text", F.lit(periodicity.WORD_PATTERN), F.lit(0))).alias("w"))
+    rows = rows.select("doc_id", "text", "w", g.alias("g"), F.size("w").alias("n"))
+    rows = rows.select("doc_id", "text", "w", F.expr("IF(n > 0, cast(g % n AS int), 0)").alias("a"),
+                       F.expr("IF(n > 0, cast(1 + (n - g % n) div (3 + g % 8) AS int), 1)").alias("p"))
+    return rows.select("doc_id", F.expr(
+        "IF(size(w) > 0, array_join(transform(w, (x, i) -> IF(i >= a, w[a + (i - a) % p], x)), ' '), text)")
+        .alias("text"))
+
+
+@query("op13_periodicity")
+def op13_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _rewritten(table(spark, sf_dir, "documents"))
+    found = periodicity.runs(docs).select("doc_id", "periodic.*")
+    best = F.expr("""get(array_sort(runs, (x, y) -> CASE
+        WHEN x.length * y.period > y.length * x.period THEN -1
+        WHEN x.length * y.period < y.length * x.period THEN 1
+        WHEN x.start < y.start OR (x.start = y.start AND x.period < y.period) THEN -1 ELSE 1 END), 0)""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
