@@ -17,20 +17,109 @@ def short_sha(value: Column, width: int) -> Column:
     return F.substring(sha(value), 1, width)
 
 
+def absolute_path(path: Column, cwd: Column | None = None, home: Column | None = None) -> Column:
+    """``~`` and relative spellings under the given home and working folder.
+
+    Where a folder is not given or null the spelling stays as it is.
+    """
+    if home is not None:
+        path = F.when((path == "~") | path.startswith("~/"), F.coalesce(
+            F.concat(home, F.substr(path, F.lit(2))), path)).otherwise(path)
+    if cwd is not None:
+        path = F.when(path.startswith("/"), path).otherwise(
+            F.coalesce(F.concat(cwd, F.lit("/"), path), path))
+    return path
+
+
+def _joined(parts: Column, absolute: Column) -> Column:
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+
+
 def lexical_path(path: Column) -> Column:
-    """Absolute form of a path with ``.``, ``..``, ``//`` and a trailing slash resolved.
+    """A path with ``.``, ``..``, ``//`` and a trailing slash resolved by its letters alone.
 
-    Aliases that only a filesystem can resolve (links) come in as data, see C-04.
+    A relative path stays relative (see ``absolute_path``) and keeps the ``..`` it begins with.
+    Links are only known as data: ``operators.artifacts.resolve`` or ``real_path`` follow them.
     """
-    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    absolute = path.startswith("/")
     kept = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda acc, x: F.when(
-            x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        ).otherwise(F.concat(acc, F.array(x))))
-    needs_work = path.rlike(r"//|/\.{1,2}(/|$)|.+/$")
-    return F.when(~path.startswith("/"), path).when(
-        needs_work, F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+        _parts(path), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x != "..", F.concat(acc, F.array(x))).when(
+            (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) != ".."),
+            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        ).when(absolute, acc).otherwise(F.concat(acc, F.array(x))))
+    needs_work = path.rlike(r"//|(^|/)\.{1,2}(/|$)|.+/$")
+    text = _joined(kept, absolute)
+    return F.when(needs_work, F.when(text == "", ".").otherwise(text)).otherwise(path)
+
+
+def path_head(path: Column) -> Column:
+    """(head, rest): the folders before the first ``..`` of an absolute path, and what follows."""
+    parts = _parts(path)
+    up = F.array_position(parts, "..").cast("int")
+    n = F.when(up > 0, up - 1).otherwise(F.size(parts))
+    return F.struct(F.slice(parts, 1, n).alias("head"),
+                    F.slice(parts, n + 1, F.size(parts)).alias("rest"))
+
+
+def ancestors(head: Column) -> Column:
+    """Absolute paths of a folder list: its first folder, the first two, ..., all."""
+    return F.transform(head, lambda _, i: _joined(F.slice(head, 1, i + 1), F.lit(True)))
+
+
+def path_step(at: Column, link: Column) -> Column:
+    """One step of a resolution: ``link`` (source, target) replaces the linked ancestor of
+    ``at`` (head, rest); without a link the first ``..`` takes the last folder away.
+    NULL where nothing is left to do."""
+    head, rest = at["head"], at["rest"]
+    below = F.slice(head, F.size(_parts(link["source"])) + 1, F.greatest(F.size(head), F.lit(1)))
+    popped = F.slice(head, 1, F.greatest(F.size(head) - 1, F.lit(0)))
+    return F.when(link.isNotNull(), F.concat(
+        link["target"], F.lit("/"), F.array_join(F.concat(below, rest), "/"))).when(
+        F.size(rest) > 0, _joined(F.concat(popped, F.slice(rest, 2, F.size(rest))), F.lit(True)))
+
+
+#: Fixed value: as many links as a system follows in one path.
+MOST_LINKS = 40
+
+
+def bound(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def real_path(path: Column, links: Column) -> Column:
+    """An absolute path with links followed and ``..`` taken after them, for a map of links.
+
+    Row-local form of ``operators.artifacts.resolve``, for ``operators.artifacts.link_map``: a
+    link table of checked size, whose own targets are resolved and empty for loops. A path through
+    a loop keeps its lexical form.
+    """
+    def stepped(acc: Column, at: Column, source: Column) -> Column:
+        link = F.when(source.isNotNull(), F.struct(
+            source.alias("source"), F.try_element_at(links, source).alias("target")))
+
+        def moved(link: Column) -> Column:
+            loops = F.coalesce(link["target"] == "", F.lit(False)) | (acc["hops"] >= MOST_LINKS)
+            return bound(F.when(~loops, path_step(at, link)), lambda new: F.struct(
+                F.coalesce(new, acc["path"]).alias("path"), (acc["hops"] + 1).alias("hops"),
+                new.isNull().alias("done"), loops.alias("loops")))
+        return bound(link, moved)
+
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(acc["done"], acc).otherwise(bound(path_head(acc["path"]), lambda at: bound(
+            F.try_element_at(F.filter(ancestors(at["head"]), lambda a: F.map_contains_key(links, a)), F.lit(-1)),
+            lambda source: stepped(acc, at, source))))
+
+    start = F.struct(path.alias("path"), F.lit(0).alias("hops"), F.lit(False).alias("done"),
+                     F.lit(False).alias("loops"))
+    return F.when(path.startswith("/"), bound(
+        F.aggregate(F.sequence(F.lit(0), F.lit(MOST_LINKS)), start, step), lambda out: F.when(
+            out["loops"], lexical_path(path)).otherwise(lexical_path(out["path"])))).otherwise(lexical_path(path))
 
 
 def artifact_id(canonical: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake import vocab
 from provlake.functions import labels as L
 from provlake.functions import text as T
+from provlake.functions.literals import match_table
 from provlake.functions.rules import check_size, matching, search, strings
+from provlake.session import cut_lineage
 from provlake.vocab import Rule
 
 
@@ -62,16 +66,19 @@ def classify(df: DataFrame, path: str = "path", rules: list[Rule] | None = None,
 
 def classify_by_table(df: DataFrame, rules: DataFrame, key: list[str],
                       path: str = "path") -> DataFrame:
-    """C-01 for rule tables too large to unroll: distinct paths x rules, then one row per path.
+    """C-01 for rule tables (id, pattern, labels) of any size, one row per input row.
 
-    The theta join runs over *distinct* paths; its results return to the rows by an equi-join.
+    Rules are indexed by a literal that their pattern requires; distinct paths are scanned once for
+    all literals and only candidates are tried, see ``functions.literals``.
     """
-    paths = df.select(path).distinct()
-    hits = paths.join(rules, F.expr(f"{path} rlike concat('(?iUd)', pattern)"), "left")
+    hits = match_table(df, rules, path).join(rules.select("id", "labels"), "id")
     found = hits.groupBy(path).agg(
         L.join_agg(F.col("labels")).alias("labels"),
         F.array_sort(F.collect_set("id")).alias("matched_rules"))
-    return df.join(found, path, "left").withColumn("classified", L.is_classified(F.col("labels")))
+    return df.join(found, path, "left").withColumns({
+        "labels": F.coalesce("labels", F.array(F.lit("public"))),
+        "matched_rules": F.coalesce("matched_rules", F.array().cast("array<string>")),
+    }).withColumn("classified", L.is_classified(F.col("labels")))
 
 
 # ── C-02 ────────────────────────────────────────────────────────────────────────────────────
@@ -85,6 +92,17 @@ def egress(df: DataFrame, command: str = "command", rules: list[Rule] | None = N
         "is_egress": _any_of(cmd, rules)})
 
 
+def egress_by_table(df: DataFrame, rules: DataFrame, command: str = "command") -> DataFrame:
+    """C-02 for rule tables (id, pattern, reason) of any size; rules are listed by id."""
+    hits = match_table(df, rules, command).join(rules.select("id", "reason"), "id")
+    found = hits.groupBy(command).agg(F.array_sort(F.collect_list(F.struct("id", "reason"))).alias("_hits"))
+    none = F.array().cast("array<string>")
+    return df.join(found, command, "left").withColumns({
+        "egress_rules": F.coalesce(F.col("_hits.id"), none),
+        "egress_reasons": F.coalesce(F.col("_hits.reason"), none),
+        "is_egress": F.col("_hits").isNotNull()}).drop("_hits")
+
+
 # ── C-03 ────────────────────────────────────────────────────────────────────────────────────
 def mentions(calls: DataFrame, key: list[str], tool: str = "tool", command: str = "command",
              path_args: list[str] = (), list_args: list[str] = ()) -> DataFrame:
@@ -95,21 +113,108 @@ def mentions(calls: DataFrame, key: list[str], tool: str = "tool", command: str
 
 
 # ── C-04 ────────────────────────────────────────────────────────────────────────────────────
+#: Links that are unrolled into one map, at most; above, the table form ``resolve`` is used.
+MAX_LINKS = 1 << 16
+
+
+def _links(links: DataFrame) -> DataFrame:
+    """(source, target) of a link table (path, canonical_path): absolute sources without dots, a
+    relative target taken from the link's own folder. Of several targets of a link the smallest counts."""
+    source = T.lexical_path(F.col("path"))
+    folder = F.regexp_replace(source, "/[^/]*$", "")
+    named = links.select(source.alias("source"),
+                         T.absolute_path(F.col("canonical_path"), folder).alias("target"))
+    return (named.where("source LIKE '/%' AND target LIKE '/%' AND source <> '/'")
+            .where(F.col("source") != T.lexical_path(F.col("target")))
+            .groupBy("source").agg(F.min("target").alias("target")))
+
+
+def _walk(start: DataFrame, table: DataFrame, of_links: bool) -> DataFrame:
+    """(key, real, loops) of ``start`` (key, now) by rounds of joins with ``table`` (source, target, loops).
+
+    A round takes the keys not yet settled, joins all their ancestors with the links and replaces
+    the longest linked one; where none is linked, the first ``..`` takes a folder away. A key
+    loops once it meets a looping link. With ``of_links`` keys are the links themselves: one that
+    meets itself loops, and so does, in the next round, whatever meets it.
+    """
+    spark = start.sparkSession
+    settled = spark.createDataFrame([], "key string, real string, loops boolean")
+    live = cut_lineage(start.withColumn("hops", F.lit(0)))
+    loop = F.coalesce(F.col("link.loops"), F.lit(False)) | (F.col("hops") > T.MOST_LINKS)
+    if of_links:
+        loop = loop | F.coalesce(F.col("link.source") == F.col("key"), F.lit(False))
+    while not live.isEmpty():
+        at = live.withColumn("at", T.path_head(F.col("now")))
+        linked = (at.select("key", F.explode(T.ancestors(F.col("at.head"))).alias("source"))
+                  .join(table, "source").groupBy("key")
+                  .agg(F.max_by(F.struct("source", "target", "loops"), F.length("source")).alias("link")))
+        step = cut_lineage(at.join(linked, "key", "left").select(
+            "key", "now", T.path_step(F.col("at"), F.col("link")).alias("new"), (F.col("hops") + 1).alias("hops"),
+            loop.alias("loops")))
+        done = step.where("new IS NULL OR loops").select("key", T.lexical_path(F.col("now")).alias("real"), "loops")
+        settled = settled.unionByName(done)
+        live = step.where("new IS NOT NULL AND NOT loops").select("key", F.col("new").alias("now"), "hops")
+        if of_links:
+            found = done.where("loops").select(F.col("key").alias("source"), F.lit(True).alias("_loops"))
+            table = cut_lineage(table.join(found, "source", "left").select(
+                "source", "target", (F.col("loops") | F.coalesce("_loops", F.lit(False))).alias("loops")))
+    return settled
+
+
+def real_links(links: DataFrame) -> DataFrame:
+    """(source, target, loops) of a link table with every target resolved to its end."""
+    table = cut_lineage(_links(links).withColumn("loops", F.lit(False)))
+    found = _walk(table.select(F.col("source").alias("key"), F.col("target").alias("now")), table, True)
+    return found.select(F.col("key").alias("source"), F.col("real").alias("target"), "loops")
+
+
+def link_map(links: DataFrame) -> Column:
+    """A link table of checked size as a map for ``text.real_path``."""
+    rows = real_links(links).limit(MAX_LINKS + 1).collect()
+    if len(rows) > MAX_LINKS:
+        raise ValueError(f"more than {MAX_LINKS} links; use the table form")
+    return F.from_json(F.lit(json.dumps({r["source"]: "" if r["loops"] else r["target"] for r in rows})),
+                       "map<string,string>")
+
+
+def resolve(paths: DataFrame, links: DataFrame, path: str = "path") -> DataFrame:
+    """C-05: (path, canonical_path, loops) of every distinct path, links followed.
+
+    Links are resolved first, so a path takes a round of joins for every link and ``..`` on its
+    way, not for every link of a chain.  Only unsettled distinct paths are in a round.  A path
+    through a loop of links keeps its lexical form; relative paths are settled lexically.
+    """
+    p = F.col("path")
+    start = paths.select(F.col(path).alias("path")).where("path IS NOT NULL").distinct()
+    found = _walk(start.where(p.startswith("/")).select(p.alias("key"), p.alias("now")),
+                  cut_lineage(real_links(links)), False)
+    return found.select(F.col("key").alias("path"), F.when(F.col("loops"), T.lexical_path(F.col("key"))).otherwise(
+        F.col("real")).alias("canonical_path"), "loops").unionByName(
+        start.where(~p.startswith("/")).select("path", T.lexical_path(p).alias("canonical_path"),
+                                               F.lit(False).alias("loops")))
+
+
+def canonicalise(df: DataFrame, path: str = "path", links: DataFrame | None = None,
+                 cwd: Column | None = None, home: Column | None = None) -> DataFrame:
+    """C-05: adds canonical_path: home and working folder put in, links followed, dots taken out."""
+    full = T.absolute_path(F.col(path), cwd, home)
+    if links is None:
+        return df.withColumn("canonical_path", T.lexical_path(full))
+    df = df.withColumn("_full", full)
+    found = resolve(df, links, "_full").select(F.col("path").alias("_full"), "canonical_path")
+    return df.join(found, "_full", "left").drop("_full")
+
+
 def with_aliases(paths: DataFrame, aliases: DataFrame | None = None,
-                 rules: list[Rule] | None = None) -> DataFrame:
+                 rules: list[Rule] | None = None, cwd: Column | None = None,
+                 home: Column | None = None) -> DataFrame:
     """Classify the given and the resolved spelling; labels are united, never dropped.
 
-    ``aliases(path, canonical_path)`` carries resolutions only a filesystem knows; lexical
-    normalisation is applied to the rest.  A path classified only once resolved is a finding.
+    ``aliases(path, canonical_path)`` are links, of files or of folders above them, which only a
+    filesystem knows; chains are followed.  A path classified only once resolved is a finding.
     """
-    if aliases is not None:
-        paths = paths.join(aliases.select("path", F.col("canonical_path").alias("_alias")),
-                           "path", "left")
-        canonical = F.coalesce(F.col("_alias"), T.lexical_path(F.col("path")))
-    else:
-        canonical = T.lexical_path(F.col("path"))
     rules = check_size(rules or vocab.classify_rules())
-    df = paths.withColumn("canonical_path", canonical).drop("_alias")
+    df = canonicalise(paths, "path", aliases, cwd, home)
     given, real = F.col("path"), F.col("canonical_path")
     moved = given != real
 
@@ -141,10 +246,11 @@ def worst_input(paths: DataFrame, key: list[str]) -> DataFrame:
 
 
 # ── C-05 / C-06 / C-07 ──────────────────────────────────────────────────────────────────────
-def identify(df: DataFrame, path: str = "path") -> DataFrame:
+def identify(df: DataFrame, path: str = "path", links: DataFrame | None = None,
+             cwd: Column | None = None, home: Column | None = None) -> DataFrame:
     """C-05: canonical path and stable id; content is deliberately not part of the id."""
-    return (df.withColumn("canonical_path", T.lexical_path(F.col(path)))
-            .withColumn("artifact_id", T.artifact_id(F.col("canonical_path"))))
+    return canonicalise(df, path, links, cwd, home).withColumn(
+        "artifact_id", T.artifact_id(F.col("canonical_path")))
 
 
 def binary_files(spark: SparkSession, root: str) -> DataFrame:
@@ -194,6 +300,34 @@ def find_handler(path: Column, labels: Column, handlers: list[dict]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def handler_by_table(df: DataFrame, handlers: DataFrame, path: str = "path",
+                     labels: str = "labels") -> DataFrame:
+    """C-08 for handler tables (ord, id, labels, pattern) of any size: adds ``handler``.
+
+    The first by ``ord`` whose labels overlap (or has none) and whose pattern is found (or has none).
+    Patterns are tried through the literal index, labels without a pattern by their first handler.
+    """
+    wants = F.coalesce(F.size("wanted"), F.lit(0)) > 0
+    known = handlers.select("ord", F.col("id").alias("handler"), F.col("labels").alias("wanted"), "pattern")
+    by_path = known.where("pattern IS NOT NULL AND pattern <> ''")
+    hits = match_table(df, by_path.select(F.col("ord").alias("id"), "pattern"), path, "(?iud)").join(
+        by_path.select(F.col("ord").alias("id"), "wanted"), "id")
+    per_path = hits.groupBy(path).agg(F.array_sort(F.collect_list(F.struct("id", "wanted"))).alias("_tried"))
+    plain = known.where("pattern IS NULL OR pattern = ''")
+    by_label = (plain.where(wants).select("ord", F.explode("wanted").alias("_label")).groupBy("_label")
+                .agg(F.min("ord").alias("_ord")))
+    sets = df.select(F.array_sort(labels).alias("_set")).where("size(_set) > 0").distinct()
+    per_set = (sets.select("_set", F.explode("_set").alias("_label")).join(by_label, "_label")
+               .groupBy("_set").agg(F.min("_ord").alias("_by_label")))
+    always = plain.where(~wants).agg(F.min("ord")).first()[0]
+    fits = F.filter("_tried", lambda t: (F.coalesce(F.size(t["wanted"]), F.lit(0)) <= 0)
+                    | F.coalesce(F.arrays_overlap(t["wanted"], F.col(labels)), F.lit(False)))
+    least = F.array_min(F.array(F.get(fits, 0)["id"], F.col("_by_label"), F.lit(always).cast("int")))
+    return (df.join(per_path, path, "left").withColumn("_set", F.array_sort(labels)).join(per_set, "_set", "left")
+            .withColumn("ord", least).drop("_tried", "_set", "_by_label")
+            .join(known.select("ord", "handler"), "ord", "left").drop("ord"))
+
+
 #: What ends a line of text in a disclosure summary.
 LINE_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 

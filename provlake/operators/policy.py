@@ -201,16 +201,42 @@ def downgrade(df: DataFrame, mode: str = "permission_mode") -> DataFrame:
 
 
 # ── P-06 ────────────────────────────────────────────────────────────────────────────────────
-def call_facts(calls: DataFrame, path_args: list[str] = ("file_path",),
-               rules=None, egress_rules=None, tool_name: str = vocab.TOOL) -> DataFrame:
-    """The state-free part of a decision: mentioned paths, worst input, egress, op, flags.
+def _resolved(calls: DataFrame, found: Column, links: DataFrame, cwd: Column | None,
+              home: Column | None, key: list[str]) -> DataFrame:
+    """``calls`` with the real path of each mention, in mention order, under ``_real``."""
+    rows = T.unnest(calls, found, [*key, *[c.alias(n) for n, c in (("_cwd", cwd), ("_home", home))
+                                           if c is not None]], "path", "pos")
+    at = A.canonicalise(rows, "path", links, F.col("_cwd") if cwd is not None else None,
+                        F.col("_home") if home is not None else None)
+    real = at.groupBy(*key).agg(F.array_sort(F.collect_list(
+        F.struct("pos", "canonical_path"))).alias("_real"))
+    return calls.join(real.withColumn("_real", F.col("_real.canonical_path")), key, "left")
+
 
-    Paths stay an array inside the row, so nothing is shuffled.  Calls that touch no classified
-    path and do not egress yield no row.
+def call_facts(calls: DataFrame, path_args: list[str] = ("file_path",),
+               rules=None, egress_rules=None, tool_name: str = vocab.TOOL,
+               links: DataFrame | None = None, cwd: Column | None = None, home: Column | None = None,
+               key: tuple[str, ...] = ("session_id", "seq")) -> DataFrame:
+    """The state-free part of a decision: mentioned paths, worst input, egress, op, flags, aliases.
+
+    Both the given and the real spelling of a path are classified; ``aliases`` lists the mentions
+    that only their real path classifies.  ``links(path, canonical_path)`` are followed by joins on
+    the distinct mentions (``key`` identifies a call); a stream takes them as a map of checked
+    size.  Without links paths stay an array inside the row, so nothing is shuffled.  Calls that
+    touch no classified path and do not egress yield no row.
     """
     rules = check_size(rules or vocab.classify_rules())
     cmd = F.when(F.col("tool") == "Bash", F.coalesce("command", F.lit(""))).otherwise("")
     found = T.mentioned_paths(F.col("tool"), F.col("command"), [F.col(c) for c in path_args])
+    follow = A.link_map(links) if links is not None and calls.isStreaming else None
+    if links is not None and follow is None:
+        calls = _resolved(calls, found, links, cwd, home, list(key))
+
+    def real(p: Column, i: Column) -> Column:
+        full = T.absolute_path(p, cwd, home)
+        if follow is not None:
+            return T.real_path(full, follow)
+        return F.get("_real", i) if links is not None else T.lexical_path(full)
 
     def both(p: Column, c: Column) -> Column:
         own = A.path_labels(p, rules)
@@ -218,13 +244,18 @@ def call_facts(calls: DataFrame, path_args: list[str] = ("file_path",),
             own, A.path_labels(c, rules))))
 
     spelled = F.transform(found, lambda p, i: F.struct(
-        i.alias("pos"), p.alias("path"), T.lexical_path(p).alias("canonical_path")))
+        i.alias("pos"), p.alias("path"), real(p, i).alias("canonical_path")))
     hits = F.filter(spelled, lambda x: A.path_classified(x["path"], rules)
                     | A.path_classified(x["canonical_path"], rules))
     labelled = F.transform(hits, lambda x: F.struct(
         x["pos"].alias("pos"), x["path"].alias("path"),
         x["canonical_path"].alias("canonical_path"),
         both(x["path"], x["canonical_path"]).alias("labels")))
+    gained = F.transform(
+        F.filter(F.col("classified_inputs"), lambda x: (x["path"] != x["canonical_path"])
+                 & ~A.path_classified(x["path"], rules)),
+        lambda x: F.struct(x["path"].alias("given"), x["canonical_path"].alias("resolves_to"),
+                           A.path_labels(x["canonical_path"], rules).alias("labels_gained")))
     ranked = F.transform(F.col("classified_inputs"), lambda x: F.struct(
         F.size(x["labels"]).alias("n"), (-x["pos"]).alias("ord"), x.alias("ref")))
     df = A.egress(calls.withColumn("_cmd", cmd), "_cmd", egress_rules)
@@ -240,10 +271,11 @@ def call_facts(calls: DataFrame, path_args: list[str] = ("file_path",),
                 "classified": F.col("_worst").isNotNull(),
                 "canonical_path": canon,
                 "labels": F.col("_worst")["labels"],
+                "aliases": gained,
                 "artifact_id": F.when(canon.isNotNull(), T.artifact_id(canon)),
                 "is_ledger": F.coalesce(canon.contains(tool_name) & canon.contains("ledger"),
                                         F.lit(False))})
-            .drop("_worst", "_cmd"))
+            .drop("_worst", "_cmd", "_real"))
 
 
 def call_context(protect_ledger: bool = True) -> dict[str, Column]:

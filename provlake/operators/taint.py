@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provlake.functions import labels as L
-from provlake.functions import pointwise
 from provlake.functions.ordered import CHUNK_ROWS, first_per_key, running
 from provlake.functions.text import unnest
+from provlake.session import cut_lineage
 
 REF = "array<struct<artifact_id:string,path:string,digest:string,labels:array<string>>>"
 DERIVED = "array<struct<generated:string,source:string,via:string>>"
@@ -149,12 +149,80 @@ def rollup(records: DataFrame) -> DataFrame:
 
 
 # ── T-06 ────────────────────────────────────────────────────────────────────────────────────
-_STATE = ("session_id string, seq long, taint array<string>, taint_depth long, "
-          "artifacts_touched long, since_last_egress long, first_touch boolean")
+def _holds(effects: DataFrame, asked: DataFrame, drop: Column, chunk_rows: int) -> DataFrame:
+    """Per (session, artifact, seq) that touches, drops or asks: the labels held before and after.
 
+    One row per record and artifact is left before anything is ordered; ``after`` is empty where
+    the artifact is dropped and null where the record only asks.
+    """
+    touch = F.struct("ord", "labels").alias("touch")
+    no = F.lit(False)
+    none = F.lit(None).cast("struct<ord:int,labels:array<string>>").alias("touch")
+    key = ["session_id", "artifact_id", "seq"]
+    rows = (touches(effects).where("classified").select(*key, touch, no.alias("drop"), no.alias("asks"))
+            .unionByName(effects.where(drop).select("session_id", F.col("declassified").alias("artifact_id"), "seq",
+                                                    none, F.lit(True).alias("drop"), no.alias("asks")))
+            .unionByName(asked.where("artifact_id IS NOT NULL").select(*key, none, no.alias("drop"),
+                                                                       F.lit(True).alias("asks"))))
+    rows = rows.groupBy(*key).agg(F.max("touch").alias("touch"), F.bool_or("drop").alias("drop"),
+                                  F.bool_or("asks").alias("asks"))
+    rows = rows.select(*key, "asks", F.when(F.col("drop"), F.array().cast("array<string>")).when(
+        F.col("touch").isNotNull(), F.col("touch.labels")).alias("after"))
+    return running(rows, ["session_id", "artifact_id"], "seq", {"before": ("last", F.col("after"))},
+                   chunk_rows=chunk_rows)
+
+
+def _positions(effects: DataFrame, asked: DataFrame, drop: Column, chunk_rows: int) -> DataFrame:
+    """One row per (session, seq) that changes state or asks, with the counters before it.
+
+    ``epoch`` is the number of declassifications before; ``moves`` are the labels (name, +1 or -1)
+    that the record lays on or takes off the held artifacts.
+    """
+    def moved(labels: str, n: int) -> Column:
+        return F.transform(F.coalesce(labels, F.array().cast("array<string>")),
+                           lambda x: F.struct(x.alias("label"), F.lit(n).cast("long").alias("n")))
+
+    full = lambda c: (F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0).cast("long")
+    live = F.col("after").isNotNull()
+    changes = _holds(effects, asked, drop, chunk_rows).groupBy("session_id", "seq").agg(
+        F.sum(F.when(live, full("after") - full("before")).otherwise(0)).alias("_held"),
+        F.flatten(F.collect_list(F.when(live, F.concat(moved("before", -1), moved("after", 1))))).alias("moves"),
+        F.max(F.when(F.col("asks"), full("before"))).alias("_has"))
+    refs = touched_refs()
+    counts = effects.select(
+        "session_id", "seq", F.size(refs).cast("long").alias("_n"), (F.col("op") == "artifact.egress").alias("_out"),
+        drop.cast("long").alias("_drop"), F.array_distinct(F.flatten(F.transform(refs, lambda r: r["labels"]))
+                                                           ).alias("labels"))
+    asks = asked.select("session_id", "seq", F.lit(True).alias("asks"))
+    rows = (changes.unionByName(counts, allowMissingColumns=True).unionByName(asks, allowMissingColumns=True)
+            .groupBy("session_id", "seq").agg(*[F.any_value(F.col(c), ignoreNulls=F.lit(True)).alias(c) for c in (
+                "_held", "moves", "_has", "_n", "_out", "_drop", "labels", "asks")]))
+    zero = F.lit(0).cast("long")
+    seen = running(rows, ["session_id"], "seq", {
+        "taint_depth": ("sum", F.coalesce("_held", zero)),
+        "artifacts_touched": ("sum", F.coalesce("_n", zero)),
+        "epoch": ("sum", F.coalesce("_drop", zero))}, chunk_rows=chunk_rows)
+    after = F.when(F.col("_out"), F.col("artifacts_touched") + F.col("_n"))
+    return running(seen, ["session_id"], "seq", {"_base": ("last", after)}, chunk_rows=chunk_rows)
 
-def _is_drop() -> Column:
-    return (F.col("op") == "custody.declassify") & (F.coalesce("declassified", F.lit("")) != "")
+
+def _labels_kept(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """(session, epoch, _kept): labels of the artifacts still held right after each declassification.
+
+    Label counts change by the records' moves and are summed along the epochs of each (session,
+    label); a session has few labels, so this is in proportion to its declassifications.
+    """
+    moves = (rows.select("session_id", "epoch", F.explode("moves").alias("m"))
+             .groupBy("session_id", "m.label", (F.col("epoch") + 1).alias("epoch"))
+             .agg(F.sum("m.n").alias("n")).where("n <> 0"))
+    wanted = rows.where("asks AND epoch > 0").select("session_id", "epoch").distinct()
+    asks = wanted.join(moves.select("session_id", "label").distinct(), "session_id").withColumn("asks", F.lit(True))
+    both = moves.unionByName(asks, allowMissingColumns=True).groupBy("session_id", "label", "epoch").agg(
+        F.sum("n").alias("n"), F.bool_or("asks").alias("asks"))
+    held = running(both, ["session_id", "label"], "epoch", {"held": ("sum", F.coalesce("n", F.lit(0).cast("long")))},
+                   inclusive=True, chunk_rows=chunk_rows)
+    return held.where("asks AND held > 0").groupBy("session_id", "epoch").agg(
+        F.collect_list("label").alias("_kept"))
 
 
 def running_state(effects: DataFrame, records: DataFrame, artifact: str = "artifact_id",
@@ -162,102 +230,30 @@ def running_state(effects: DataFrame, records: DataFrame, artifact: str = "artif
     """T-06: what a decision sees before its own record.
 
     ``effects`` are the effected records that change state; ``records`` are the rows to describe
-    (session_id, seq unique in it, and the call's artifact).  Sessions that only accumulate are
-    computed from counts and first positions, in chunks.  A declassification takes an artifact and
-    its labels back, so what is held depends on everything before: sessions with one are folded in
-    order over narrow rows.
+    (session_id, seq unique in it, and the call's artifact).  Each (session, artifact) gives +1 where
+    it comes to be held and -1 where a declassification takes it back: depth is a running sum.  A
+    declassification also begins an epoch of its session: labels are those of the artifacts held
+    when the epoch began (running sums of label counts) and those touched in it so far (the first
+    position of each label in the epoch).  All sums run in chunks, so a session stays spread.
     """
-    if "declassified" not in effects.columns:
-        return _accumulated(effects, records, artifact, chunk_rows)
-    dropping = effects.where(_is_drop()).select("session_id").distinct()
-    rows = records.join(dropping, "session_id", "left_semi")
-    grown = _accumulated(effects.join(dropping, "session_id", "left_anti"),
-                         records.join(dropping, "session_id", "left_anti"), artifact, chunk_rows)
-    folded = rows.join(_folded(effects.join(dropping, "session_id", "left_semi"), rows, artifact),
-                       ["session_id", "seq"])
-    return grown.unionByName(folded)
-
-
-def _folded(effects: DataFrame, records: DataFrame, artifact: str) -> DataFrame:
-    """The running state at every record, by one ordered pass; a task holds one session's state."""
-    none = F.lit(None)
-    refs = "array<struct<artifact_id:string,labels:array<string>>>"
-    asked = records.select(
-        "session_id", "seq", F.lit(0).alias("step"), F.col(artifact).alias("artifact"),
-        none.cast(refs).alias("refs"), F.lit(False).alias("out"))
-    done = effects.select(
-        "session_id", "seq", F.lit(1).alias("step"),
-        F.when(_is_drop(), F.col("declassified")).alias("artifact"),
-        F.transform(touched_refs(), lambda r: F.struct(r["artifact_id"], r["labels"])).cast(
-            refs).alias("refs"), (F.col("op") == "artifact.egress").alias("out"))
-    types = [pa.string(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(),
-             pa.bool_()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, held, labels, touched, since = None, None, ["public"], 0, 0
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if held is None or r["session_id"] != session:
-                    session, held, labels, touched, since = r["session_id"], {}, ["public"], 0, 0
-                if r["step"] == 0:
-                    out.append((session, r["seq"], labels, len(held), touched, since,
-                                r["artifact"] not in held))
-                    continue
-                for ref in r["refs"] or []:
-                    touched, since = touched + 1, since + 1
-                    if pointwise.is_classified(ref["labels"]):
-                        held[ref["artifact_id"]] = ref["labels"]
-                    labels = pointwise.join(labels, ref["labels"])
-                if r["out"]:
-                    since = 0
-                if r["artifact"] is not None:
-                    held.pop(r["artifact"], None)
-                    labels = pointwise.join(["public"], *held.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate(types)],
-                names=[c.split()[0] for c in _STATE.split(", ")])
-
-    return (asked.unionByName(done).repartition("session_id")
-            .sortWithinPartitions("session_id", "seq", "step").mapInArrow(run, _STATE))
-
-
-def _accumulated(effects: DataFrame, records: DataFrame, artifact: str, chunk_rows: int
-                 ) -> DataFrame:
-    """The running state where nothing is declassified.  Labels need no window: the first position
-    of each label in a session says from where on it is held.  Depth counts first touches."""
-    t = touches(effects)
-    held = t.where("classified").groupBy("session_id", "artifact_id").agg(
-        F.min("seq").alias("seq"),
-        F.min(F.when(L.sens_rank(F.col("labels")) == 3, F.col("seq"))).alias("restricted_seq"))
-    label_first = (t.select("session_id", "seq", F.explode("labels").alias("label"))
-                   .groupBy("session_id", "label").agg(F.min("seq").alias("seq"))
-                   .groupBy("session_id").agg(F.collect_list(F.struct("seq", "label"))
-                                              .alias("_labels")))
-    news = held.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("_new"))
-    counts = effects.select(
-        "session_id", "seq", F.size(touched_refs()).cast("long").alias("_n"),
-        (F.col("op") == "artifact.egress").alias("_out"))
-    rows = (records.join(counts, ["session_id", "seq"], "left")
-            .join(news, ["session_id", "seq"], "left"))
-    seen = running(rows, ["session_id"], "seq", {
-        "taint_depth": ("sum", F.coalesce("_new", F.lit(0).cast("long"))),
-        "artifacts_touched": ("sum", F.coalesce("_n", F.lit(0).cast("long")))},
-        chunk_rows=chunk_rows)
-    after = F.when(F.col("_out"), F.col("artifacts_touched") + F.col("_n"))
-    seen = running(seen, ["session_id"], "seq", {"_base": ("last", after)}, chunk_rows=chunk_rows)
-    first = held.select("session_id", F.col("artifact_id").alias(artifact),
-                        F.col("seq").alias("_first"))
-    out = (seen.join(label_first, "session_id", "left")
-           .join(first, ["session_id", artifact], "left"))
-    before = F.transform(F.filter(F.coalesce("_labels", F.array().cast(
-        "array<struct<seq:bigint,label:string>>")), lambda x: x["seq"] < F.col("seq")),
-        lambda x: x["label"])
-    return (out.withColumn("taint", L.join_sets(before))
-            .withColumn("since_last_egress",
-                        F.col("artifacts_touched") - F.coalesce("_base", F.lit(0).cast("long")))
-            .withColumn("first_touch", F.coalesce(F.col("_first") >= F.col("seq"), F.lit(True)))
-            .drop("_n", "_out", "_new", "_base", "_labels", "_first"))
+    drop = _is_drop() if "declassified" in effects.columns else F.lit(False)
+    asked = records.select("session_id", "seq", F.col(artifact).alias("artifact_id"))
+    rows = cut_lineage(_positions(effects, asked, drop, chunk_rows))
+    fresh = (rows.select("session_id", "epoch", "seq", F.explode("labels").alias("label"))
+             .groupBy("session_id", "epoch", "label").agg(F.min("seq").alias("seq"))
+             .groupBy("session_id", "epoch").agg(F.collect_list(F.struct("seq", "label")).alias("_fresh")))
+    state = (rows.where("asks").join(fresh, ["session_id", "epoch"], "left")
+             .join(_labels_kept(rows, chunk_rows), ["session_id", "epoch"], "left"))
+    seen = F.transform(F.filter(F.coalesce("_fresh", F.array().cast(
+        "array<struct<seq:bigint,label:string>>")), lambda x: x["seq"] < F.col("seq")), lambda x: x["label"])
+    return records.join(state.select(
+        "session_id", "seq", L.join_sets(seen, F.col("_kept")).alias("taint"), "taint_depth", "artifacts_touched",
+        (F.col("artifacts_touched") - F.coalesce("_base", F.lit(0).cast("long"))).alias("since_last_egress"),
+        (F.coalesce("_has", F.lit(0).cast("long")) == 0).alias("first_touch")), ["session_id", "seq"])
+
+
+def _is_drop() -> Column:
+    return F.coalesce((F.col("op") == "custody.declassify") & (F.col("declassified") != ""), F.lit(False))
 
 
 # ── T-07 ────────────────────────────────────────────────────────────────────────────────────

@@ -48,6 +48,49 @@ def classify_rule_table(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+#: A rule for every part: its number after a kind of name that the calls' paths have, or none of them.
+_PART_RULES = """SELECT concat('P', cast(p_partkey AS string)) AS id, p_partkey AS ord,
+    concat(CASE p_partkey % 4 WHEN 0 THEN '(^|/)(roster|customers)_' WHEN 1 THEN '/(n|m)' WHEN 2 THEN 'API_keys_'
+        ELSE 'dump_?' END, cast(p_partkey % 97 AS string), '{dot}(csv|md|py|txt|sql)$') AS pattern,
+    CASE p_partkey % 3 WHEN 0 THEN {a}'pii', 'internal'{z} WHEN 1 THEN {a}'restricted'{z} ELSE {a}'regulated'{z}
+        END AS labels FROM {part}"""
+_DUCK_PARTS = "fx_part AS (" + _PART_RULES.format(dot="\\.", a="[", z="]", part="part") + """),
+    fx_hit AS (SELECT path, p.* EXCLUDE (labels), p.labels AS given FROM fx_path
+        JOIN fx_part p ON regexp_matches(path, pattern, 'i'))"""
+
+
+def part_rules(spark, sf):
+    return spark.sql(_PART_RULES.format(dot="\\\\.", a="array(", z=")", part="{part}"),
+                     part=table(spark, sf, "part"))
+
+
+@query("c_01_large_rule_table", duck(["fx_call"], """
+    SELECT event_id, coalesce(ids, '') AS rules, coalesce(l, 'public') AS labels
+    FROM fx_call c LEFT JOIN (SELECT path, string_agg(id, ',' ORDER BY id) AS ids,
+        CASE WHEN bool_or(list_contains(given, 'restricted')) THEN
+            CASE WHEN bool_or(list_contains(given, 'pii')) THEN CASE WHEN bool_or(list_contains(given, 'regulated'))
+                THEN 'pii,regulated,restricted' ELSE 'pii,restricted' END
+            WHEN bool_or(list_contains(given, 'regulated')) THEN 'regulated,restricted' ELSE 'restricted' END
+        WHEN bool_or(list_contains(given, 'pii')) THEN CASE WHEN bool_or(list_contains(given, 'regulated'))
+            THEN 'internal,pii,regulated' ELSE 'internal,pii' END ELSE 'public,regulated' END AS l
+        FROM fx_hit GROUP BY path) h ON h.path = c.path""", I.DUCK_PATHS + ", " + _DUCK_PARTS))
+def classify_large_table(spark, sf):
+    """One rule for every part over the paths of all calls."""
+    out = A.classify_by_table(view(spark, sf, "fx_call").select("event_id", "path"), part_rules(spark, sf), ["event_id"])
+    return out.select("event_id", F.array_join("matched_rules", ",").alias("rules"),
+                      L.text(F.col("labels")).alias("labels"))
+
+
+@query("c_02_rule_table", duck(["fx_call"], f"""
+    SELECT event_id, array_to_string(list_sort(string_split({_duck_ids('command', vocab.EGRESS_RULES)}, ',')), ',')
+        AS rules, {_duck_ids('command', vocab.EGRESS_RULES)} <> '' AS is_egress FROM fx_call"""))
+def egress_rule_table(spark, sf):
+    rules = spark.createDataFrame([(r.id, r.pattern, r.reason) for r in vocab.EGRESS_RULES],
+                                  "id string, pattern string, reason string")
+    return A.egress_by_table(view(spark, sf, "fx_call").select("event_id", "command"), rules).select(
+        "event_id", F.array_join("egress_rules", ",").alias("rules"), "is_egress")
+
+
 @query("c_02_egress", duck(["fx_call"], f"""
     SELECT event_id, command, {_duck_ids('command', vocab.EGRESS_RULES)} AS rules,
         {_duck_ids('command', vocab.EGRESS_RULES)} <> '' AS is_egress FROM fx_call"""))
@@ -129,6 +172,86 @@ def worst_input(spark, sf):
                       F.when(F.size("aliases") > 0, F.array_join("aliases", ",")).alias("aliases"))
 
 
+#: Links over the calls' files: a chain of three through folders, a chain to the file, a loop, and a
+#: link below itself.
+_FOLDER, _BASE = "regexp_replace(path, '/[^/]*$', '')", "regexp_extract(path, '[^/]*$', 0)"
+_LINKS = f"""fx_file AS (SELECT DISTINCT cast(k AS string) AS n, path, {_FOLDER} AS folder, {_BASE} AS base
+    FROM fx_call),
+fx_link AS (
+    SELECT concat('/lnk/a', n) AS path, concat('/lnk/b', n) AS canonical_path FROM fx_file
+    UNION ALL SELECT concat('/lnk/b', n), concat('c', n) FROM fx_file
+    UNION ALL SELECT concat('/lnk/c', n), folder FROM fx_file
+    UNION ALL SELECT concat('/lnk/f', n), concat('../lnk/g', n) FROM fx_file
+    UNION ALL SELECT concat('/lnk/g', n), path FROM fx_file
+    UNION ALL SELECT concat('/loop/x', n), concat('/loop/y', n) FROM fx_file
+    UNION ALL SELECT concat('/loop/y', n), concat('/loop/x', n) FROM fx_file
+    UNION ALL SELECT concat('/grow', n), concat('/grow', n, '/d') FROM fx_file)"""
+_SPELLED = """SELECT event_id, n, path, CASE event_id % 6
+        WHEN 0 THEN concat('/lnk/a', n, '/', base) WHEN 1 THEN concat('/lnk/f', n)
+        WHEN 2 THEN concat('/lnk/a', n, '/../q', n, '.txt') WHEN 3 THEN concat('/loop/x', n, '/f')
+        WHEN 4 THEN concat('/grow', n, '/f') ELSE concat('/lnk/./b', n, '//', base) END AS spelled
+    FROM (SELECT c.event_id, f.* FROM fx_call c JOIN fx_file f ON f.path = c.path)"""
+
+
+def _from_calls(spark, sf, sql):
+    calls = view(spark, sf, "fx_call")
+    return spark.sql(f"WITH fx_call AS (SELECT * FROM {{calls}}), {_LINKS} {sql}", calls=calls)
+
+
+def link_rows(spark, sf):
+    return _from_calls(spark, sf, "SELECT path, canonical_path FROM fx_link")
+
+
+#: A resolution step by step: the longest linked folder is replaced, else a ``..`` is taken out.
+_WALK = rf"""{_LINKS}, fx_spelled AS ({_SPELLED}),
+fx_target AS (SELECT path AS source, CASE WHEN canonical_path LIKE '/%' THEN canonical_path ELSE
+    concat({_FOLDER}, '/', canonical_path) END AS target FROM fx_link),
+fx_walk AS (
+    SELECT DISTINCT spelled, spelled AS now, 0 AS hops, false AS done FROM fx_spelled
+    UNION ALL
+    SELECT spelled, CASE
+            WHEN source IS NOT NULL THEN concat(target, substr(head, length(source) + 1), rest)
+            WHEN rest <> '' THEN concat(regexp_replace(head, '/[^/]*$', ''), substr(rest, 4))
+            ELSE head END,
+        hops + CASE WHEN source IS NULL THEN 0 ELSE 1 END, source IS NULL AND rest = ''
+    FROM (
+        SELECT w.spelled, w.hops, w.head, w.rest, max_by(l.source, length(l.source)) AS source,
+            max_by(l.target, length(l.source)) AS target
+        FROM (SELECT spelled, hops, regexp_replace(clean, '/\.\.(/.*)?$', '') AS head,
+                substr(clean, length(regexp_replace(clean, '/\.\.(/.*)?$', '')) + 1) AS rest
+            FROM (SELECT *, regexp_replace(now, '/(\./|/)+', '/', 'g') AS clean FROM fx_walk
+                WHERE NOT done AND hops <= 40)) w
+        LEFT JOIN fx_target l ON w.head = l.source OR starts_with(w.head, concat(l.source, '/'))
+        GROUP BY w.spelled, w.hops, w.head, w.rest)),
+fx_real AS (SELECT s.spelled, coalesce(max(w.now) FILTER (w.done), s.spelled) AS real
+    FROM (SELECT DISTINCT spelled FROM fx_spelled) s JOIN fx_walk w ON w.spelled = s.spelled
+    GROUP BY s.spelled)"""
+
+
+@query("c_04_linked", duck(["fx_call"], """
+    SELECT event_id, s.spelled AS path, real AS canonical_path,
+        concat('art_', substr(sha256(concat('sg-artifact-v1:', real)), 1, 16)) AS artifact_id
+    FROM fx_spelled s JOIN fx_real r ON r.spelled = s.spelled""", _WALK, recursive=True))
+def linked(spark, sf):
+    rows = _from_calls(spark, sf, _SPELLED).select("event_id", F.col("spelled").alias("path"))
+    return A.identify(rows, links=link_rows(spark, sf)).select(
+        "event_id", "path", "canonical_path", "artifact_id")
+
+
+@query("c_05_relative", duck(["fx_call"], """
+    SELECT event_id, path AS canonical_path, artifact_id FROM fx_call"""))
+def relative(spark, sf):
+    """Spellings from the root, from a working folder and from home share one id."""
+    rows = view(spark, sf, "fx_call").select("event_id", F.expr("""CASE event_id % 7
+        WHEN 0 THEN path WHEN 1 THEN concat('.', path) WHEN 2 THEN substr(path, 2)
+        WHEN 3 THEN regexp_replace(path, '^/home/u[0-9]+', '~') WHEN 4 THEN concat('../..', path)
+        WHEN 5 THEN concat(path, '/') ELSE concat('/.//x/..', path) END""").alias("path"),
+        F.when(F.col("event_id") % 7 == 4, "/work/in").otherwise("/").alias("cwd"),
+        F.regexp_extract("path", "^/home/u[0-9]+", 0).alias("home"))
+    return A.identify(rows, cwd=F.col("cwd"), home=F.col("home")).select(
+        "event_id", "canonical_path", "artifact_id")
+
+
 @query("c_05_identity", duck(["fx_call"], "SELECT event_id, path, artifact_id FROM fx_call"))
 def identity(spark, sf):
     return A.identify(view(spark, sf, "fx_call").drop("artifact_id")).select(
@@ -197,6 +320,22 @@ def handler(spark, sf):
         "event_id", A.find_handler(F.col("path"), F.col("labels"), _HANDLERS).alias("handler"))
 
 
+@query("c_08_handler_table", duck(["fx_call"], """
+    SELECT event_id, CASE WHEN least(o, CASE WHEN list_contains(flags, 'credential') THEN 50 END) = 50
+        THEN 'keys' ELSE 'P' || cast(o AS string) END AS handler
+    FROM fx_call c JOIN fx_path p ON p.path = c.path LEFT JOIN (
+        SELECT h.path, min(ord) AS o FROM fx_hit h JOIN fx_path q ON q.path = h.path
+        WHERE ord <> 50 AND (ord % 5 = 0 OR list_has_any(given, list_concat(q.flags, string_split(q.labels, ','))))
+        GROUP BY h.path) t ON t.path = c.path""", I.DUCK_PATHS + ", " + _DUCK_PARTS))
+def handler_table(spark, sf):
+    """A handler for every part, every fifth of them for any label, and one for credentials only."""
+    parts = part_rules(spark, sf).select(
+        "ord", "id", F.when(F.col("ord") % 5 != 0, F.col("labels")).alias("labels"), "pattern")
+    keys = spark.createDataFrame([(50, "keys", ["credential"], None)], parts.schema)
+    known = parts.where("ord <> 50").unionByName(keys).withColumn("ord", F.col("ord").cast("int"))
+    return A.handler_by_table(A.classify(view(spark, sf, "fx_call")), known).select("event_id", "handler")
+
+
 @query("c_09_disclosure", """
     SELECT doc_id, concat('sha256:', substr(sha256(text), 1, 16)) AS handle,
         cast(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10)))

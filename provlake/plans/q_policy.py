@@ -8,7 +8,8 @@ from provlake.functions.rules import condition
 from provlake.operators import policy as P
 from provlake.operators import taint as T
 from provlake.plans import inputs as I
-from provlake.plans.registry import query
+from provlake.plans.q_artifacts import link_rows
+from provlake.plans.registry import ORACLES, query
 from provlake.sources.tables import duck, view
 
 
@@ -255,3 +256,29 @@ def long_dependency(spark, sf):
             "op", "outcome", "path", "artifact_id", "out_path", "out_id", "props")
     return P.replay(P.call_facts(calls), _ALTERNATING).select(
         "session_id", "seq", "outcome", "since_last_egress")
+
+
+def linked_calls(calls):
+    """Calls that name their file by a link to a link to it."""
+    return calls.withColumn("file_path", F.when(
+        F.col("tool") != "Bash", F.concat(F.lit("/lnk/f"), F.col("k").cast("string")))).drop(
+            "op", "outcome", "path", "artifact_id", "out_path", "out_id", "props")
+
+
+@query("p_06_linked", ORACLES["p_06_replay"])
+def replay_linked(spark, sf):
+    """The same calls through links decide the same."""
+    facts = P.call_facts(linked_calls(view(spark, sf, "fx_call")), links=link_rows(spark, sf))
+    return P.replay(facts).select(
+        "session_id", "seq", "outcome", "determining_policy", "taint_depth", "since_last_egress")
+
+
+@query("p_06_aliases", duck(["fx_call"], f"""
+    SELECT session_id, seq, concat('/lnk/f', cast(k AS string)) AS given, c.path AS resolves_to,
+        p.labels AS labels_gained
+    FROM fx_call c JOIN fx_path p ON p.path = c.path
+    WHERE tool <> 'Bash' AND (rnk >= 2 OR len(flags) > 0)""", I.DUCK_PATHS))
+def aliases(spark, sf):
+    facts = P.call_facts(linked_calls(view(spark, sf, "fx_call")), links=link_rows(spark, sf))
+    return facts.select("session_id", "seq", F.inline("aliases")).withColumn(
+        "labels_gained", L.text(F.col("labels_gained")))

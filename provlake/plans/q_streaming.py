@@ -6,10 +6,11 @@ from provlake.operators import artifacts as A
 from provlake.operators import policy as P
 from provlake.operators import taint as T
 from provlake.plans import inputs as I
+from provlake.plans.q_artifacts import link_rows
 from provlake.plans.q_ledger import _ALERT, _OP, DUCK_CHAIN
-from provlake.plans.q_policy import _P06
+from provlake.plans.q_policy import _P06, linked_calls
 from provlake.plans.q_risk import _SHAPE
-from provlake.plans.registry import query
+from provlake.plans.registry import ORACLES, query
 from provlake.sources.tables import duck, stream, table, view
 from provlake.streaming import events as E
 from provlake.streaming import session as S
@@ -25,6 +26,14 @@ def _call_events(calls):
     return P.call_facts(calls).withColumn("kind", F.lit("call"))
 
 
+@query("st_01_linked", ORACLES["p_06_replay"])
+def linked_gate(spark, sf):
+    """Calls that name their files by links; the links travel as a map, as a stream cannot join in rounds."""
+    facts = P.call_facts(linked_calls(_calls(spark, sf)), links=link_rows(spark, sf))
+    out = E.run_available(S.session_stream(facts.withColumn("kind", F.lit("call"))), "linked")
+    return out.select("session_id", "seq", "outcome", "determining_policy", "taint_depth", "since_last_egress")
+
+
 @query("st_01_call_gate", duck(["fx_call"], """
     SELECT session_id, seq, outcome, pol AS determining_policy, depth_before AS taint_depth,
         since_before AS since_last_egress FROM fx_fold WHERE n > 0""", _P06, recursive=True))
