@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import WordIndex
+from provlake.llm.common import WordIndex, lean
 
 SAMPLES = 128
 #: (word, count) pairs remembered by a task before it forgets all and starts anew.
@@ -161,6 +161,7 @@ def fingerprints(docs: DataFrame, n: int = SAMPLES) -> DataFrame:
                         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
                         ("near_next", pa.float64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, last = Sampler(n), None
         for b in batches:

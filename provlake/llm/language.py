@@ -255,7 +255,9 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict | None:
             .distinct())
     first = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     ids = near.withColumn("r", first).filter(F.col("r") <= per_lang).select("doc_id", "lang")
-    sample = ok.join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    # Of several texts with one id the one of the smallest digest is learnt from.
+    sample = (ok.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang")
+              .agg(F.min_by("text", F.struct(F.sha2("text", 256), "text")).alias("text")))
     return fit_in_task(sample, _fit)
 
 

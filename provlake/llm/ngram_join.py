@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import components, fresh
+from provlake.llm.common import components, fresh, lean
 from provlake.llm.shingles import shingle_sets
 from provlake.session import cut_lineage
 
@@ -67,6 +67,7 @@ def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             [pa.array(c, f.type) for c, f in zip((doc_id, n, digest, bucket), schema, strict=True)],
             schema=schema)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
@@ -101,6 +102,7 @@ def _keys(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     names = ["key", "n", "rep", "hot"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heat_of = shared.value
         for b in batches:
@@ -125,6 +127,7 @@ def _keys(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFra
 
 def _counts(docs: DataFrame, width: int) -> DataFrame:
     """(rep, counts): the count vectors of documents (rep, text)."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -142,6 +145,7 @@ def _met_cold(keys: DataFrame, percent: int) -> DataFrame:
     sets, led by their first. Rows are sorted and streamed."""
     schema = pa.schema([("leader", pa.int64()), ("rep", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (key, n, leader, whether the leader has been told) of the row before
         for b in batches:
@@ -304,6 +308,7 @@ def _candidates(met: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         "leader", "x", "y", "own", "rep", "counts"))
     names = ["leader", "x", "y", "own", "rep"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = lambda values: (np.frombuffer(
             v, np.uint16 if len(v) == 2 * GROUPS else np.uint32).astype(np.int64) for v in values)
@@ -353,6 +358,7 @@ def _verified(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     ready = _sorted_groups(rows.join(_among(texts, rows, "rep"), "rep").select(
         "leader", "x", "y", "own", "rep", "text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, ids, own, sets in _grouped(batches, lambda texts: shingle_sets(texts, width)):
             found = links(sets, percent, None if key[1] == key[2] else own)

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import WordIndex, gapless
+from provlake.llm.common import WordIndex, gapless, lean
 from provlake.session import cut_lineage
 
 LONGEST = 2048
 END_ID = 1
-#: Words remembered by a worker, and their characters, before it forgets all and starts anew.
+#: Words remembered by a task, and their characters, before it forgets all and starts anew.
 REMEMBERED = 300_000
 REMEMBERED_CHARS = 16_000_000
 #: White space before and after a space (or a space that ends the text after white space): there
@@ -129,17 +129,15 @@ def cuts(length: int, longest: int = LONGEST) -> list[int]:
     return [longest] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-_workers: dict[str, WordCache] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): one row per piece."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
     end = np.array([END_ID], np.uint32)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _workers.get(tokenizer) or _workers.setdefault(tokenizer, WordCache(tokenizer))
+        cache = WordCache(tokenizer)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import WORD_PATTERN, fresh
+from provlake.llm.common import WORD_PATTERN, fresh, lean
 
 LEAST, EXPONENT = 24, 3
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -233,8 +233,8 @@ def runs(docs: DataFrame, text: str = "text", least: int = LEAST, exponent: int
         raise ValueError("a run repeats its period once at least")
     words_of = re.compile(WORD_PATTERN).findall
 
-    @F.arrow_udf(_SHAPE)
-    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @lean
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             ends, rows, collapsed = [0], [np.zeros((0, 3), np.int64)], []
             for t in texts:
@@ -254,4 +254,8 @@ def runs(docs: DataFrame, text: str = "text", least: int = LEAST, exponent: int
                 [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans), pa.array(collapsed, pa.string())],
                 ["runs", "collapsed"])
 
+    @F.arrow_udf(_SHAPE)
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(batches)
+
     return docs.withColumn(fresh(as_name, docs.columns), udf(F.col(text)))

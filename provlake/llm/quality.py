@@ -21,7 +21,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import SAMPLE_PER_CLASS, fit_in_task, fresh, held_out, labelled_sample, scored
+from provlake.llm.common import (SAMPLE_PER_CLASS, fit_in_task, fresh, held_out, labelled_sample, logistic,
+                                 scored)
 
 DICTIONARY_BYTES = 65536
 PIECE_BYTES = 2048
@@ -81,23 +82,6 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n" + b"".join(samples)[-DICTIONARY_BYTES:] + b"\n" * 8
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps, with a light ridge on the slope; targets smoothed."""
-    pos, neg = y.sum(), len(y) - y.sum()
-    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    scale = x.std() or 1.0
-    a, b = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        g = a.T @ (p - target) + np.array([1e-3 * b[0], 0])
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 1e-9])
-        step = np.linalg.solve(h, g)
-        b -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(b[0] / scale), float(b[1])
-
-
 def _squash(x: np.ndarray, scale: float) -> np.ndarray:
     """Differences far from 0 say no more than moderate ones; they must not set the slope."""
     return np.tanh(x / scale)
@@ -122,7 +106,7 @@ def _fit(share: float | None):
         usual = float(np.median(some[:, 0] / some[:, 1])) if len(some) else 0.0
         x = _ratio(found, usual)
         scale = float(np.median(np.abs(x))) or 1.0
-        slope, cut = _logistic(_squash(x, scale), y)
+        slope, cut = logistic(_squash(x, scale), y)
         # The sample holds other shares of the classes than the labels do.
         if share is not None and 0 < share < 1:
             seen = y.mean()

@@ -4,7 +4,9 @@ Terms are a word and its stems (the word's first 4 to 8 letters), lower-cased an
 everything but letters, hashed into buckets. A text is the vector of x = log2(1 + count) of its
 terms; the machine adds to the linear weights an interaction <v_i, v_j> x_i x_j for every pair of
 terms, so that two terms can mean together what neither means alone. Buckets that the bounded
-sample shows in too few texts, or without regard to the label, have no weight.
+sample shows in too few texts have no weight, nor have those without regard to the label, by
+themselves or together with another bucket. How steeply the machine's sums turn into scores is
+fitted on texts that it has not learnt from, fold by fold.
 
 Whole texts are scored; null and empty texts get the score of no term. Repeated rows are scored
 alike; without usable labels of both classes the score is the share of label 1 (0 without any).
@@ -19,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import SAMPLE_PER_CLASS, fit_in_task, fresh, held_out, labelled_sample, scored
+from provlake.llm.common import (SAMPLE_PER_CLASS, fit_in_task, fresh, held_out, labelled_sample, logistic,
+                                 scored)
 
 BUCKET_BITS = 20
 STEMS = range(4, 9)
@@ -28,6 +31,11 @@ ACTIVE, LEAST_TEXTS = 2048, 4
 RANK, STEPS, RATE = 8, 200, 0.05
 LINEAR_DECAY, PAIR_DECAY = 2e-5, 3e-4
 THRESHOLD = 0.5
+#: Buckets whose pairs are tried, and pairs whose buckets get weights: those that say this much
+#: more (standard deviations) than either bucket alone.
+TRIED, PAIRS, PAIR_GAIN = 2048, 256, 6.0
+#: Folds of the learnt texts for the curve.
+FITS = 2
 #: Words remembered by a task before it forgets all and starts anew.
 REMEMBERED = 250_000
 
@@ -94,6 +102,41 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple:
     return p[0], p[1], float(p[2])
 
 
+def _alone(df: np.ndarray, pos: np.ndarray, n: int, share: float) -> np.ndarray:
+    """How far the texts with a bucket (or pair) leave the usual share of label 1."""
+    expected = df * share
+    return (pos - expected) / np.sqrt(expected * (1 - df / n) + 1e-9)
+
+
+def _together(on: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Columns of the pairs that say most beyond what their columns say alone."""
+    both, pos = on.T @ on, (on * y[:, None]).T @ on
+    gain = np.abs(_alone(both, pos, len(y), y.mean())) - np.maximum.outer(np.abs(z), np.abs(z))
+    gain[both < LEAST_TEXTS] = 0
+    gain = np.triu(gain, 1)
+    best = np.argsort(-gain, axis=None, kind="stable")[:PAIRS]
+    i, j = np.unravel_index(best[gain.ravel()[best] > PAIR_GAIN], gain.shape)
+    return np.unique(np.concatenate([i, j]))
+
+
+def _chosen(owner: np.ndarray, col: np.ndarray, y: np.ndarray, buckets: int) -> np.ndarray:
+    """Columns with weights: by themselves, then by pairs of the most telling frequent ones."""
+    n = len(y)
+    df = np.bincount(col, minlength=buckets)
+    z = _alone(df, np.bincount(col, weights=y[owner], minlength=buckets), n, y.mean())
+    z[df < LEAST_TEXTS] = 0
+    tried = np.argsort(-df * (n - df) * (df >= LEAST_TEXTS), kind="stable")[:TRIED]
+    tried = np.sort(tried[df[tried] >= LEAST_TEXTS])
+    at = np.full(buckets, -1)
+    at[tried] = np.arange(len(tried))
+    on = np.zeros((n, len(tried)), np.float32)
+    seen = at[col] >= 0
+    on[owner[seen], at[col][seen]] = 1
+    paired = tried[_together(on, y, z[tried])] if len(tried) > 1 else tried[:0]
+    best = np.argsort(-np.abs(z), kind="stable")[:ACTIVE - len(paired)]
+    return np.union1d(best[np.abs(z[best]) > 1], paired)
+
+
 def _fit(share: float | None):
     def fit(rows: pd.DataFrame) -> dict:
         rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
@@ -103,27 +146,40 @@ def _fit(share: float | None):
         bags = Bags()
         found = [bags.counts(t) for t in rows["text"]]
         ids = np.concatenate([f[0] for f in found])
+        value = np.log2(1 + np.concatenate([f[1] for f in found]))
         owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         bucket, col = np.unique(ids, return_inverse=True)
-        pos = np.bincount(col, weights=y[owner], minlength=len(bucket))
-        df = np.bincount(col, minlength=len(bucket))
-        n = len(y)
-        expected = df * (y == 1).sum() / n
-        z = np.abs(pos - expected) / np.sqrt(expected * (1 - df / n) + 1e-9)
-        z[df < LEAST_TEXTS] = 0
-        best = np.argsort(-z, kind="stable")[:ACTIVE]
-        keep = np.sort(best[z[best] > 1])
-        place = np.full(len(bucket), -1)
-        place[keep] = np.arange(len(keep))
-        x = np.zeros((n, len(keep)), np.float32)
-        on = place[col] >= 0
-        x[owner[on], place[col][on]] = np.log2(1 + np.concatenate([f[1] for f in found])[on])
         # Weights give the classes the shares that they have among all labels.
-        seen = y.mean()
-        share_ = share if share is not None and 0 < share < 1 else seen
-        weight = np.where(y == 1, share_ / seen, (1 - share_) / (1 - seen)) / n
-        w, v, b = _machine(x, y, weight.astype(np.float32))
-        return {"active": bucket[keep], "w": w, "v": v, "b": b}
+        wanted = share if share is not None and 0 < share < 1 else y.mean()
+
+        def learnt(use: np.ndarray) -> tuple:
+            """(columns, weights) from some of the texts, and the features of all."""
+            part = np.cumsum(use) - 1
+            own = use[owner]
+            keep = _chosen(part[owner[own]], col[own], y[use], len(bucket))
+            place = np.full(len(bucket), -1)
+            place[keep] = np.arange(len(keep))
+            x = np.zeros((len(y), len(keep)), np.float32)
+            on = place[col] >= 0
+            x[owner[on], place[col][on]] = value[on]
+            seen = y[use].mean()
+            weight = np.where(y[use] == 1, wanted / seen, (1 - wanted) / (1 - seen)) / use.sum()
+            return keep, _machine(x[use], y[use], weight.astype(np.float32)), x
+
+        keep, (w, v, b), x = learnt(np.ones(len(y), bool))
+        fold = rows.groupby("y").cumcount().to_numpy() % FITS
+        z = np.zeros(len(y))
+        for k in range(FITS):
+            rest = fold != k
+            if len(np.unique(y[rest])) < 2 or (fold == k).sum() == 0:
+                z[fold == k] = _logit(x[fold == k], w, v, b)[0]
+                continue
+            _, machine, other = learnt(rest)
+            z[~rest] = _logit(other[~rest].astype(float), *machine)[0]
+        scale = float(np.median(np.abs(z))) or 1.0
+        # The machine, fitted to the classes' shares, decides at 0; the curve only says how surely.
+        slope, _ = logistic(np.arcsinh(z / scale), y)
+        return {"active": bucket[keep], "w": w, "v": v, "b": b, "scale": scale, "slope": max(slope, 1e-3)}
     return fit
 
 
@@ -141,13 +197,13 @@ def _scorer(model: dict):
         return lambda s: pd.Series(np.full(len(s), model["prior"])).to_frame("score")
     bags = Bags(model["active"])
     w, v, b = model["w"].astype(float), model["v"].astype(float), model["b"]
-
     def score(s: pd.Series) -> pd.DataFrame:
         z = np.empty(len(s))
         for i, t in enumerate(s):
             ids, n = bags.counts(t)
             x = np.log2(1.0 + n)
             z[i] = _logit(x[None, :], w[ids], v[ids], b)[0][0]
+        z = model["slope"] * np.arcsinh(z / model["scale"])
         return pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
     return score
 
