@@ -26,7 +26,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,25 +114,27 @@ def digest(pieces: DataFrame) -> DataFrame:
     Pieces are sorted by conversation and streamed, so a task holds one piece and two hash states
     however long a conversation is.
     """
-    schema = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
-              "loss_sha256 string, formatted_chars long")
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(),
+             "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
 
         def closed():
             return (now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                kinds.values())], names=list(kinds))
+
         for b in batches:
             rows = []
-            ids = b["conv_id"].astype("Int64")
-            for cid, piece, start, length in zip(ids, b["piece"], b["loss_start"],
-                                                 b["loss_length"], strict=True):
-                key = (None if pd.isna(cid) else int(cid),)
-                if key != now:
+            for cid, piece, start, length in zip(*(b.column(c).to_pylist() for c in (
+                    "conv_id", "piece", "loss_start", "loss_length")), strict=True):
+                if (cid,) != now:
                     if state:
                         rows.append(closed())
-                    now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = (cid,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text in parse(piece):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
@@ -140,17 +142,14 @@ def digest(pieces: DataFrame) -> DataFrame:
                 state[2] += len(learnt)
                 state[3].update(learnt.encode())
                 state[4] += len(piece)
-            yield _frame(rows)
+            yield batch(rows)
         if state:
-            yield _frame([closed()])
-
-    def _frame(rows):
-        f = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars",
-                                        "loss_sha256", "formatted_chars"])
-        return f.astype({"conv_id": "Int64"})
+            yield batch([closed()])
 
-    return (pieces.repartition("conv_id").sortWithinPartitions("conv_id", "position", "message_id")
-            .mapInPandas(run, schema))
+    return (pieces.withColumn("conv_id", F.col("conv_id").cast("long")).repartition("conv_id")
+            .sortWithinPartitions("conv_id", "position", "message_id")
+            .mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+                             "loss_sha256 string, formatted_chars long"))
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
