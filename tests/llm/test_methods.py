@@ -284,8 +284,7 @@ def test_mixture_fills_the_room_after_a_long_document(spark, seed):
     d = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").select(
         "doc_id", F.lit("s").alias("source"), F.expr("repeat('w ', n)").alias("text"))
     plans = mixing.plan(d, share=0.6, shards=5, seed=seed, block_words=4000)
-    got = mixing.draws(d, plans, seed=seed).select(
-        "doc_id", mixing.place(seed=seed).alias("place"), "mix.*").collect()
+    got = mixing.draws(d, plans, seed=seed).select("doc_id", "mix.*").collect()
     room = int(0.6 * sum(sizes))
     want, words = _greedy([(r.place, r["size"]) for r in got], room)
     assert {r.place for r in got if r.draws} == want
@@ -307,10 +306,9 @@ def test_mixture_takes_equal_ids_together(spark):
         plans = mixing.plan(d, share=0.55, shards=3, seed=seed, block_words=500)
         got = mixing.draws(d, plans, seed=seed).collect()
         by, times = collections.Counter(), collections.defaultdict(set)
-        for r in d.select(mixing.place(seed=seed).alias("place"), mixing.words().alias("n")).collect():
-            by[r.place] += r.n
-        for r in mixing.draws(d, plans, seed=seed).select(mixing.place(seed=seed).alias("place"), "mix").collect():
-            times[r.place].add(len(r.mix["draws"]))
+        for r in got:
+            by[r.mix["place"]] += r.mix["size"]
+            times[r.mix["place"]].add(len(r.mix["draws"]))
         assert len(got) == len(rows) and all(len(t) == 1 for t in times.values())
         want, words = _greedy(list(by.items()), int(0.55 * sum(n for _, n in rows)))
         assert {p for p, t in times.items() if t == {1} and by[p]} == want
