@@ -318,24 +318,29 @@ def _hash_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def state_digests(records: DataFrame) -> DataFrame:
-    """T-07: digest of each session's whole state and of its edge list.
+    """T-07: digest of each session's whole state and of its edge list."""
+    return digests_of(rollup(records), sources(records), edges(select_effects(records)))
+
+
+def digests_of(heads: DataFrame, held: DataFrame, links: DataFrame) -> DataFrame:
+    """T-07 of state tables: rolled up here, or read from a stream's state.
 
     One SHA-256 is sequential by nature; rows stream through it in sorted order, so memory does
     not grow with the session.
     """
-    head = rollup(records).select("session_id", "labels", "touched", "since_last_egress",
-                                  "compaction_generation")
+    head = heads.select("session_id", "labels", "touched", "since_last_egress",
+                        "compaction_generation")
     null = F.lit(None).cast("string")
     nolabels = F.lit(None).cast("array<string>")
 
     def part(n: int) -> Column:
         return F.lit(n).cast("int").alias("part")
 
-    e = edges(select_effects(records)).select(
+    e = links.select(
         "session_id", part(1), F.col("output_id").alias("k1"), F.col("input_id").alias("k2"),
         F.col("via").alias("k3"), null.alias("path"), null.alias("digest"),
         nolabels.alias("ref_labels"))
-    s = sources(records).select(
+    s = held.select(
         "session_id", part(2), F.col("artifact_id").alias("k1"), null.alias("k2"),
         null.alias("k3"), "path", "digest", F.col("labels").alias("ref_labels"))
     base = head.select("session_id", part(0), null.alias("k1"), null.alias("k2"),

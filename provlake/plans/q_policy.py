@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from provlake import vocab
 from provlake.functions import labels as L
 from provlake.functions.rules import condition
+from provlake.operators import matching as M
 from provlake.operators import policy as P
 from provlake.operators import taint as T
 from provlake.plans import inputs as I
 from provlake.plans.q_artifacts import link_rows
 from provlake.plans.registry import ORACLES, query
-from provlake.sources.tables import duck, view
+from provlake.sources.tables import duck, table, view
 
 
 @query("p_01_conditions", duck(["fx_call"], """
@@ -82,14 +83,17 @@ fx_decision AS (
     FROM fx_match)"""
 
 
-def _decided(spark, sf):
+def _state(spark, sf):
     from provlake.operators.artifacts import classify
     recs = I.records(spark, sf)
     rows = classify(view(spark, sf, "fx_call")).drop("matched_rules", "sources", "outcome")
-    seen = T.running_state(T.select_effects(recs), rows).withColumns({
+    return T.running_state(T.select_effects(recs), rows).withColumns({
         "is_egress": F.col("op") == "artifact.egress", "is_write": F.lit(False),
         "is_own_binary": F.lit(False), "is_ledger": F.lit(False)})
-    return P.decide(seen, F.col("op"), F.col("posture"), P.call_context())
+
+
+def _decided(spark, sf):
+    return P.decide(_state(spark, sf), F.col("op"), F.col("posture"), P.call_context())
 
 
 @query("p_02_decision", duck(["fx_call"], """
@@ -100,6 +104,52 @@ def decision(spark, sf):
                                       "counterfactual")
 
 
+#: A policy for every part: scope, depth, labels and first touch by its number.
+_PART_POLICIES = """SELECT cast(p_partkey AS int) AS ord, concat('part#', cast(p_partkey AS string)) AS id,
+    CASE p_partkey % 3 WHEN 0 THEN 'forbid' WHEN 1 THEN 'ask' ELSE 'permit' END AS effect,
+    concat('{{"session.taint_depth": {{"gte": ', cast(p_size % 9 AS string), ', "ne": ', cast(p_size % 5 AS string),
+        '}}, "artifact.classified": ', CASE WHEN p_partkey % 11 < 9 THEN 'true' ELSE 'false' END,
+        CASE p_partkey % 7 WHEN 0 THEN ', "artifact.labels": {{"contains": "pii"}}'
+            WHEN 1 THEN ', "artifact.labels": {{"contains_any": ["credential", "regulated"]}}'
+            WHEN 2 THEN ', "artifact.first_touch": {{"is_true": true}}'
+            WHEN 3 THEN ', "artifact.first_touch": {{"is_false": true}}' ELSE '' END, '}}') AS when_json,
+    concat('because of part ', cast(p_partkey AS string)) AS reason,
+    CASE p_partkey % 4 WHEN 0 THEN array('artifact.egress') WHEN 1 THEN array('artifact.read', 'artifact.write')
+        ELSE cast(array() AS array<string>) END AS actions,
+    CASE p_partkey % 5 WHEN 0 THEN array('bar') WHEN 1 THEN array('steer', 'observe') ELSE cast(array() AS array<string>) END AS postures,
+    '' AS guidance, cast(p_size % 4 AS int) AS priority FROM {part}"""
+
+
+@query("p_02_policy_table", duck(["fx_call"], """
+    SELECT event_id, CASE prec WHEN 3 THEN 'deny' WHEN 2 THEN 'ask' WHEN 1 THEN 'allow' ELSE 'deny' END AS outcome,
+        coalesce(id, 'default#deny-by-default') AS determining_policy,
+        coalesce('because of part ' || substr(id, 6), 'no policy permitted this action — deny by default') AS reason,
+        coalesce(n_over, 0) AS overridden, sha256(CASE WHEN n_over > 0 THEN concat('would have been ', over, ' but ',
+            ['permit', 'ask', 'forbid'][prec], ' overrides') ELSE '' END) AS counterfactual_sha256
+    FROM fx_state LEFT JOIN (
+        SELECT event_id, any_value(top) AS prec, any_value(id) FILTER (score = best) AS id,
+            count(*) FILTER (prec < top) AS n_over, string_agg(id, ', ' ORDER BY ord) FILTER (prec < top) AS over
+        FROM (SELECT *, max(score) OVER w AS best, max(prec) OVER w AS top FROM fx_fire
+            WINDOW w AS (PARTITION BY event_id)) GROUP BY event_id) USING (event_id)""", _P02 + """,
+fx_pol AS (SELECT p_partkey AS ord, concat('part#', p_partkey) AS id, 3 - p_partkey % 3 AS prec, p_size % 4 AS priority,
+    p_size % 9 AS least, p_size % 5 AS other FROM part),
+fx_fire AS (SELECT event_id, ord, id, prec, prec * 1000000000000::bigint + priority * 1000000000::bigint - ord AS score
+    FROM fx_state JOIN fx_pol ON depth >= least AND depth <> other AND classified = (ord % 11 < 9)
+        AND CASE ord % 7 WHEN 0 THEN list_contains(flags, 'pii')
+            WHEN 1 THEN list_has_any(flags, ['credential', 'regulated']) WHEN 2 THEN classified AND first_touch
+            WHEN 3 THEN NOT (classified AND first_touch) ELSE true END
+        AND CASE ord % 4 WHEN 0 THEN op = 'artifact.egress' WHEN 1 THEN op IN ('artifact.read', 'artifact.write')
+            ELSE true END
+        AND CASE ord % 5 WHEN 0 THEN posture = 'bar' WHEN 1 THEN posture IN ('steer', 'observe') ELSE true END)"""))
+def decision_by_table(spark, sf):
+    """One policy for every part."""
+    parts = spark.sql(_PART_POLICIES, part=table(spark, sf, "part"))
+    out = M.decide_by_table(_state(spark, sf), F.col("op"), F.col("posture"), P.call_context(), parts)
+    over = F.regexp_count("counterfactual", F.lit("part#")).cast("long")
+    return out.select("event_id", "outcome", "determining_policy", "reason", over.alias("overridden"),
+                      F.sha2("counterfactual", 256).alias("counterfactual_sha256"))
+
+
 @query("p_03_policy_pin", duck(["fx_call"], f"""
     SELECT profile, mismatch, CASE WHEN mismatch THEN concat('POLICY SET MISMATCH: loaded ',
         '{P.set_digest(vocab.POLICIES)[:16]}', ', pinned other') END AS detail

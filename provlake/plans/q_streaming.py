@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from provlake.functions import labels as L
 from provlake.operators import artifacts as A
 from provlake.operators import policy as P
 from provlake.operators import taint as T
@@ -10,6 +11,7 @@ from provlake.plans.q_artifacts import link_rows
 from provlake.plans.q_ledger import _ALERT, _OP, DUCK_CHAIN
 from provlake.plans.q_policy import _P06, linked_calls
 from provlake.plans.q_risk import _SHAPE
+from provlake.plans.q_taint import _STATE
 from provlake.plans.registry import ORACLES, query
 from provlake.sources.tables import duck, stream, table, view
 from provlake.streaming import events as E
@@ -53,6 +55,15 @@ def _results(calls):
                     F.col("k").cast("long").alias("result_bytes"))
 
 
+def _written(calls):
+    """Results whose writes all go to one public output of the session."""
+    return _results(calls).withColumn("refs", F.when(
+        F.col("is_write"), F.transform("refs", lambda x: F.struct(
+            F.lit("art_out").alias("artifact_id"), x["path"].alias("path"),
+            x["digest"].alias("digest"), F.array(F.lit("public")).alias("labels")))
+    ).otherwise(F.col("refs")))
+
+
 @query("st_02_results", duck(["fx_call"], f"""
     SELECT c.session_id, c.seq, count(DISTINCT t.artifact_id) FILTER (t.rnk >= 2 OR len(t.flags) > 0)
             AS held, CASE WHEN c.tool <> 'Write' THEN 'tool.result'
@@ -65,12 +76,7 @@ def _results(calls):
     GROUP BY c.session_id, c.seq, c.tool, c.event_type""", I.DUCK_PATHS))
 def results(spark, sf):
     # Without write results tainting anything further, held sources are the ones read before.
-    rows = _results(_calls(spark, sf)).withColumn("refs", F.when(
-        F.col("is_write"), F.transform("refs", lambda x: F.struct(
-            F.lit("art_out").alias("artifact_id"), x["path"].alias("path"),
-            x["digest"].alias("digest"), F.array(F.lit("public")).alias("labels")))
-    ).otherwise(F.col("refs")))
-    out = E.run_available(S.session_stream(rows), "results").where("row_kind = 'result'")
+    out = E.run_available(S.session_stream(_written(_calls(spark, sf))), "results").where("row_kind = 'result'")
     body = F.parse_json("detail")
     done = out.select("session_id", "seq", "op", F.try_variant_get(
         body, "$.success", "boolean").alias("success"), "taint_depth")
@@ -80,6 +86,53 @@ def results(spark, sf):
         "session_id", "seq", "op", "success", "taint_depth").transform(_held_before)
 
 
+@query("st_02_edges", duck(["fx_call"], f"""
+    SELECT w.session_id, w.seq, 'art_out' AS output_id, s.artifact_id AS input_id, concat('Write:', w.path) AS via
+    FROM fx_res w JOIN (
+        SELECT session_id, artifact_id, min(seq) AS since FROM fx_res WHERE tool <> 'Write' AND taint GROUP BY ALL
+        UNION ALL
+        SELECT o.session_id, 'art_out', min(o.seq) FROM fx_res o JOIN (SELECT session_id, min(seq) AS tainted
+            FROM fx_res WHERE tool <> 'Write' AND taint GROUP BY session_id) t ON t.session_id = o.session_id
+        WHERE o.tool = 'Write' AND o.seq > tainted GROUP BY o.session_id
+    ) s ON s.session_id = w.session_id AND s.since < w.seq
+    WHERE w.tool = 'Write'""", I.DUCK_PATHS + """, fx_res AS (SELECT c.*, p.rnk >= 2 OR len(p.flags) > 0 AS taint
+        FROM fx_call c JOIN fx_path p ON p.path = c.path)"""))
+def edges(spark, sf):
+    """Every write has an edge to each source its session held, earlier outputs among them."""
+    out = E.run_available(S.session_stream(_written(_calls(spark, sf))), "edges").where("row_kind = 'edge'")
+    body = F.parse_json("detail")
+    return out.select("session_id", "seq", F.col("artifact_id").alias("output_id"),
+                      F.try_variant_get(body, "$.source", "string").alias("input_id"),
+                      F.try_variant_get(body, "$.via", "string").alias("via"))
+
+
+@query("st_02_result_records", duck(["fx_call"], f"""
+    SELECT session_id, seq, CASE WHEN tool = 'Write' THEN 0 ELSE 1 END AS used,
+        CASE WHEN tool = 'Write' THEN 1 ELSE 0 END AS generated,
+        CASE WHEN tool = 'Write' THEN n ELSE 0 END AS derived,
+        CASE WHEN tool = 'Write' THEN NULL ELSE path END AS used_path,
+        CASE WHEN n + tainted > 0 THEN {I.duck_labels('greatest(rnk_all, 0)', 'flags_all')} ELSE 'public' END AS taint
+    FROM (SELECT c.session_id, c.seq, c.tool, c.path, count(DISTINCT t.artifact_id) FILTER (t.seq < c.seq) + coalesce(
+            max(CASE WHEN o.first_out < c.seq THEN 1 END), 0) AS n, count(t.artifact_id) AS tainted,
+            coalesce(max(t.rnk), 0) AS rnk_all, coalesce(flatten(list(t.flags) FILTER (t.flags IS NOT NULL)), []) AS flags_all
+        FROM fx_call c LEFT JOIN fx_read t ON t.session_id = c.session_id AND t.seq <= c.seq
+        LEFT JOIN (SELECT w.session_id, min(w.seq) AS first_out FROM fx_call w JOIN (SELECT session_id, min(seq) AS f
+            FROM fx_read GROUP BY session_id) r ON r.session_id = w.session_id AND w.seq > r.f
+            WHERE w.tool = 'Write' GROUP BY w.session_id) o ON o.session_id = c.session_id
+        GROUP BY c.session_id, c.seq, c.tool, c.path)""", I.DUCK_PATHS + """, fx_read AS (
+        SELECT c.session_id, c.seq, c.artifact_id, p.rnk, p.flags FROM fx_call c JOIN fx_path p ON p.path = c.path
+        WHERE c.tool <> 'Write' AND (p.rnk >= 2 OR len(p.flags) > 0))"""))
+def result_records(spark, sf):
+    """What a result's record lists: used and generated artifacts, derivations, and the basis."""
+    out = E.run_available(S.session_stream(_written(_calls(spark, sf))), "records").where("row_kind = 'result'")
+    refs = "array<struct<path:string>>"
+    body = F.from_json("detail", f"used {refs}, generated {refs}, derived_from {refs}, basis struct<taint:array<string>>")
+    return out.withColumn("b", body).select(
+        "session_id", "seq", *[F.size(f"b.{c}").cast("long").alias(n) for c, n in (
+            ("used", "used"), ("generated", "generated"), ("derived_from", "derived"))],
+        F.get("b.used.path", F.lit(0)).alias("used_path"), L.text(F.col("b.basis.taint")).alias("taint"))
+
+
 def _held_before(df):
     from provlake.functions.ordered import running
     out = running(df, ["session_id"], "seq", {"before": ("last", F.col("taint_depth"))})
@@ -144,6 +197,121 @@ def checkpoints(spark, sf):
         F.parse_json("detail"), "$.compaction_generation", "long").alias("compaction_generation"))
 
 
+#: The sources of a session whose calls are decided: touched where a call was not denied.
+_GATED = _P06 + f""", fx_gated AS (
+    SELECT r.session_id, r.seq, replace(r.p, './', '') AS path, r.classified, f.outcome,
+        {I.duck_labels("greatest(r.rnk, " + I.duck_rank("replace(r.p, './', '')") + ")",
+                       "list_concat(r.flags, " + I.duck_flags("replace(r.p, './', '')") + ")")} AS labels
+    FROM fx_rel r JOIN fx_fold f ON f.session_id = r.session_id AND f.n = r.n),
+fx_touched AS (SELECT *, concat('art_', substr(sha256(concat('sg-artifact-v1:', path)), 1, 16)) AS artifact_id
+    FROM fx_gated WHERE classified AND outcome <> 'deny'),
+fx_point AS (SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS gen
+    FROM fx_call WHERE event_type = 'signup'),
+fx_reset AS (SELECT p.session_id, p.seq, max(g.seq) AS at FROM fx_point p JOIN fx_gated g ON g.session_id = p.session_id
+    AND g.seq <= p.seq AND NOT g.classified AND g.outcome = 'allow' GROUP BY p.session_id, p.seq),
+fx_held AS (
+    SELECT p.session_id, p.seq, t.artifact_id, any_value(t.path) AS path, any_value(t.labels) AS labels
+    FROM fx_point p JOIN fx_touched t ON t.session_id = p.session_id AND t.seq <= p.seq GROUP BY ALL),
+fx_label AS (
+    SELECT session_id, seq, string_agg(x, ',' ORDER BY x) AS labels FROM (
+        SELECT DISTINCT session_id, seq, unnest(string_split(labels, ',')) AS x FROM fx_held)
+    WHERE x NOT IN ('public', 'internal', 'confidential', 'restricted') GROUP BY session_id, seq),
+fx_rank AS (
+    SELECT session_id, seq, max(list_position(['public', 'internal', 'confidential', 'restricted'], x)) AS r FROM (
+        SELECT session_id, seq, unnest(string_split(labels, ',')) AS x FROM fx_held) GROUP BY session_id, seq),
+fx_all AS (
+    SELECT p.session_id, p.seq, p.gen, array_to_string(list_sort(list_concat(
+            [['public', 'internal', 'confidential', 'restricted'][coalesce(r.r, 1)]],
+            CASE WHEN l.labels IS NULL THEN [] ELSE string_split(l.labels, ',') END)), ',') AS labels,
+        (SELECT count(*) FROM fx_touched t WHERE t.session_id = p.session_id AND t.seq <= p.seq) AS touched,
+        (SELECT count(*) FROM fx_touched t WHERE t.session_id = p.session_id AND t.seq <= p.seq
+            AND t.seq > coalesce(z.at, -1)) AS since,
+        (SELECT string_agg(concat('{{"artifact_id":"', h.artifact_id, '","digest":null,"labels":["',
+            replace(h.labels, ',', '","'), '"],"path":"', h.path, '"}}'), ',' ORDER BY h.artifact_id) FROM fx_held h
+            WHERE h.session_id = p.session_id AND h.seq = p.seq) AS refs
+    FROM fx_point p LEFT JOIN fx_label l USING (session_id, seq) LEFT JOIN fx_rank r USING (session_id, seq)
+    LEFT JOIN fx_reset z USING (session_id, seq))"""
+
+
+@query("st_04_digest", duck(["fx_call"], """
+    SELECT session_id, seq, labels, touched, sha256(concat('{"compaction_generation":', gen, ',"edges":[],"labels":["',
+        replace(labels, ',', '","'), '"],"session_id":"', session_id, '","since_last_egress":', since, ',"sources":[',
+        coalesce(refs, ''), '],"touched":', touched, '}')) AS digest,
+        CASE WHEN gen % 3 = 1 THEN 'critical' ELSE 'info' END AS severity
+    FROM fx_all""", _GATED, recursive=True))
+def checkpoint_digest(spark, sf):
+    """What is recorded at a compaction; every third cache disagrees."""
+    calls = _calls(spark, sf)
+    marks = calls.where("event_type = 'signup'").select("session_id", "seq", F.lit("checkpoint").alias("kind"))
+    rows = S.as_events(_call_events(calls)).unionByName(S.as_events(marks))
+    first = E.run_available(S.session_stream(rows), "digests").where("row_kind = 'checkpoint'")
+    # The stream is run again with the caches that its first run would have left.
+    body = F.from_json("detail", "session_custody_digest string, compaction_generation long")
+    caches = first.select("session_id", "seq", body.alias("b")).select("session_id", "seq", F.when(
+        F.col("b.compaction_generation") % 3 == 1, F.lit("stale")).otherwise(F.col("b.session_custody_digest")
+                                                                            ).alias("cache_digest"))
+    again = S.as_events(_call_events(calls)).unionByName(S.as_events(marks.join(caches, ["session_id", "seq"])))
+    out = E.run_available(S.session_stream(again), "digests").where("row_kind = 'checkpoint'")
+    got = F.from_json("detail", "session_custody_digest string, labels array<string>, touched long, severity string")
+    return out.withColumn("b", got).select("session_id", "seq", L.text(F.col("b.labels")).alias("labels"), "b.touched",
+                                           F.col("b.session_custody_digest").alias("digest"), "b.severity")
+
+
+def _until(spark, sf, part):
+    """Decisions of the calls up to the middle of the events, with the folder of the stream."""
+    from provlake.session import scratch_path
+    base = scratch_path(spark, part)
+    calls = _call_events(_calls(spark, sf)).where(F.col("seq") <= _middle(spark, sf))
+    return E.run_available(S.session_stream(calls), part, base), f"{base}/checkpoint"
+
+
+def _middle(spark, sf):
+    return table(spark, sf, "events").agg(F.floor(F.max("event_id") / 2)).first()[0]
+
+
+@query("st_01_restart", ORACLES["p_06_replay"])
+def restart(spark, sf):
+    """A stream that stops in the middle; another one takes its state over and decides the rest."""
+    first, checkpoint = _until(spark, sf, "stopped")
+    state = S.state_tables(spark, checkpoint)
+    start = S.initial_state(state["heads"], state["sources"], state["edges"], state["actions"])
+    later = _call_events(_calls(spark, sf)).where(F.col("seq") > _middle(spark, sf))
+    rest = E.run_available(S.session_stream(later, initial_state=start), "resumed")
+    return first.unionByName(rest).where("row_kind = 'decision'").select(
+        "session_id", "seq", "outcome", "determining_policy", "taint_depth", "since_last_egress")
+
+
+@query("t_08_state_store", duck(["fx_call"], """
+    SELECT DISTINCT r.session_id, uid % 5 = 2 AND held AS damaged
+    FROM (SELECT session_id, bool_or(classified AND outcome <> 'deny') AS held FROM fx_gated
+        WHERE seq <= (SELECT floor(max(event_id) / 2) FROM events) GROUP BY session_id) r
+    JOIN (SELECT DISTINCT session_id, user_id AS uid FROM fx_call) c ON c.session_id = r.session_id""", _GATED,
+                                recursive=True))
+def state_store(spark, sf):
+    """Sources taken out of some sessions' stored state: the digests of exactly those disagree with
+    the state rebuilt from the decisions."""
+    decided, checkpoint = _until(spark, sf, "damaged")
+    facts = P.call_facts(view(spark, sf, "fx_call").withColumn("file_path", F.when(
+        F.col("tool") != "Bash", F.col("path"))).drop("op", "outcome", "path", "artifact_id", "out_path", "out_id", "props"))
+    ref = F.struct("artifact_id", F.col("canonical_path").alias("path"), F.lit(None).cast("string").alias("digest"), "labels")
+    none = F.array().cast(T.REF)
+    recs = decided.where("row_kind = 'decision'").select("session_id", "seq", "outcome").join(facts.select(
+        "session_id", "seq", "classified", F.array(ref).alias("refs")), ["session_id", "seq"]).select(
+        "session_id", "seq", F.when(F.col("classified"), "artifact.read").when(
+            F.col("outcome") == "allow", "artifact.egress").otherwise("tool.result").alias("op"),
+        F.when(F.col("outcome") == "deny", "deny").otherwise("allow").alias("outcome"),
+        F.lit(None).cast("string").alias("action_id"), F.when(F.col("classified"), F.col("refs")).otherwise(none).cast(
+            T.REF).alias("used"), none.alias("generated"), F.array().cast(T.DERIVED).alias("derived_from"),
+        F.lit(None).cast("string").alias("declassified"))
+    state = S.state_tables(spark, checkpoint)
+    least = state["sources"].groupBy("session_id").agg(F.min("artifact_id").alias("artifact_id"))
+    taken = least.where(F.substring("session_id", 2, 20).cast("long") % 5 == 2)
+    kept = state["sources"].join(taken, ["session_id", "artifact_id"], "left_anti")
+    cached = T.digests_of(state["heads"], kept, state["edges"])
+    return T.reconcile_cache(T.state_digests(recs).select("session_id", "digest"), cached).select(
+        "session_id", (~F.col("agreed")).alias("damaged"))
+
+
 @query("st_04_turns", duck(["fx_call"], """
     SELECT session_id, sum(d)::bigint AS dispatched, sum(r)::bigint AS reported,
         count(*) FILTER (d > 0 AND r = 0) AS unclosed
@@ -174,10 +342,27 @@ def turns(spark, sf):
                        ).where("dispatched + reported > 0")
 
 
-@query("st_04_merges", duck(["fx_call"], """
-    SELECT parent AS session_id, count(*) AS merges FROM (SELECT DISTINCT user_id,
-        concat('s', cast(cast(floor(user_id / 4) AS bigint) * 4 AS string)) AS parent
-        FROM fx_call WHERE user_id % 4 <> 0) GROUP BY parent"""))
+@query("st_04_merges", duck(["fx_call"], f"""
+    SELECT session_id, child, merged_sources, child_labels, labels_after, merged_sources > 0 AS changed,
+        sha256(concat('{{"compaction_generation":0,"edges":[],"labels":["', replace(labels_after, ',', '","'),
+            '"],"session_id":"', session_id, '","since_last_egress":', total, ',"sources":[', coalesce(refs, ''),
+            '],"touched":', total, '}}')) AS digest_after
+    FROM (
+        SELECT m.parent AS session_id, m.child, m.seq, count(f.artifact_id) FILTER (f.seq = m.seq) AS merged_sources,
+            count(f.artifact_id) AS total, string_agg(concat('{{"artifact_id":"', f.artifact_id,
+                '","digest":null,"labels":["', replace({I.duck_labels('f.rnk', 'f.flags')}, ',', '","'), '"],"path":"',
+                f.path, '"}}'), ',' ORDER BY f.artifact_id) AS refs,
+            {I.duck_labels("coalesce(max(f.rnk), 0)", "coalesce(flatten(list(f.flags) FILTER (f.flags IS NOT NULL)), [])")}
+                AS labels_after
+        FROM fx_merge m LEFT JOIN fx_new f ON f.parent = m.parent AND f.seq <= m.seq GROUP BY m.parent, m.child, m.seq)
+    JOIN (SELECT m.child, {I.duck_labels("coalesce(max(s.rnk), 0)",
+            "coalesce(flatten(list(s.flags) FILTER (s.flags IS NOT NULL)), [])")} AS child_labels
+        FROM fx_merge m LEFT JOIN fx_source s ON s.session_id = m.child GROUP BY m.child) USING (child)""", _STATE + """,
+fx_merge AS (SELECT session_id AS child, min(seq) AS seq, concat('s', cast(cast(floor(user_id / 4) AS bigint) * 4
+        AS string)) AS parent FROM fx_call WHERE user_id % 4 <> 0 GROUP BY session_id, user_id),
+fx_new AS (SELECT * FROM (SELECT m.parent, m.seq, s.artifact_id, s.path, s.rnk, s.flags, row_number() OVER (
+        PARTITION BY m.parent, s.artifact_id ORDER BY m.seq) AS rn
+    FROM fx_merge m JOIN fx_source s ON s.session_id = m.child) WHERE rn = 1)"""))
 def merges(spark, sf):
     recs = I.records(spark, sf)
     # Child rollups are static; each child's first call carries its sources to the parent.
@@ -190,14 +375,20 @@ def merges(spark, sf):
             F.col("user_id") / 4) * 4).cast("string")).alias("session_id"), F.lit("merge").alias("kind"))
     rows = calls.join(firsts, ["child", "seq"]).join(held, "child", "left")
     out = E.run_available(S.session_stream(rows), "merges").where("row_kind = 'merge'")
-    return out.groupBy("session_id").agg(F.count(F.lit(1)).alias("merges"))
+    got = F.from_json("detail", "child_agent string, child_labels array<string>, merged_sources long, "
+                                "parent_labels_after array<string>, parent_digest_after string, changed boolean")
+    return out.withColumn("b", got).select(
+        "session_id", F.col("b.child_agent").alias("child"), "b.merged_sources",
+        L.text(F.col("b.child_labels")).alias("child_labels"), L.text(F.col("b.parent_labels_after")).alias("labels_after"),
+        "b.changed", F.col("b.parent_digest_after").alias("digest_after"))
 
 
 @query("st_05_frequency_guard", duck(["fx_call"], """
     SELECT project, shape, seq, row_number() OVER (PARTITION BY project, shape ORDER BY seq) > 1 AS blocked
     FROM fx_shape WHERE shape IS NOT NULL""", _SHAPE))
 def frequency_guard(spark, sf):
-    return E.run_available(E.guard_stream(_calls(spark, sf)), "guard")
+    path = E.run_sink(_calls(spark, sf), "guard", E.guard_sink)
+    return spark.read.parquet(f"{path}/rows").select("project", "shape", "seq", "blocked")
 
 
 @query("st_06_disabled_once", duck(["fx_call"], """

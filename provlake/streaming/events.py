@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from provlake.functions import text as T
 from provlake.operators import reconcile, risk, validate
 from provlake.session import scratch_path
 from provlake.sources import ledger as S
 from provlake.sources.keys import KeySource
-from provlake.streaming.session import enable
 
 
 # ── ST-03 ───────────────────────────────────────────────────────────────────────────────────
@@ -72,29 +69,33 @@ def close_rows(df: DataFrame) -> DataFrame:
 
 
 # ── ST-05 ───────────────────────────────────────────────────────────────────────────────────
-class _Seen(StatefulProcessor):
-    """How often a (project, shape) was used before."""
+def guard_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """ST-05: a ``foreachBatch`` function that marks all but the first use of a guarded shape.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        before = range(n, n + len(batch))
-        self.seen.update((n + len(batch),))
-        yield pd.DataFrame({"project": key[0], "shape": key[1], "seq": batch["seq"].to_numpy(),
-                            "blocked": [b > 0 for b in before]})
-
-
-def guard_stream(commands: DataFrame) -> DataFrame:
-    """ST-05: (project, shape, seq, blocked) for guarded commands; one counter per key."""
-    enable(commands.sparkSession)
-    shaped = commands.select("project", "seq", risk.guard_shape(F.col("command")).alias(
-        "shape")).where("shape IS NOT NULL")
-    return shaped.groupBy("project", "shape").transformWithStateInPandas(
-        _Seen(), "project string, shape string, seq long, blocked boolean", "Append", "None")
+    A batch needs one minimum per (project, shape), taken with partial aggregation, and the keys seen
+    before; rows stay where they are and meet both by joins. Each batch owns its folders: its rows
+    (project, shape, seq, blocked) and the keys known after it, so a batch that runs again gives the
+    same result. The first use is that of the least seq in the batch that has it first.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        epoch = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        shaped = batch.select("project", "seq", risk.guard_shape(F.col("command")).alias("shape")).where(
+            "shape IS NOT NULL")
+        first = shaped.groupBy("project", "shape").agg(F.min("seq").alias("first"))
+        if batch_id:
+            seen = spark.read.schema("project string, shape string").parquet(
+                f"{path}/seen/epoch={epoch}/batch={batch_id - 1}")
+        else:
+            seen = spark.createDataFrame([], "project string, shape string")
+        known = seen.withColumn("again", F.lit(True))
+        out = (shaped.join(first, ["project", "shape"]).join(known, ["project", "shape"], "left")
+               .select("project", "shape", "seq", (F.coalesce("again", F.lit(False))
+                                                   | (F.col("seq") > F.col("first"))).alias("blocked")))
+        out.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}/batch={batch_id}")
+        seen.unionByName(first.select("project", "shape")).distinct().write.mode("overwrite").parquet(
+            f"{path}/seen/epoch={epoch}/batch={batch_id}")
+    return run
 
 
 # ── ST-06 ───────────────────────────────────────────────────────────────────────────────────
@@ -157,10 +158,13 @@ def alert_stream(records: DataFrame) -> DataFrame:
 
 
 # ── running a finite stream ─────────────────────────────────────────────────────────────────
-def run_available(stream: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
-    """Process what is available now into Parquet under the shared folder and read it back."""
+def run_available(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Process what is available now into Parquet under the shared folder and read it back.
+
+    ``base`` names the folder, for those who want to look into its checkpoint.
+    """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     q = (stream.writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
          .trigger(availableNow=True).start())

@@ -23,7 +23,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Rows the processor reads.  ``refs`` are a result's artifacts or a merge's child sources.
 INPUT = ["session_id", "seq", "kind", "tool", "op", "posture", "permission_mode", "action_id",
          "artifact_id", "canonical_path", "labels", "classified", "is_egress", "is_write",
-         "is_ledger", "is_own_binary", "success", "result_bytes", "refs", "child", "edges"]
+         "is_ledger", "is_own_binary", "success", "result_bytes", "refs", "child", "edges",
+         "cache_digest"]
 REFS = "array<struct<artifact_id:string,path:string,digest:string,labels:array<string>>>"
 OUTPUT = ("session_id string, seq long, row_kind string, op string, outcome string, "
           "determining_policy string, artifact_id string, taint_depth long, "
@@ -62,17 +63,21 @@ class SessionProcessor(StatefulProcessor):
             self.sources.updateValue((ref["artifact_id"],), (json.dumps(ref, sort_keys=True),))
         h["labels"] = P.join(h["labels"], ref["labels"])
 
-    def _held(self) -> list[dict]:
-        return [json.loads(v[0]) for _, v in self.sources.iterator()]
-
     def _digest(self, sid: str, h: dict) -> str:
-        body = {"session_id": sid, "labels": sorted(h["labels"]),
-                "sources": sorted(self._held(), key=lambda r: r["artifact_id"]),
-                "touched": h["touched"], "since_last_egress": h["since"],
-                "compaction_generation": h["generation"],
-                "edges": sorted(json.loads(k[0]) for k in self.edge_set.keys())}
-        return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()
-                              ).hexdigest()
+        """T-07 of the session so far: keys are sorted, entries are read one by one into the hash."""
+        def piece(obj) -> bytes:
+            return json.dumps(obj, sort_keys=True, separators=(",", ":")).encode()
+
+        out = hashlib.sha256(b'{"compaction_generation":' + piece(h["generation"]) + b',"edges":[')
+        for i, edge in enumerate(sorted(json.loads(k[0]) for k in self.edge_set.keys())):
+            out.update(b"," * (i > 0) + piece(edge))
+        out.update(b'],"labels":' + piece(sorted(h["labels"])) + b',"session_id":' + piece(sid)
+                   + b',"since_last_egress":' + piece(h["since"]) + b',"sources":[')
+        for i, key in enumerate(sorted(k[0] for k in self.sources.keys())):
+            ref = json.loads(self.sources.getValue((key,))[0])
+            out.update(b"," * (i > 0) + piece({**ref, "labels": sorted(ref["labels"])}))
+        out.update(b'],"touched":' + piece(h["touched"]) + b"}")
+        return out.hexdigest()
 
     def _phase(self, action_id, phase: str) -> None:
         if not action_id:
@@ -99,41 +104,53 @@ class SessionProcessor(StatefulProcessor):
         return [out]
 
     def _result(self, h: dict, r: dict) -> list[dict]:
-        rows, made = [], 0
+        """Touches of a result. What is written takes on the session's labels and an edge to every
+        source held; the record lists used and generated artifacts and the edges."""
+        rows, used, made, derived = [], [], [], []
         for x in r["refs"] if r["refs"] is not None else []:
             ref = {"artifact_id": x["artifact_id"], "path": x["path"], "digest": x["digest"],
                    "labels": list(x["labels"])}
             if r["is_write"]:
                 ref["labels"] = P.join(ref["labels"], h["labels"])
                 via = f"{r['tool']}:{ref['path']}"
-                for src in self._held():
-                    made += 1
+                for source in sorted(k[0] for k in self.sources.keys()):
+                    derived.append({"generated": ref["artifact_id"], "source": source, "via": via})
+                    self.edge_set.updateValue((json.dumps([ref["artifact_id"], source, via]),), (1,))
                     rows.append({"row_kind": "edge", "artifact_id": ref["artifact_id"],
-                                 "detail": json.dumps({"source": src["artifact_id"], "via": via},
-                                                      sort_keys=True)})
-                self._touch(h, ref)
-            elif P.is_classified(ref["labels"]):
+                                 "detail": json.dumps({"source": source, "via": via}, sort_keys=True)})
+                made.append(ref)
                 self._touch(h, ref)
-        op = ("artifact.derive" if made else "artifact.write") if r["is_write"] else "tool.result"
+            else:
+                used.append(ref)
+                if P.is_classified(ref["labels"]):
+                    self._touch(h, ref)
+        op = ("artifact.derive" if derived else "artifact.write") if r["is_write"] else "tool.result"
         rows.append({"row_kind": "result", "op": op, "taint_depth": h["depth"],
                      "since_last_egress": h["since"], "detail": json.dumps({
                          "success": bool(r["success"]), "result_bytes": int(r["result_bytes"] or 0),
-                         "taint": h["labels"]}, sort_keys=True)})
+                         "used": used, "generated": made, "derived_from": derived,
+                         "basis": {"taint": h["labels"], "taint_depth": h["depth"]}}, sort_keys=True)})
         self._phase(r["action_id"], "result")
         return rows
 
     def _checkpoint(self, h: dict, r: dict) -> list[dict]:
+        """The digest of the rebuilt state; a cache that says otherwise is a critical finding."""
         digest = self._digest(r["session_id"], h)
+        cached = r["cache_digest"] or digest
         row = {"row_kind": "checkpoint", "op": "custody.checkpoint", "taint_depth": h["depth"],
-               "detail": json.dumps({"session_custody_digest": digest, "labels": h["labels"],
-                                     "touched": h["touched"],
-                                     "compaction_generation": h["generation"]}, sort_keys=True)}
+               "detail": json.dumps({
+                   "session_custody_digest": digest, "source": "ledger-authoritative",
+                   "cache_digest": cached, "cache_agreed": cached == digest,
+                   "severity": "info" if cached == digest else "critical", "labels": sorted(h["labels"]),
+                   "touched": h["touched"], "compaction_generation": h["generation"]}, sort_keys=True)}
         h["generation"] += 1
         return [row]
 
     def _merge(self, h: dict, r: dict) -> list[dict]:
+        """A child's sources that the session lacks count as touches; its edges are taken over."""
         before, n = self._digest(r["session_id"], h), 0
-        for x in r["refs"] if r["refs"] is not None else []:
+        refs = list(r["refs"]) if r["refs"] is not None else []
+        for x in refs:
             if not self.sources.containsKey((x["artifact_id"],)):
                 n += 1
                 self._touch(h, {"artifact_id": x["artifact_id"], "path": x["path"],
@@ -141,10 +158,12 @@ class SessionProcessor(StatefulProcessor):
         for e in r["edges"] if r["edges"] is not None else []:
             self.edge_set.updateValue((json.dumps(list(e)),), (1,))
         after = self._digest(r["session_id"], h)
+        child = r["labels"] if r["labels"] is not None else P.join(*(list(x["labels"]) for x in refs))
         return [{"row_kind": "merge", "op": "agent.merge", "taint_depth": h["depth"],
-                 "detail": json.dumps({"child_agent": r["child"], "merged_sources": n,
-                                       "parent_labels_after": h["labels"],
-                                       "changed": before != after}, sort_keys=True)}]
+                 "detail": json.dumps({
+                     "child_agent": r["child"], "child_labels": sorted(child), "merged_sources": n,
+                     "parent_digest_before": before, "parent_digest_after": after,
+                     "parent_labels_after": sorted(h["labels"]), "changed": before != after}, sort_keys=True)}]
 
     def _stop(self, h: dict, r: dict) -> list[dict]:
         pairs = [(k[0], *(int(x) for x in v[0].split(","))) for k, v in self.actions.iterator()]
@@ -158,8 +177,9 @@ class SessionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
                         ) -> Iterator[pd.DataFrame]:
-        # Only the rows of one session in one micro-batch are held, to put them in record order.
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        # Only the rows of one session in one micro-batch are held, to put them in record order; of
+        # one record's rows its call comes first.
+        batch = pd.concat(list(rows)).sort_values(["seq", "kind"], kind="stable")
         head, out = self._load(), []
         run = {"call": self._call, "result": self._result, "checkpoint": self._checkpoint,
                "merge": self._merge, "stop": self._stop}
@@ -176,9 +196,11 @@ class SessionProcessor(StatefulProcessor):
             "seq", "taint_depth", "since_last_egress")})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Start a session from its batch rollup (T-04): counters, labels, sources."""
+        """Start a session where it stood (``initial_state``): counters, labels, sources, edges and
+        the phases of its actions, so that a call open before a restart is known after it."""
         for r in initialState.to_dict("records"):
-            held = list(r["sources"]) if r["sources"] is not None else []
+            held, edges, actions = (list(r[c]) if r[c] is not None else [] for c in (
+                "sources", "edges", "actions"))
             self.head.update((json.dumps({
                 "labels": list(r["labels"]), "depth": len(held), "touched": int(r["touched"]),
                 "since": int(r["since_last_egress"]),
@@ -187,6 +209,10 @@ class SessionProcessor(StatefulProcessor):
                 self.sources.updateValue((x["artifact_id"],), (json.dumps({
                     "artifact_id": x["artifact_id"], "path": x["path"], "digest": x["digest"],
                     "labels": list(x["labels"])}, sort_keys=True),))
+            for x in edges:
+                self.edge_set.updateValue((json.dumps([x["output_id"], x["input_id"], x["via"]]),), (1,))
+            for x in actions:
+                self.actions.updateValue((x["action_id"],), (f"{x['dispatched']},{x['reported']}",))
 
 
 def as_events(df: DataFrame) -> DataFrame:
@@ -210,9 +236,48 @@ def session_stream(events: DataFrame, policies=None, initial_state: DataFrame |
         initialState=start)
 
 
-def initial_state(rollup: DataFrame, sources: DataFrame) -> DataFrame:
-    """T-04 output shaped for ``handleInitialState``: one row per session."""
+def initial_state(rollup: DataFrame, sources: DataFrame, edges: DataFrame | None = None,
+                  actions: DataFrame | None = None) -> DataFrame:
+    """T-04 output, or the tables of ``state_tables``, shaped for ``handleInitialState``: one row per
+    session."""
+    spark = rollup.sparkSession
+
+    def gathered(df: DataFrame | None, name: str, fields: str) -> DataFrame:
+        df = spark.createDataFrame([], f"session_id string, {fields}") if df is None else df
+        return df.groupBy("session_id").agg(F.collect_list(F.struct(*[
+            f.split()[0] for f in fields.split(", ")])).alias(name))
+
+    out = rollup.select("session_id", "labels", "touched", "since_last_egress", "compaction_generation")
     held = sources.groupBy("session_id").agg(F.collect_list(
         F.struct("artifact_id", "path", "digest", "labels")).alias("sources"))
-    return rollup.select("session_id", "labels", "touched", "since_last_egress",
-                         "compaction_generation").join(held, "session_id", "left")
+    for part in (held, gathered(edges, "edges", "output_id string, input_id string, via string"),
+                 gathered(actions, "actions", "action_id string, dispatched long, reported long")):
+        out = out.join(part, "session_id", "left")
+    return out
+
+
+def state_tables(spark: SparkSession, checkpoint: str) -> dict[str, DataFrame]:
+    """The live state of a stopped or running session stream as tables: heads, sources, edges,
+    actions. They have the columns of the batch tables (T-04, T-05), so T-07 and T-08 take them."""
+    def state(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+    def key(c: str = "user_map_key") -> list:
+        return [F.col("key.session_id").alias("session_id"), *([F.col(c)] if c else [])]
+
+    head = "labels array<string>, depth long, touched long, since long, generation long"
+    heads = state("head").select(*key(""), F.from_json("value.body", head).alias("h")).select(
+        "session_id", "h.labels", "h.depth", "h.touched", F.col("h.since").alias("since_last_egress"),
+        F.col("h.generation").alias("compaction_generation"))
+    ref = "artifact_id string, path string, digest string, labels array<string>"
+    sources = state("sources").select(*key(""), F.from_json("user_map_value.ref", ref).alias("r")).select(
+        "session_id", "r.*")
+    edge = F.from_json("user_map_key.edge", "array<string>")
+    edges = state("edges").select(*key(""), edge.alias("e")).select(
+        "session_id", F.get("e", F.lit(0)).alias("output_id"), F.get("e", F.lit(1)).alias("input_id"),
+        F.get("e", F.lit(2)).alias("via"))
+    phases = F.split("user_map_value.phases", ",")
+    actions = state("actions").select(*key(""), F.col("user_map_key.id").alias("action_id"),
+                                      F.get(phases, F.lit(0)).cast("long").alias("dispatched"),
+                                      F.get(phases, F.lit(1)).cast("long").alias("reported"))
+    return {"heads": heads, "sources": sources, "edges": edges, "actions": actions}
