@@ -17,6 +17,8 @@ Parquet. All but the last keep the columns of ``docs``.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from provlake.session import scratch_path
 #: A document stays if its language has this share of its words or more.
 LEAST_SHARE = 0.5
 WIDTH, PERCENT = 5, 80
+#: Rows of an Arrow batch of whole texts, at most.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +60,24 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("language_id", language_id), ("toxicity", toxic_out),
-          ("near_duplicates", near_duplicates), ("mixture", mixture), ("packed", packed)]
+def lean(stage):
+    """A stage whose tasks move few whole texts to Python at once, whatever the session says.
+
+    Default batches hold up to 64 MB of text, several of them at a time in an executor, and what
+    stages leave behind adds up where they share executors.
+    """
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get(BATCH))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set(BATCH, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+STAGES = [(name, lean(stage)) for name, stage in (
+    ("language_id", language_id), ("toxicity", toxic_out), ("near_duplicates", near_duplicates),
+    ("mixture", mixture), ("packed", packed))]
 #: Learned stages have no SQL; the tests compare each stage with a plain version.
 ORACLE_SQL = None
 
