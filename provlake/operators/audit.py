@@ -94,14 +94,16 @@ def weak_ids(findings: DataFrame, shown: int = vocab.WEAK_IDS_SHOWN,
     return weak.orderBy(F.col("id") if order is None else order).limit(shown).select("id")
 
 
-def outstanding(findings: DataFrame, top: int = vocab.OUTSTANDING_TOP) -> DataFrame:
+def outstanding(findings: DataFrame, top: int = vocab.OUTSTANDING_TOP,
+                order: Column | None = None) -> DataFrame:
     """M-05: the first of the critical present findings, or of all present ones when none is.
 
+    ``order`` is the findings' place in their document; without it they stand by id.
     Critical ones sort first, so the pool decision needs only the kept rows.
     """
     present = findings.where("status = 'PRESENT'").withColumn(
         "critical", F.col("severity") == "CRITICAL")
-    kept = top_k_per_key(present, [], [F.col("critical").desc(), F.col("id")], top)
+    kept = top_k_per_key(present, [], [F.col("critical").desc(), F.col("id") if order is None else order], top)
     return kept.orderBy("rank").withColumn("_any", F.max("critical").over(_whole())).where(
         F.col("critical") == F.col("_any")).select("rank", "id", "title", "severity")
 

@@ -1,12 +1,16 @@
 """Registered queries: artifacts and labels."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from provlake import vocab
 from provlake.functions import labels as L
 from provlake.operators import artifacts as A
+from provlake.operators.policy import load_handlers
 from provlake.plans import inputs as I
-from provlake.plans.registry import query
+from provlake.plans.registry import ORACLES, query
+from provlake.session import scratch_path
 from provlake.sources.tables import duck, table, view
 
 _IDS = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ',')"
@@ -320,6 +324,18 @@ def handler(spark, sf):
         "event_id", A.find_handler(F.col("path"), F.col("labels"), _HANDLERS).alias("handler"))
 
 
+@query("c_08_loaded_handlers", ORACLES["c_08_handler"])
+def loaded_handlers(spark, sf):
+    """The same handlers from an index file."""
+    folder = scratch_path(spark, "handlers")
+    doc = {"handlers": [{"id": h["id"], "script": f"{h['id']}.py", "match": {k: h[k] for k in ("labels", "pattern")}}
+                        for h in _HANDLERS]}
+    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.text(folder)
+    known = load_handlers(spark, folder, suffix=".txt")
+    return A.classify(view(spark, sf, "fx_call")).select(
+        "event_id", A.find_handler(F.col("path"), F.col("labels"), known).alias("handler"))
+
+
 @query("c_08_handler_table", duck(["fx_call"], """
     SELECT event_id, CASE WHEN least(o, CASE WHEN list_contains(flags, 'credential') THEN 50 END) = 50
         THEN 'keys' ELSE 'P' || cast(o AS string) END AS handler

@@ -331,6 +331,22 @@ def status_metrics(spark, sf):
     return E.status_metrics(s, N.derive(s, cc), E.controls_evidenced(s, cc))
 
 
+@query("e_15_stale_epoch", duck(VIEWS, """
+    SELECT carried, (concat(p, '/', t) <> carried)::int::bigint AS stale_epoch FROM (VALUES ('3/7'), ('right')) v(x),
+        (SELECT count(*) FILTER (proven) AS p, count(*) AS t FROM fx_status WHERE claim <> 'CLAIM-21') s,
+        (SELECT CASE WHEN x = 'right' THEN concat(p, '/', t) ELSE x END AS carried)""", STATUS))
+def stale_epoch(spark, sf):
+    """A workbook that carries an old count of proven claims, and one that carries the derived count."""
+    from provlake.operators import answers as N
+    s, cc = status(spark, sf), claim_controls(spark, sf)
+    n = {r["measure"]: r["value"] for r in E.status_metrics(s, N.derive(s, cc), E.controls_evidenced(s, cc)).collect()}
+    right = f"{n['application_proven']}/{n['application_claims']}"
+    rows = [E.status_metrics(s, N.derive(s, cc), E.controls_evidenced(s, cc), carried=c).where(
+        "measure = 'stale_epoch'").select(F.lit(c).alias("carried"), F.col("value").alias("stale_epoch"))
+        for c in ("3/7", right)]
+    return rows[0].unionByName(rows[1])
+
+
 def _demo_key(spark):
     """A demonstration key, shipped to the tasks as a file; deployments name their own."""
     folder = scratch_path(spark, "key")

@@ -414,6 +414,17 @@ def outstanding(spark, sf):
     return M.outstanding(view(spark, sf, "fx_finding")).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("m_05_document_order", duck(["fx_finding"], """
+    SELECT row_number() OVER (ORDER BY cast(substr(id, 3) AS int) DESC) AS rank, id, title, severity FROM fx_finding
+    WHERE status = 'PRESENT' AND (severity = 'CRITICAL' OR NOT EXISTS (SELECT 1 FROM fx_finding
+        WHERE status = 'PRESENT' AND severity = 'CRITICAL')) ORDER BY rank LIMIT 6"""))
+def outstanding_in_order(spark, sf):
+    """In the order of a document that lists the newest part first."""
+    f = view(spark, sf, "fx_finding")
+    return M.outstanding(f, order=F.substring("id", 3, 20).cast("int").desc()).withColumn(
+        "rank", F.col("rank").cast("long"))
+
+
 @query("m_05_outstanding_counts", duck(["fx_finding"], """
     SELECT count(*) FILTER (status = 'PRESENT') AS present, count(*) FILTER (status = 'ABSENT') AS fixed,
         count(*) FILTER (status = 'DYNAMIC') AS unverified, greatest(0, CASE WHEN count(*) FILTER (

@@ -368,3 +368,16 @@ NETWORK_PATTERNS = (
 LOCAL_IPC_PATTERN = r"\bAF_UNIX\b"
 LOCAL_ROOT_PATTERN = r"/Users/[A-Za-z0-9_.-]+/(?:Software|DockProjects)/[A-Za-z0-9_.-]+"
 OUTSTANDING_TOP, WEAK_IDS_SHOWN = 6, 12
+
+
+@dataclass(frozen=True)
+class RiskRules:
+    """What a risk score is made of; the defaults of ``operators.risk`` are the published ones."""
+    rules: tuple = RISK_RULES
+    flag_penalties: tuple = FLAG_PENALTIES
+    tiers: tuple = TIERS
+    context_multipliers: dict = field(default_factory=lambda: dict(CONTEXT_MULTIPLIERS))
+    fileset_sensitivity: tuple = FILESET_SENSITIVITY
+
+
+PUBLISHED_RISK = RiskRules()
