@@ -340,7 +340,9 @@ def call_context(protect_ledger: bool = True) -> dict[str, Column]:
 
 _REPLAYED = ("session_id string, seq long, op string, artifact_id string, outcome string, "
              "determining_policy string, downgraded_from string, taint array<string>, "
-             "taint_depth long, artifacts_touched long, since_last_egress long, first_touch boolean")
+             "taint_depth long, artifacts_touched long, since_last_egress long, first_touch boolean, "
+             "state_digest string")
+_START = hashlib.sha256(b"").hexdigest()
 
 
 def replay(facts: DataFrame, policies: list[Policy] | None = None,
@@ -351,37 +353,87 @@ def replay(facts: DataFrame, policies: list[Policy] | None = None,
     are sorted by (session, seq) and folded in one pass, whatever the policies and however long the
     session. Only narrow rows are sorted (ids, flags and labels, no paths or commands), and a task
     holds one session's labels, counters and touched ids. Sessions run in parallel; the streaming
-    processor (ST-01) decides with the same function.
+    processor (ST-01) decides with the same function.  ``state_digest`` is a digest over all touches
+    and resets before the call, each laid on the one before it.
     """
     policies = list(policies or vocab.POLICIES)
     given = ["session_id", "seq", "op", "posture", "permission_mode", "artifact_id", "labels",
              "classified", "is_egress", "is_write", "is_ledger", "is_own_binary"]
     made = [c.split()[0] for c in _REPLAYED.split(", ")]
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(),
-             pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+             pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+
+    def after(digest: str, *change) -> str:
+        return hashlib.sha256(json.dumps([digest, *change], separators=(",", ":")).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, head, held = None, {}, set()
+        session, head, held, digest = None, {}, set(), _START
         for b in batches:
             out = []
             for r in b.to_pylist():
                 if not head or r["session_id"] != session:
-                    session, held = r["session_id"], set()
+                    session, held, digest = r["session_id"], set(), _START
                     head = {"labels": ["public"], "depth": 0, "touched": 0, "since": 0}
                 has = r["artifact_id"] in held
                 outcome, policy, was = pointwise.call(policies, protect_ledger, head, has, r)
                 out.append((session, r["seq"], r["op"], r["artifact_id"], outcome, policy, was,
                             head["labels"], head["depth"], head["touched"], head["since"],
-                            bool(r["classified"]) and not has))
+                            bool(r["classified"]) and not has, digest))
                 if r["classified"] and outcome in ("allow", "ask"):
                     held.add(r["artifact_id"])
                     head = {"labels": pointwise.join(head["labels"], r["labels"]),
                             "depth": len(held), "touched": head["touched"] + 1,
                             "since": head["since"] + 1}
+                    digest = after(digest, r["artifact_id"], sorted(r["labels"]))
                 elif r["is_egress"] and not r["classified"] and outcome == "allow":
                     head = {**head, "since": 0}
+                    digest = after(digest, None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=made)
 
     return (facts.select(*given).repartition("session_id").sortWithinPartitions("session_id", "seq")
             .mapInArrow(run, _REPLAYED))
+
+
+def decision_records(facts: DataFrame, decided: DataFrame, policy_set_digest: str, at: str = "at",
+                     action_id: str = "action_id") -> DataFrame:
+    """P-06: the custody record of every decision, as V-06 builds it, and its event for a ledger (L-04).
+
+    ``decided`` is what ``replay`` returns for ``facts``.  The record carries the inputs, the state the
+    decision saw and, among its known gaps, every alias and every input that was not digested.
+    Adds ``statement``, ``strength``, ``problems`` and ``event``.  ``facts`` should be materialised: their
+    columns are used here and by the replay.
+    """
+    from provlake.operators.validate import build_records
+
+    c, none = F.col, F.array().cast("array<string>")
+    own = facts.select("session_id", "seq", "tool", "posture", "permission_mode", "classified_inputs", "aliases",
+                       "canonical_path", c(at).alias("at"), c(action_id).alias("_action"))
+    df = decided.join(own, ["session_id", "seq"])
+    action = F.coalesce("_action", F.concat_ws(":", "op", c("seq").cast("string")))
+    gaps = F.concat(F.transform("aliases", lambda a: F.concat(
+        F.lit("path aliasing: "), a["given"], F.lit(" resolves to "), a["resolves_to"], F.lit(" and gained "),
+        F.array_join(a["labels_gained"], ","))), F.when(c("canonical_path").isNotNull(), F.array(F.lit(
+            "artifact content was not digested at decision time"))).otherwise(none))
+    df = df.withColumns({
+        "recorded_at": c("at"), "record_id": F.concat_ws(":", F.lit("sg"), "session_id", action),
+        "agent_id": F.concat(F.lit("session/"), "session_id", F.lit("/agent/main")), "runtime_action_id": action,
+        "operator": F.struct(F.lit("replay").alias("identity")), "channel": F.lit("replay"),
+        "method_kind": F.when(c("outcome") == "deny", "denied").otherwise("direct-model"),
+        "input_digest": F.concat(F.lit("sha256:"), T.sha(F.to_json(F.struct("tool", "classified_inputs")))),
+        "policy_set_digest": F.lit(policy_set_digest), "known_gaps": gaps, "alterations": none,
+        "capability": F.struct(F.concat(F.lit("cap:"), "posture").alias("grant_id"),
+                               c("determining_policy").alias("granted_by"), F.array("op").alias("scope")),
+        "basis": F.struct(c("taint").alias("taint_labels"), "taint_depth", c("state_digest").alias("session_custody_digest")),
+        "used": F.transform("classified_inputs", lambda x: F.struct(
+            T.artifact_id(x["canonical_path"]).alias("artifact_id"), x["canonical_path"].alias("path"),
+            x["path"].alias("requested_path"), x["labels"].alias("labels"))),
+        "chain": F.struct(F.lit("sha256").alias("algo")), "isolation_tier": F.lit(0)})
+    built = build_records(df, extra={"action.tool.name": c("tool"), "authority.permission_mode": c("permission_mode"),
+                                     "decision.downgraded_from": c("downgraded_from")})
+    event = F.to_json(F.struct(
+        c("op"), c("at"), F.lit("replay").alias("actor"), c("session_id"), c("outcome"), c("known_gaps"), c("alterations"),
+        F.when(c("outcome") == "deny", "warn").otherwise("info").alias("severity"),
+        F.struct(action.alias("id"), F.lit("dispatch").alias("phase"), c("tool"), c("outcome")).alias("action_instance"),
+        F.parse_json("statement").alias("statement")))
+    return built.withColumn("event", event).drop("_action")

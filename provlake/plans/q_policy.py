@@ -1,5 +1,6 @@
 """Registered queries: policy decisions."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provlake import vocab
@@ -8,9 +9,12 @@ from provlake.functions.rules import condition
 from provlake.operators import matching as M
 from provlake.operators import policy as P
 from provlake.operators import taint as T
+from provlake.operators import validate as V
 from provlake.plans import inputs as I
 from provlake.plans.q_artifacts import link_rows
 from provlake.plans.registry import ORACLES, query
+from provlake.session import cut_lineage
+from provlake.sources import ledger as S
 from provlake.sources.tables import duck, table, view
 
 
@@ -332,3 +336,32 @@ def aliases(spark, sf):
     facts = P.call_facts(linked_calls(view(spark, sf, "fx_call")), links=link_rows(spark, sf))
     return facts.select("session_id", "seq", F.inline("aliases")).withColumn(
         "labels_gained", L.text(F.col("labels_gained")))
+
+
+@query("p_06_records", duck(["fx_call"], """
+    SELECT f.session_id, f.seq, f.n - 1 AS ledger_seq, f.outcome, f.pol AS determining_policy, f.depth_before AS taint_depth,
+        'chain-only' AS strength, 0 AS problems, true AS accepted FROM fx_fold f WHERE n > 0""", _P06, recursive=True))
+def decision_records(spark, sf):
+    """Every decision's record has no problem and goes into the ledger of its session."""
+    calls = view(spark, sf, "fx_call").withColumn(
+        "file_path", F.when(F.col("tool") != "Bash", F.col("path"))).drop(
+            "op", "outcome", "path", "artifact_id", "out_path", "out_id", "props")
+    # Facts and records are read twice each: they are written once.
+    facts = cut_lineage(P.call_facts(calls))
+    recs = cut_lineage(P.decision_records(facts, P.replay(facts), P.set_digest(vocab.POLICIES), at="at_iso").select(
+        "session_id", "seq", "record_id", "event", F.size("problems").alias("problems")))
+    good, _ = V.split_events(recs.select(F.col("session_id").alias("ledger_id"), F.col("seq").alias("ord"), "event"))
+    chained = S.append(S.admit(good)[0])
+    body = F.parse_json("raw")
+    get = lambda p, t: F.try_variant_get(body, p, t)
+    stored = chained.select(
+        F.col("ledger_id").alias("session_id"), F.col("seq").alias("ledger_seq"), get("$.outcome", "string").alias("outcome"),
+        get("$.statement.predicate.policy.determining_policy", "string").alias("determining_policy"),
+        get("$.statement.predicate.decision.basis.taint_depth", "long").alias("taint_depth"),
+        get("$.statement.predicate.verification.strength", "string").alias("strength"),
+        get("$.statement.predicate.record.id", "string").alias("record_id"))
+    ids = recs.select("session_id", "seq", "record_id", "problems")
+    n = F.row_number().over(W.partitionBy("session_id").orderBy("seq")) - 1
+    return ids.withColumn("ledger_seq", n.cast("long")).join(stored, ["session_id", "ledger_seq"]).select(
+        "session_id", "seq", "ledger_seq", "outcome", "determining_policy", "taint_depth", "strength", "problems",
+        (ids["record_id"] == stored["record_id"]).alias("accepted"))
