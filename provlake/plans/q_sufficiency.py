@@ -294,6 +294,42 @@ def case_graph(spark, sf):
         F.get_json_object("node", "$['uco-core:hasFacet'][0]['uco-observable:filePath']").alias("path"))
 
 
+def _q(x):
+    """A JSON string or null."""
+    return f"CASE WHEN {x} IS NULL THEN 'null' ELSE concat('\"', {x}, '\"') END"
+
+
+_IDS = """'[', CASE WHEN coalesce(json_array_length({0}), 0) > 0 THEN concat('{{"@id":"kb:artifact-',
+    json_extract_string({0}, '$[0].artifact_id'), '"}}') ELSE '' END, ']'"""
+
+
+@query("x_03_case_nodes", duck(["fx_predicate"], f"""
+    SELECT ledger_id, concat('kb:custody-', rid) AS id, concat('{{"@id":"kb:custody-', rid,
+        '","@type":"uco-action:Action","uco-core:name":"custody-transfer","sg:chain":"custody","uco-action:startTime":',
+        {_q(_s('record.at'))}, ',"uco-action:performer":{{"@id":"kb:agent-', agent,
+        '","@type":"uco-identity:Identity","sg:operator":', {_q(_s('actor.operator.identity'))},
+        ',"sg:actedOnBehalfOf":', {_q(_s('actor.acted_on_behalf_of.human_id'))}, '}},"sg:authority":{{"posture":',
+        {_q(_s('authority.posture'))}, ',"capability":', coalesce(cast(json_extract(predicate, '$.authority.capability')
+            AS varchar), 'null'), '}},"sg:alterations":[]}}') AS node FROM fx_x
+    UNION ALL
+    SELECT ledger_id, concat('kb:evidence-', rid), concat('{{"@id":"kb:evidence-', rid,
+        '","@type":"uco-action:Action","uco-core:name":', {_q(_s('action.op'))}, ',"sg:chain":"evidence","sg:method":',
+        {_q(_s('action.method.kind'))}, ',"sg:tool":', {_q(_s('action.tool.name'))},
+        ',"sg:script":null,"uco-action:object":', {_IDS.format('u')}, ',"uco-action:result":', {_IDS.format('g')}, '}}')
+    FROM fx_x
+    UNION ALL
+    SELECT ledger_id, concat('kb:artifact-', id), concat('{{"@id":"kb:artifact-', id,
+        '","@type":"uco-observable:ObservableObject","sg:classification":[],"uco-core:hasFacet":[',
+        '{{"@type":"uco-observable:FileFacet","uco-observable:filePath":"', path, '"}}', CASE WHEN digest = '-' THEN '' ELSE
+            concat(',{{"@type":"uco-observable:ContentDataFacet","uco-observable:hash":[{{"@type":"uco-core:Hash",',
+            '"uco-core:hashMethod":"SHA256","uco-core:hashValue":"', replace(digest, 'sha256:', ''), '"}}]}}') END, ']}}')
+    FROM (SELECT ledger_id, id, arg_min(path, seq * 2 + side) AS path, arg_min(coalesce(digest, '-'), seq * 2 + side)
+        AS digest FROM fx_ref GROUP BY ledger_id, id)""", _X))
+def case_nodes(spark, sf):
+    """The nodes themselves, as JSON text."""
+    return X.case_graph(export_records(spark, sf)).select("ledger_id", "id", "node")
+
+
 @query("x_04_spans", duck(["fx_predicate"], f"""
     SELECT ledger_id, seq, substr(sha256(concat('otel-id-v1:', session_id)), 1, 32) AS trace_id,
         substr(sha256(concat('otel-id-v1:', seq)), 1, 16) AS span_id, {_s('action.tool.name')} AS name,
