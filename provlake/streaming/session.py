@@ -1,7 +1,9 @@
 """Stateful session stream: decisions, results, checkpoints, merges, turn closes.
 
 One key is one session, which replaces a lock per session.  State is small and flat: a head (labels
-and counters), one entry per classified source, one per derivation edge, one per action id.
+and counters), one entry per classified source, one per way that edges lead to an output (their sources
+as one list), one per action id.  Every access is a call to the state store's process, so the rows of a
+micro-batch work on copies: an entry is fetched once and written back once.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ OUTPUT = ("session_id string, seq long, row_kind string, op string, outcome stri
           "determining_policy string, artifact_id string, taint_depth long, "
           "since_last_egress long, detail string")
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+_sorted_json = json.JSONEncoder(sort_keys=True).encode
 
 
 def enable(spark: SparkSession) -> None:
@@ -37,6 +40,40 @@ def enable(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+#: Rows of one frame that a processor sends.
+FRAME = 10_000
+
+
+class _Entries:
+    """A map of one session as one micro-batch sees it: an entry is fetched once, and what has changed is
+    written back by ``store``.  A ``fresh`` session has nothing to fetch."""
+
+    def __init__(self, state, fresh: bool):
+        self.state, self.whole, self.have, self.changed = state, fresh, {}, {}
+
+    def get(self, key: str) -> str | None:
+        if key not in self.have and not self.whole:
+            found = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+            self.have[key] = None if found is None else found[0]
+        return self.have.get(key)
+
+    def put(self, key: str, value: str) -> None:
+        if self.get(key) != value:
+            self.have[key] = value
+            self.changed[key] = True
+
+    def all(self) -> dict[str, str]:
+        if not self.whole:
+            self.have = {**{k[0]: v[0] for k, v in self.state.iterator()},
+                         **{k: self.have[k] for k in self.changed}}
+            self.whole = True
+        return self.have
+
+    def store(self) -> None:
+        for key in self.changed:
+            self.state.updateValue((key,), (self.have[key],))
+
+
 class SessionProcessor(StatefulProcessor):
     def __init__(self, policies=None, protect_ledger: bool = True):
         self.policies = list(policies or vocab.POLICIES)
@@ -44,23 +81,48 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "body string")
-        self.sources = handle.getMapState("sources", "artifact_id string", "ref string")
-        self.edge_set = handle.getMapState("edges", "edge string", "one int")
-        self.actions = handle.getMapState("actions", "id string", "phases string")
+        self.maps = {
+            "sources": handle.getMapState("sources", "artifact_id string", "ref string"),
+            "edges": handle.getMapState("edges", "way string", "sources string"),
+            "actions": handle.getMapState("actions", "id string", "phases string")}
 
     # ── state access ────────────────────────────────────────────────────────────────────────
     def _load(self) -> dict:
-        if self.head.exists():
+        # Whatever a session has, it has a head.
+        fresh = not self.head.exists()
+        self.sources, self.edge_set, self.actions = (
+            _Entries(self.maps[m], fresh) for m in ("sources", "edges", "actions"))
+        self.ways: dict[str, dict[str, int]] = {}
+        if not fresh:
             return json.loads(self.head.get()[0])
         return {"labels": ["public"], "depth": 0, "touched": 0, "since": 0, "generation": 0}
 
+    def _store(self, h: dict) -> None:
+        for way, sources in self.ways.items():
+            self.edge_set.put(way, json.dumps(list(sources)))
+        for m in (self.sources, self.edge_set, self.actions):
+            m.store()
+        self.head.update((json.dumps(h),))
+
+    def _edge(self, output, source, *via) -> None:
+        way = json.dumps([output, *via])
+        if way not in self.ways:
+            self.ways[way] = dict.fromkeys(json.loads(self.edge_set.get(way) or "[]"), 1)
+        self.ways[way][source] = 1
+
+    def _edges(self) -> list[list]:
+        """Every edge as (output, source, via), sorted."""
+        ways = {**{w: json.loads(x) for w, x in self.edge_set.all().items() if x is not None}, **self.ways}
+        return sorted([out, source, *via] for w, sources in ways.items() for out, *via in [json.loads(w)]
+                      for source in sources)
+
     def _touch(self, h: dict, ref: dict) -> None:
         h["touched"] += 1
         h["since"] += 1
         if P.is_classified(ref["labels"]):
-            if not self.sources.containsKey((ref["artifact_id"],)):
+            if self.sources.get(ref["artifact_id"]) is None:
                 h["depth"] += 1
-            self.sources.updateValue((ref["artifact_id"],), (json.dumps(ref, sort_keys=True),))
+            self.sources.put(ref["artifact_id"], _sorted_json(ref))
         h["labels"] = P.join(h["labels"], ref["labels"])
 
     def _digest(self, sid: str, h: dict) -> str:
@@ -69,12 +131,12 @@ class SessionProcessor(StatefulProcessor):
             return json.dumps(obj, sort_keys=True, separators=(",", ":")).encode()
 
         out = hashlib.sha256(b'{"compaction_generation":' + piece(h["generation"]) + b',"edges":[')
-        for i, edge in enumerate(sorted(json.loads(k[0]) for k in self.edge_set.keys())):
+        for i, edge in enumerate(self._edges()):
             out.update(b"," * (i > 0) + piece(edge))
         out.update(b'],"labels":' + piece(sorted(h["labels"])) + b',"session_id":' + piece(sid)
                    + b',"since_last_egress":' + piece(h["since"]) + b',"sources":[')
-        for i, key in enumerate(sorted(k[0] for k in self.sources.keys())):
-            ref = json.loads(self.sources.getValue((key,))[0])
+        for i, (_, body) in enumerate(sorted(self.sources.all().items())):
+            ref = json.loads(body)
             out.update(b"," * (i > 0) + piece({**ref, "labels": sorted(ref["labels"])}))
         out.update(b'],"touched":' + piece(h["touched"]) + b"}")
         return out.hexdigest()
@@ -82,15 +144,13 @@ class SessionProcessor(StatefulProcessor):
     def _phase(self, action_id, phase: str) -> None:
         if not action_id:
             return
-        have = self.actions.getValue((action_id,)) if self.actions.containsKey(
-            (action_id,)) else ("0,0",)
-        d, r = (int(x) for x in have[0].split(","))
+        d, r = (int(x) for x in (self.actions.get(action_id) or "0,0").split(","))
         d, r = d + (phase == "dispatch"), r + (phase == "result")
-        self.actions.updateValue((action_id,), (f"{d},{r}",))
+        self.actions.put(action_id, f"{d},{r}")
 
     # ── events ──────────────────────────────────────────────────────────────────────────────
     def _call(self, h: dict, r: dict) -> list[dict]:
-        held = bool(r["artifact_id"]) and self.sources.containsKey((r["artifact_id"],))
+        held = bool(r["artifact_id"]) and self.sources.get(r["artifact_id"]) is not None
         outcome, policy, _ = P.call(self.policies, self.protect_ledger, h, held, r)
         out = {"row_kind": "decision", "op": r["op"], "outcome": outcome,
                "determining_policy": policy, "artifact_id": r["artifact_id"],
@@ -113,11 +173,11 @@ class SessionProcessor(StatefulProcessor):
             if r["is_write"]:
                 ref["labels"] = P.join(ref["labels"], h["labels"])
                 via = f"{r['tool']}:{ref['path']}"
-                for source in sorted(k[0] for k in self.sources.keys()):
+                for source in sorted(self.sources.all()):
                     derived.append({"generated": ref["artifact_id"], "source": source, "via": via})
-                    self.edge_set.updateValue((json.dumps([ref["artifact_id"], source, via]),), (1,))
+                    self._edge(ref["artifact_id"], source, via)
                     rows.append({"row_kind": "edge", "artifact_id": ref["artifact_id"],
-                                 "detail": json.dumps({"source": source, "via": via}, sort_keys=True)})
+                                 "detail": _sorted_json({"source": source, "via": via})})
                 made.append(ref)
                 self._touch(h, ref)
             else:
@@ -151,12 +211,12 @@ class SessionProcessor(StatefulProcessor):
         before, n = self._digest(r["session_id"], h), 0
         refs = list(r["refs"]) if r["refs"] is not None else []
         for x in refs:
-            if not self.sources.containsKey((x["artifact_id"],)):
+            if self.sources.get(x["artifact_id"]) is None:
                 n += 1
                 self._touch(h, {"artifact_id": x["artifact_id"], "path": x["path"],
                                 "digest": x["digest"], "labels": list(x["labels"])})
         for e in r["edges"] if r["edges"] is not None else []:
-            self.edge_set.updateValue((json.dumps(list(e)),), (1,))
+            self._edge(*e)
         after = self._digest(r["session_id"], h)
         child = r["labels"] if r["labels"] is not None else P.join(*(list(x["labels"]) for x in refs))
         return [{"row_kind": "merge", "op": "agent.merge", "taint_depth": h["depth"],
@@ -166,7 +226,7 @@ class SessionProcessor(StatefulProcessor):
                      "parent_labels_after": sorted(h["labels"]), "changed": before != after}, sort_keys=True)}]
 
     def _stop(self, h: dict, r: dict) -> list[dict]:
-        pairs = [(k[0], *(int(x) for x in v[0].split(","))) for k, v in self.actions.iterator()]
+        pairs = [(k, *(int(x) for x in v.split(","))) for k, v in self.actions.all().items()]
         opened = sorted(i for i, d, n in pairs if d and not n)
         odd = any((d > 0) != (n > 0) for _, d, n in pairs)
         severity = "critical" if odd else "info" if pairs else "warning"
@@ -183,17 +243,23 @@ class SessionProcessor(StatefulProcessor):
         head, out = self._load(), []
         run = {"call": self._call, "result": self._result, "checkpoint": self._checkpoint,
                "merge": self._merge, "stop": self._stop}
-        for record in batch.to_dict("records"):
-            # Missing numbers and booleans arrive as NaN.
-            r = {k: None if isinstance(v, float) and v != v else v for k, v in record.items()}
-            for row in run[r["kind"]](head, r):
-                out.append({"session_id": key[0], "seq": int(r["seq"]), **row})
-        self.head.update((json.dumps(head),))
-        frame = pd.DataFrame(out, columns=_COLUMNS)
-        for c in ("taint_depth", "since_last_egress"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame.astype({c: object for c in _COLUMNS if c not in (
-            "seq", "taint_depth", "since_last_egress")})
+        for start in range(0, len(batch), FRAME):
+            part = batch.iloc[start:start + FRAME]
+            for values in zip(*(part[c].tolist() for c in part), strict=True):
+                # Missing numbers and booleans arrive as NaN.
+                r = {c: None if isinstance(v, float) and v != v else v for c, v in zip(part, values, strict=True)}
+                for row in run[r["kind"]](head, r):
+                    out.append({"session_id": key[0], "seq": int(r["seq"]), **row})
+                if len(out) >= FRAME:
+                    yield self._frame(out)
+                    out = []
+        self._store(head)
+        yield self._frame(out)
+
+    @staticmethod
+    def _frame(rows: list[dict]) -> pd.DataFrame:
+        kinds = {"seq": "int64", "taint_depth": "Int64", "since_last_egress": "Int64"}
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=kinds.get(c, object)) for c in _COLUMNS})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Start a session where it stood (``initial_state``): counters, labels, sources, edges and
@@ -201,18 +267,19 @@ class SessionProcessor(StatefulProcessor):
         for r in initialState.to_dict("records"):
             held, edges, actions = (list(r[c]) if r[c] is not None else [] for c in (
                 "sources", "edges", "actions"))
-            self.head.update((json.dumps({
-                "labels": list(r["labels"]), "depth": len(held), "touched": int(r["touched"]),
-                "since": int(r["since_last_egress"]),
-                "generation": int(r["compaction_generation"])}),))
+            self._load()
             for x in held:
-                self.sources.updateValue((x["artifact_id"],), (json.dumps({
+                self.sources.put(x["artifact_id"], json.dumps({
                     "artifact_id": x["artifact_id"], "path": x["path"], "digest": x["digest"],
-                    "labels": list(x["labels"])}, sort_keys=True),))
+                    "labels": list(x["labels"])}, sort_keys=True))
             for x in edges:
-                self.edge_set.updateValue((json.dumps([x["output_id"], x["input_id"], x["via"]]),), (1,))
+                self._edge(x["output_id"], x["input_id"], x["via"])
             for x in actions:
-                self.actions.updateValue((x["action_id"],), (f"{x['dispatched']},{x['reported']}",))
+                self.actions.put(x["action_id"], f"{x['dispatched']},{x['reported']}")
+            self._store({
+                "labels": list(r["labels"]), "depth": len(held), "touched": int(r["touched"]),
+                "since": int(r["since_last_egress"]),
+                "generation": int(r["compaction_generation"])})
 
 
 def as_events(df: DataFrame) -> DataFrame:
@@ -272,10 +339,10 @@ def state_tables(spark: SparkSession, checkpoint: str) -> dict[str, DataFrame]:
     ref = "artifact_id string, path string, digest string, labels array<string>"
     sources = state("sources").select(*key(""), F.from_json("user_map_value.ref", ref).alias("r")).select(
         "session_id", "r.*")
-    edge = F.from_json("user_map_key.edge", "array<string>")
-    edges = state("edges").select(*key(""), edge.alias("e")).select(
-        "session_id", F.get("e", F.lit(0)).alias("output_id"), F.get("e", F.lit(1)).alias("input_id"),
-        F.get("e", F.lit(2)).alias("via"))
+    way = F.from_json("user_map_key.way", "array<string>")
+    edges = state("edges").select(*key(""), way.alias("w"), F.explode(F.from_json(
+        "user_map_value.sources", "array<string>")).alias("input_id")).select(
+        "session_id", F.get("w", F.lit(0)).alias("output_id"), "input_id", F.get("w", F.lit(1)).alias("via"))
     phases = F.split("user_map_value.phases", ",")
     actions = state("actions").select(*key(""), F.col("user_map_key.id").alias("action_id"),
                                       F.get(phases, F.lit(0)).cast("long").alias("dispatched"),
