@@ -312,7 +312,11 @@ def handler_by_table(df: DataFrame, handlers: DataFrame, path: str = "path",
     by_path = known.where("pattern IS NOT NULL AND pattern <> ''")
     hits = match_table(df, by_path.select(F.col("ord").alias("id"), "pattern"), path, "(?iud)").join(
         by_path.select(F.col("ord").alias("id"), "wanted"), "id")
-    per_path = hits.groupBy(path).agg(F.array_sort(F.collect_list(F.struct("id", "wanted"))).alias("_tried"))
+    # Of the handlers that fit a path, the first for each label and the first for any: calls carry no more.
+    of_label = hits.where(wants).select(path, "id", F.explode("wanted").alias("_label")).where("_label IS NOT NULL")
+    of_any = hits.where(~wants).select(path, "id", F.lit(None).cast("string").alias("_label"))
+    per_path = (of_label.unionByName(of_any).groupBy(path, "_label").agg(F.min("id").alias("id"))
+                .groupBy(path).agg(F.array_sort(F.collect_list(F.struct("id", "_label"))).alias("_tried")))
     plain = known.where("pattern IS NULL OR pattern = ''")
     by_label = (plain.where(wants).select("ord", F.explode("wanted").alias("_label")).groupBy("_label")
                 .agg(F.min("ord").alias("_ord")))
@@ -320,8 +324,8 @@ def handler_by_table(df: DataFrame, handlers: DataFrame, path: str = "path",
     per_set = (sets.select("_set", F.explode("_set").alias("_label")).join(by_label, "_label")
                .groupBy("_set").agg(F.min("_ord").alias("_by_label")))
     always = plain.where(~wants).agg(F.min("ord")).first()[0]
-    fits = F.filter("_tried", lambda t: (F.coalesce(F.size(t["wanted"]), F.lit(0)) <= 0)
-                    | F.coalesce(F.arrays_overlap(t["wanted"], F.col(labels)), F.lit(False)))
+    fits = F.filter("_tried", lambda t: t["_label"].isNull()
+                    | F.coalesce(F.array_contains(F.col(labels), t["_label"]), F.lit(False)))
     least = F.array_min(F.array(F.get(fits, 0)["id"], F.col("_by_label"), F.lit(always).cast("int")))
     return (df.join(per_path, path, "left").withColumn("_set", F.array_sort(labels)).join(per_set, "_set", "left")
             .withColumn("ord", least).drop("_tried", "_set", "_by_label")

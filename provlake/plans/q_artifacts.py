@@ -79,10 +79,13 @@ def part_rules(spark, sf):
             THEN 'internal,pii,regulated' ELSE 'internal,pii' END ELSE 'public,regulated' END AS l
         FROM fx_hit GROUP BY path) h ON h.path = c.path""", I.DUCK_PATHS + ", " + _DUCK_PARTS))
 def classify_large_table(spark, sf):
-    """One rule for every part over the paths of all calls."""
-    out = A.classify_by_table(view(spark, sf, "fx_call").select("event_id", "path"), part_rules(spark, sf), ["event_id"])
-    return out.select("event_id", F.array_join("matched_rules", ",").alias("rules"),
-                      L.text(F.col("labels")).alias("labels"))
+    """One rule for every part over the paths of all calls. The lists of rules, long where parts are many, are
+    written once a path."""
+    calls = view(spark, sf, "fx_call").select("event_id", "path")
+    found = A.classify_by_table(calls.select("path").distinct(), part_rules(spark, sf), ["path"]).select(
+        F.col("path").alias("_path"), F.array_join("matched_rules", ",").alias("rules"),
+        L.text(F.col("labels")).alias("labels"))
+    return calls.join(found, F.col("path").eqNullSafe(F.col("_path"))).select("event_id", "rules", "labels")
 
 
 @query("c_02_rule_table", duck(["fx_call"], f"""

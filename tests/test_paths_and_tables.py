@@ -192,3 +192,20 @@ def test_candidates_in_several_passes(spark, monkeypatch):
         assert sorted(four) == sorted((f, t, c) for f, t in {w[:2] for w in want}
                                       for c in sorted(w[2] for w in want if w[:2] == (f, t))[:4])
     assert K.candidates(files.limit(0), corpus).collect() == []
+
+
+def test_a_call_meets_one_handler_a_label_not_all_that_fit(spark):
+    """A thousand handlers fit one path; what calls are joined with holds a few entries."""
+    handlers = spark.createDataFrame(
+        [(i, f"h{i}", [["pii"], ["regulated", None], None, [None]][i % 4], "roster_[0-9]") for i in range(6, 1006)]
+        + [(2, "first", ["credential"], "roster"), (5, "plain", ["public"], None)],
+        "ord int, id string, labels array<string>, pattern string")
+    calls = spark.createDataFrame(
+        [(1, "/hr/roster_1", ["pii"]), (2, "/hr/roster_1", ["regulated"]), (3, "/hr/roster_1", []), (4, "/hr/roster_1", None),
+         (5, "/hr/roster_1", ["credential", "pii"]), (6, "/hr/roster_1", ["public"]), (7, None, ["pii"]), (8, "/x", ["pii"])],
+        "n int, path string, labels array<string>")
+    out = A.handler_by_table(calls, handlers)
+    assert {r["n"]: r["handler"] for r in out.collect()} == {
+        1: "h6", 2: "h6", 3: "h6", 4: "h6", 5: "first", 6: "plain", 7: None, 8: None}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"collect_list\(\w*struct\(id, id#\d+, wanted", plan)
