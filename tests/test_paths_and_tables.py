@@ -209,3 +209,23 @@ def test_a_call_meets_one_handler_a_label_not_all_that_fit(spark):
         1: "h6", 2: "h6", 3: "h6", 4: "h6", 5: "first", 6: "plain", 7: None, 8: None}
     plan = out._jdf.queryExecution().analyzed().toString()
     assert not re.search(r"collect_list\(\w*struct\(id, id#\d+, wanted", plan)
+
+
+def test_a_text_with_many_hits_sends_them_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(literals, "MOST_HITS", 5)
+    words = [f"w{i:02d}" for i in range(23)]
+    texts = spark.createDataFrame([("a", " ".join(words)), ("b", "w00 w22"), ("c", None)], "hit string, text string")
+    known = spark.createDataFrame([(w,) for w in words], "low string")
+    found = literals.scan(texts, known)
+    assert sorted(map(tuple, found.collect())) == sorted([(w, "a") for w in words] + [("w00", "b"), ("w22", "b")])
+
+
+def test_a_scan_of_many_short_rows_is_spread_by_rows(spark, monkeypatch, tmp_path):
+    from provlake import session
+
+    spark.range(40_000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    monkeypatch.setattr(session, "UNCOUNTED", 0)
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    out = session.spread(spark.read.parquet(str(tmp_path / "t.parquet")))
+    assert out.rdd.getNumPartitions() == 40
+    assert out.count() == 40_000
