@@ -3,10 +3,12 @@
 ``operators.policy.decide`` unrolls a small policy set into one expression. Here policies are rows.
 Every condition becomes a row too, and calls are reduced to *situations* first: the values of the
 context paths, where numbers only matter by their place among the bounds that conditions name.
-Situations are few, whatever the number of calls. Their values meet the conditions in equi-joins
-(equality, membership, elements), in joins on sorted bounds, or through the literal index
-(substrings and patterns); a policy fires in a situation that meets all its positive conditions and
-violates none of its negative ones. Decisions go back to the calls by the situation.
+Situations are few, whatever the number of calls. Their values meet the distinct tests of the
+conditions in equi-joins (equality, membership, elements), in joins on sorted bounds, or through the
+literal index (substrings and patterns). Situations are taken in blocks of 64, so that those meeting a
+test, a condition or a policy are the bits of one long; a policy fires in a situation that meets all
+its positive conditions and violates none of its negative ones. Only policies that fire, or are in
+scope where that is asked for, become rows of a situation. Decisions go back to the calls by the situation.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from provlake.session import cut_lineage
 
 #: Different numbers that conditions may compare one context path with.
 MOST_BOUNDS = 1 << 16
+#: Situations of a block: the bits of a long.
+BLOCK = 64
 #: Scope is matched like a condition.
 ACTION, POSTURE = "@action", "@posture"
 _NEGATED = {"ne": "eq", "is_false": "is_true"}
@@ -113,17 +117,31 @@ def situations(df: DataFrame, action: Column, posture: Column, context: dict[str
     return df.withColumn("_situation", F.to_json(F.struct(*fields)) if fields else F.lit("{}")), kinds
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once, with a number of each row that stays as it is."""
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (at % BLOCK).cast("int"))
+
+
+def _bits(mask: Column) -> Column:
+    """The places of the bits that are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.getbit(mask, i) == 1)
+
+
 def _met(found: DataFrame, known: DataFrame, kinds: dict[str, str], bounds: dict[str, list[float]]) -> DataFrame:
-    """(_situation, ord, no, negative): the conditions met in each of the distinct situations."""
+    """(_block, test, mask): the tests met in each block of situations, and by which of them."""
     body = F.from_json("_situation", "map<string,string>")
     kind = F.coalesce(F.get(F.from_json(F.lit(json.dumps({k: [v] for k, v in kinds.items()})),
                                         "map<string,array<string>>")[F.col("path")], 0), F.lit("none"))
     # One row per situation and named path, with a null value where the path has none.
-    named = found.select("_situation", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), body[
-        p.replace(".", "/")].alias("value")) for p in kinds])).alias("v")).select("_situation", "v.*") if kinds else (
-        found.select("_situation", F.lit("").alias("path"), F.lit(None).cast("string").alias("value")).limit(0))
+    named = found.select("_s", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), body[
+        p.replace(".", "/")].alias("value")) for p in kinds])).alias("v")).select("_s", "v.*") if kinds else (
+        found.select("_s", F.lit("").alias("path"), F.lit(None).cast("string").alias("value")).limit(0))
     values = named.select("path", "value").distinct().withColumn("kind", kind)
-    key = ["path", "value", "ord", "no", "negative"]
+    key = ["path", "value", "test"]
     known = known.withColumn("kind", kind)
     # Numbers are compared by their places, text and flags as they are written.
     at = F.from_json(F.lit(json.dumps({p: {json.dumps(x): 2 * i + 1 for i, x in enumerate(b)}
@@ -132,7 +150,7 @@ def _met(found: DataFrame, known: DataFrame, kinds: dict[str, str], bounds: dict
         F.try_element_at(at, F.col("path")), F.col("item")).cast("string")).otherwise(F.col("item")))
     equal = placed.where("op = 'eq' AND item IS NOT NULL").join(
         values.where("kind <> 'array'").select("path", F.col("value").alias("operand")), ["path", "operand"]).select(
-        "path", F.col("operand").alias("value"), "ord", "no", "negative")
+        "path", F.col("operand").alias("value"), "test")
     null = known.where("op = 'eq' AND item IS NULL").join(values.where("value IS NULL").select("path", "value"), "path")
     v, o = F.col("value").cast("int"), F.col("operand").cast("int")
     ordered = placed.where(F.col("op").isin(*_ORDERED) & (F.col("kind") == "number")).join(
@@ -160,16 +178,55 @@ def _met(found: DataFrame, known: DataFrame, kinds: dict[str, str], bounds: dict
         all_met = all_met.unionByName(part.select(*key))
     # A null value met its condition by path alone.
     return named.join(all_met.distinct().withColumnRenamed("path", "_p").withColumnRenamed("value", "_v"),
-                      (F.col("path") == F.col("_p")) & F.col("value").eqNullSafe(F.col("_v"))).select(
-        "_situation", "ord", "no", "negative")
+                      (F.col("path") == F.col("_p")) & F.col("value").eqNullSafe(F.col("_v"))).groupBy(
+        F.floor(F.col("_s") / BLOCK).alias("_block"), "test").agg(F.bit_or(_bit(F.col("_s"))).alias("mask"))
+
+
+def _masks(found: DataFrame, known: DataFrame, kinds: dict[str, str], bounds: dict[str, list[float]],
+           policies: DataFrame) -> DataFrame:
+    """(_block, ord, in_scope, fires): where policies are in scope and where they fire, as bits; those
+    in scope nowhere in a block are left out."""
+    test = ["path", "op", "item"]
+    tests = _numbered(known.select(*test).distinct(), "test")
+    met = cut_lineage(_met(found, tests, kinds, bounds))
+    scoped = known.where(F.col("path").isin(ACTION, POSTURE)).select("ord", "no").distinct().withColumn(
+        "scoped", F.lit(True))
+    wants = policies.select("ord").join(known.groupBy("ord").agg(
+        F.count_distinct(F.when(~F.col("negative"), F.col("no"))).alias("n"),
+        F.count_distinct(F.when(F.col("path").isin(ACTION, POSTURE), F.col("no"))).alias("n_scope")), "ord", "left").select(
+        "ord", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_scope", F.lit(0)).alias("n_scope"))
+    t = tests.select("test", *[F.col(c).alias(f"_{c}") for c in test])
+    asked = known.join(t, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in test]).select(
+        "test", "ord", "no", "negative").join(scoped, ["ord", "no"], "left")
+    mask, positive = F.col("mask"), ~F.col("negative")
+    have = (asked.join(met, "test").groupBy("_block", "ord", "no", "negative", "scoped")
+            .agg(F.bit_or("mask").alias("mask")).groupBy("_block", "ord").agg(
+        F.count_if(positive).alias("have"), F.bit_and(F.when(positive, mask)).alias("all"),
+        F.bit_or(F.when(~positive, mask)).alias("broken"), F.count("scoped").alias("have_scope"),
+        F.bit_and(F.when(F.col("scoped"), mask)).alias("all_scope")))
+    blocks = found.groupBy(F.floor(F.col("_s") / BLOCK).alias("_block")).agg(
+        F.bit_or(_bit(F.col("_s"))).alias("whole"))
+    # Policies without a scope are evaluated in every situation; the others where theirs is met.
+    free = wants.where("n_scope = 0").select("ord").distinct()
+    rows = have.select("_block", "ord").unionByName(blocks.select("_block").crossJoin(free)).distinct().join(
+        have, ["_block", "ord"], "left").join(wants, "ord").join(blocks, "_block")
+
+    def met_all(n: str, have: str, bits: str) -> Column:
+        return F.when(F.col(n) == 0, F.col("whole")).when(F.col(have) == F.col(n), F.col(bits)).otherwise(0)
+
+    return rows.withColumn("in_scope", met_all("n_scope", "have_scope", "all_scope")).where("in_scope <> 0").select(
+        "_block", "ord", "in_scope", F.col("in_scope").bitwiseAND(met_all("n", "have", "all")).bitwiseAND(
+            F.bitwise_not(F.coalesce("broken", F.lit(0).cast("long")))).alias("fires"))
 
 
 def decide_by_table(df: DataFrame, action: Column, posture: Column, context: dict[str, Column],
-                    policies: DataFrame) -> DataFrame:
+                    policies: DataFrame, derived: dict[str, Column] | None = None) -> DataFrame:
     """P-02 for policy tables of any size: the columns that ``operators.policy.decide`` adds.
 
     A condition on a path outside ``context`` sees it as null. A number compared with a text path, a
-    pattern on a number or an order on text never holds.
+    pattern on a number or an order on text never holds. ``derived`` are columns over the decision's
+    that are worked out once a situation, not once a call: ``counterfactual`` names every overridden
+    policy, so it is as long as the table.
     """
     odd = policies.where(~F.col("effect").isin(*vocab.EFFECT_PRECEDENCE)).select("id", "effect").first()
     if odd:
@@ -179,46 +236,37 @@ def decide_by_table(df: DataFrame, action: Column, posture: Column, context: dic
     paths = {r[0] for r in known.select("path").distinct().collect()}
     absent = {p: F.lit(None).cast("string") for p in paths if p not in context and not p.startswith("@")}
     df, kinds = situations(df, action, posture, {**context, **absent}, bounds, paths)
-    found = cut_lineage(df.select("_situation").distinct())
-    met = cut_lineage(_met(found, known, kinds, bounds).distinct())
-    scope = [ACTION, POSTURE]
-    wants = policies.select("ord").join(known.groupBy("ord").agg(
-        F.count_distinct(F.when(~F.col("negative"), F.col("no"))).alias("n"),
-        F.count_distinct(F.when(F.col("path").isin(*scope), F.col("no"))).alias("n_scope")), "ord", "left").select(
-        "ord", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_scope", F.lit(0)).alias("n_scope"))
-    scoped = known.where(F.col("path").isin(*scope)).select("ord", "no").distinct().withColumn("in_scope", F.lit(1))
-    have = met.join(scoped, ["ord", "no"], "left").groupBy("_situation", "ord").agg(
-        F.count_if(~F.col("negative")).alias("have"), F.count_if(F.col("negative")).alias("broken"),
-        F.count("in_scope").alias("have_scope"))
-    # Policies without a scope are evaluated in every situation; the others where theirs is met.
-    free = [r[0] for r in wants.where("n_scope = 0").select("ord").collect()]
-    tried = have.select("_situation", "ord").unionByName(found.select(
-        "_situation", F.explode(F.lit(free).cast("array<int>")).alias("ord"))).distinct()
-    rows = tried.join(have, ["_situation", "ord"], "left").na.fill(0, ["have", "broken", "have_scope"]).join(wants, "ord")
+    found = _numbered(df.select("_situation").distinct(), "_s")
     names = policies.select("ord", "id", "effect", "priority")
     prec = F.get(F.from_json(F.lit(json.dumps({k: [v] for k, v in vocab.EFFECT_PRECEDENCE.items()})),
                              "map<string,array<int>>")[F.col("effect")], 0)
-    rows = rows.where("have_scope = n_scope").join(names, "ord").withColumn("prec", prec)
-    fires = (F.col("have") == F.col("n")) & (F.col("broken") == 0)
-    entry = F.struct("prec", "priority", (-F.col("ord")).alias("ord"), "id")
-    decided = rows.groupBy("_situation").agg(
-        F.max(F.when(fires, entry)).alias("_win"),
-        F.array_sort(F.collect_list(F.struct("ord", "id", "prec", fires.alias("fires")))).alias("_all"))
+    rows = cut_lineage(_masks(found, known, kinds, bounds, policies))
+
+    def expanded(bits: str) -> DataFrame:
+        return rows.where(F.col(bits) != 0).join(names, "ord").select(
+            "_block", F.explode(_bits(F.col(bits))).alias("_at"), "ord", "id", "priority", prec.alias("prec")).select(
+            (F.col("_block") * BLOCK + F.col("_at")).alias("_s"), "ord", "id", "priority", "prec")
+
     win = F.col("_win")
-    over = F.transform(F.filter("_all", lambda x: x["fires"] & (x["prec"] < win["prec"])), lambda x: x["id"])
+    fired = expanded("fires").groupBy("_s").agg(
+        F.max(F.struct("prec", "priority", (-F.col("ord")).alias("ord"), "id")).alias("_win"),
+        F.array_sort(F.collect_list(F.struct("ord", "id", "prec"))).alias("_fired"))
+    tried = expanded("in_scope").groupBy("_s").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("_all")).select("_s", F.col("_all.id").alias("evaluated"))
+    over = F.transform(F.filter("_fired", lambda x: x["prec"] < win["prec"]), lambda x: x["id"])
     effect = F.element_at(F.array(F.lit("permit"), F.lit("ask"), F.lit("forbid")), win["prec"])
     texts = policies.select("ord", "reason", "guidance")
     none = F.array().cast("array<string>")
-    decided = decided.withColumn("ord", -win["ord"]).join(texts, "ord", "left").select(
-        "_situation", win["prec"].alias("_prec"), win["id"].alias("_id"), "reason", "guidance",
-        F.col("_all.id").alias("evaluated"),
-        F.when(F.size(over) > 0, F.concat(F.lit("would have been "), F.array_join(over, ", "), F.lit(" but "), effect,
-                                          F.lit(" overrides"))).otherwise("").alias("counterfactual"))
-    prec = F.col("_prec")
-    return df.join(decided, "_situation", "left").withColumns({
-        "outcome": F.when(prec == 3, "deny").when(prec == 2, "ask").when(prec == 1, "allow").otherwise("deny"),
-        "determining_policy": F.coalesce("_id", F.lit(vocab.DEFAULT_DENY_ID)),
-        "reason": F.when(prec.isNull(), vocab.DEFAULT_DENY_REASON).otherwise(F.coalesce("reason", F.lit(""))),
-        "guidance": F.coalesce("guidance", F.lit("")),
-        "evaluated": F.coalesce("evaluated", none),
-        "counterfactual": F.coalesce("counterfactual", F.lit(""))}).drop("_situation", "_prec", "_id")
+    decided = fired.withColumn("ord", -win["ord"]).join(texts, "ord", "left").select(
+        "_s", win["prec"].alias("_prec"), win["id"].alias("_id"), "reason", "guidance", F.array_join(over, ", ").alias("_over"),
+        F.size(over).alias("_n"), effect.alias("_effect"))
+    p = F.col("_prec")
+    decided = found.join(decided, "_s", "left").join(tried, "_s", "left").select(
+        "_situation", F.when(p == 3, "deny").when(p == 2, "ask").when(p == 1, "allow").otherwise("deny").alias("outcome"),
+        F.coalesce("_id", F.lit(vocab.DEFAULT_DENY_ID)).alias("determining_policy"),
+        F.when(p.isNull(), vocab.DEFAULT_DENY_REASON).otherwise(F.coalesce("reason", F.lit(""))).alias("reason"),
+        F.coalesce("guidance", F.lit("")).alias("guidance"), F.coalesce("evaluated", none).alias("evaluated"),
+        F.when(F.col("_n") > 0, F.concat(F.lit("would have been "), F.col("_over"), F.lit(" but "), F.col("_effect"),
+                                         F.lit(" overrides"))).otherwise("").alias("counterfactual"))
+    added = [c for c in decided.columns if c != "_situation"]
+    return df.drop(*added).join(decided.withColumns(derived or {}), "_situation", "left").drop("_situation")

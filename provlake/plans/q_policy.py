@@ -148,10 +148,14 @@ fx_fire AS (SELECT event_id, ord, id, prec, prec * 1000000000000::bigint + prior
 def decision_by_table(spark, sf):
     """One policy for every part."""
     parts = spark.sql(_PART_POLICIES, part=table(spark, sf, "part"))
-    out = M.decide_by_table(_state(spark, sf), F.col("op"), F.col("posture"), P.call_context(), parts)
-    over = F.regexp_count("counterfactual", F.lit("part#")).cast("long")
-    return out.select("event_id", "outcome", "determining_policy", "reason", over.alias("overridden"),
-                      F.sha2("counterfactual", 256).alias("counterfactual_sha256"))
+    read = ["event_id", "op", "posture", "taint", "taint_depth", "artifacts_touched", "since_last_egress", "classified",
+            "labels", "first_touch", "is_ledger", "is_egress", "is_write", "is_own_binary"]
+    # The state is read twice: for the situations and for the calls that are in them.
+    state = cut_lineage(_state(spark, sf).select(*read))
+    return M.decide_by_table(state, F.col("op"), F.col("posture"), P.call_context(), parts, {
+        "overridden": F.regexp_count("counterfactual", F.lit("part#")).cast("long"),
+        "counterfactual_sha256": F.sha2("counterfactual", 256)}).select(
+        "event_id", "outcome", "determining_policy", "reason", "overridden", "counterfactual_sha256")
 
 
 @query("p_03_policy_pin", duck(["fx_call"], f"""

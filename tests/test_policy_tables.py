@@ -84,3 +84,21 @@ def test_no_calls(spark):
     out = M.decide_by_table(calls(spark).limit(0), F.col("action"), F.col("posture"), context(),
                             P.policy_table(spark, policies(5)))
     assert out.collect() == []
+
+
+def test_derived_columns_cost_once_a_situation(spark):
+    tried = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def length(text):
+        tried.add(1)
+        return len(text)
+
+    few = calls(spark)
+    situations = few.drop("n").distinct().count()
+    many = few.crossJoin(spark.range(40)).drop("id")
+    a, p = F.col("action"), F.col("posture")
+    got = M.decide_by_table(many, a, p, context(), P.policy_table(spark, policies(200)), {"long": length("counterfactual")})
+    rows = got.select("n", "counterfactual", "long").collect()
+    assert len(rows) == 40 * few.count() and all(r["long"] == len(r["counterfactual"]) for r in rows)
+    assert situations > M.BLOCK and tried.value <= situations
