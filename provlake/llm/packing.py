@@ -10,6 +10,7 @@ documents of their own. Only the columns named are read.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import WordIndex, gapless, lean
+from provlake.llm.common import WordIndex, gapless, lean, release
 from provlake.session import cut_lineage
 
 LONGEST = 2048
@@ -72,16 +73,22 @@ class WordCache:
     The tokenizer splits text before it merges, and a space before a visible character always
     begins a part of its own. So a text is cut at such spaces and the parts' ids are joined.
     Texts with a special token, or with spaces where a cut would not be safe, are encoded as they
-    are by the tokenizer itself.
+    are by the tokenizer itself, which is loaded once one comes.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.fast, self.special = _fast(path) or (None, ())
+        # What was read of the file is given back before texts come.
+        release()
         self._forget()
 
+    @functools.cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.words = {"": WordIndex(), " ": WordIndex()}
         self.tokens = {k: (array("q", [0]), array("I")) for k in self.words}

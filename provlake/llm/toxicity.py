@@ -144,11 +144,15 @@ def _fit(share: float | None):
         if (y == 1).sum() < 2 or (y == 0).sum() < 2:
             return {"prior": float(share or 0.0)}
         bags = Bags()
-        found = [bags.counts(t) for t in rows["text"]]
-        ids = np.concatenate([f[0] for f in found])
-        value = np.log2(1 + np.concatenate([f[1] for f in found]))
-        owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        bucket, col = np.unique(ids, return_inverse=True)
+        # The features take single precision; what lies beside them is kept as narrow and no longer.
+        found, values = [], []
+        for ids, count in map(bags.counts, rows["text"]):
+            found.append(ids)
+            values.append(np.log2(1 + count).astype(np.float32))
+        owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
+        bucket, col = np.unique(np.concatenate(found), return_inverse=True)
+        col, value = col.astype(np.int32), np.concatenate(values)
+        del found, values
         # Weights give the classes the shares that they have among all labels.
         wanted = share if share is not None and 0 < share < 1 else y.mean()
 

@@ -343,6 +343,13 @@ def test_words_are_tokenized_as_the_tokenizer_does():
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_the_tokenizer_is_loaded_once_a_text_needs_it():
+    cache = packing.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(len(ids) for ids in cache.ids(["plain words", "and, some. more"])) and "tokenizer" not in vars(cache)
+    assert [len(ids) for ids in cache.ids(["<|endoftext|>"])] == [
+        len(cache.tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids)]
+
+
 def _jaccard(a, b):
     a, b = collections.Counter(a.split()), collections.Counter(b.split())
     union = sum((a | b).values())
