@@ -309,7 +309,9 @@ def call_facts(calls: DataFrame, path_args: list[str] = ("file_path",),
     df = df.withColumn("classified_inputs", labelled).withColumn(
         "_worst", F.array_max(ranked)["ref"])
     canon = F.col("_worst")["canonical_path"]
-    return (df.where(F.col("_worst").isNotNull() | F.col("is_egress"))
+    # A plain filter would be pushed down to the scan, before its rows are spread, and search every path twice.
+    keep = F.when(F.col("_worst").isNotNull() | F.col("is_egress"), F.array(F.lit(True)))
+    return (T.unnest(df, keep, ["*"], "_kept", "_at").drop("_kept", "_at")
             .withColumns({
                 "op": op_for(F.col("tool"), F.col("is_egress")),
                 "is_write": F.col("tool").isin(*vocab.WRITE_TOOLS),
@@ -368,6 +370,7 @@ def replay(facts: DataFrame, policies: list[Policy] | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, head, held, digest = None, {}, set(), _START
+        ready = pointwise.ready(policies)
         for b in batches:
             out = []
             for r in b.to_pylist():
@@ -375,7 +378,7 @@ def replay(facts: DataFrame, policies: list[Policy] | None = None,
                     session, held, digest = r["session_id"], set(), _START
                     head = {"labels": ["public"], "depth": 0, "touched": 0, "since": 0}
                 has = r["artifact_id"] in held
-                outcome, policy, was = pointwise.call(policies, protect_ledger, head, has, r)
+                outcome, policy, was = pointwise.call(ready, protect_ledger, head, has, r)
                 out.append((session, r["seq"], r["op"], r["artifact_id"], outcome, policy, was,
                             head["labels"], head["depth"], head["touched"], head["since"],
                             bool(r["classified"]) and not has, digest))
