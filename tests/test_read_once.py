@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provlake import vocab
 from provlake.functions import pointwise
+from provlake.operators import export as X
 from provlake.operators import policy as P
 from provlake.operators import validate as V
 from provlake.sources import ledger as S
@@ -50,3 +51,27 @@ def test_ready_policies_decide_as_given_ones():
     assert pointwise.ready(ready) is ready
     got = [pointwise.decide(ready, "x", "bar", {"n": n}) for n in (0, 1, 2, 6, None)]
     assert got == [("allow", "a"), ("ask", "c"), ("ask", "b"), ("deny", "d"), ("allow", "a")]
+
+
+def test_refs_keep_what_a_json_parser_gives(spark):
+    used = ['[{"artifact_id":"a","path":"é","labels":["x","y"]},{"digest":""}]', "[]", '[{"labels":[]}]', '{"artifact_id":"one"}',
+            '[{"artifact_id":7,"path":null,"labels":["x",1]}]', '[{"path":"q\\"q"}]', '"none"', "null", "[1]", '[{"path":["l"]}]']
+    rows = [(i, f'{{"predicate":{{"resources":{{"used":{u}}}}}}}') for i, u in enumerate(used)]
+    rows += [(90, '{"predicate":{"resources":{}},"resources":{"used":[{"path":"flat"}]}}'),
+             (91, '{"predicate":{"resources":{"generated":[]}},"resources":{"used":[{"path":"hidden"}]}}'), (92, "{}")]
+    df = spark.createDataFrame(rows, "seq long, raw string").select("seq", F.lit("L").alias("ledger_id"), F.parse_json("raw").alias("body"))
+    got = {r.seq: r.used for r in X.export_view(df).select("seq", "used").collect()}
+    want = spark.createDataFrame([(i, u) for i, u in enumerate(used)], "seq long, u string").select(
+        "seq", F.coalesce(F.from_json(F.to_json(F.parse_json("u")), X.REFS), F.array().cast(X.REFS)).alias("used")).collect()
+    for r in want:
+        assert got[r.seq] == r.used, used[r.seq]
+    assert [x.path for x in got[90]] == ["flat"] and got[91] == [] and got[92] == []
+
+
+def test_a_case_graph_reads_its_records_twice_at_most(spark):
+    body = '{"record":{"id":"r"},"resources":{"used":[{"artifact_id":"a","path":"p"}]}}'
+    df = spark.createDataFrame([("L", 1, body)], "ledger_id string, seq long, raw string").select(
+        "ledger_id", "seq", F.parse_json("raw").alias("body"))
+    graph = X.case_graph(X.export_view(df))
+    assert plan(graph).lower().count("parsejson(raw") <= 2 and plan(graph).count("LogicalRDD") <= 2
+    assert sorted(r.id for r in graph.collect()) == ["kb:artifact-a", "kb:custody-r", "kb:evidence-r"]
