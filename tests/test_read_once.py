@@ -8,6 +8,7 @@ from provlake import vocab
 from provlake.functions import pointwise
 from provlake.operators import export as X
 from provlake.operators import policy as P
+from provlake.operators import taint as T
 from provlake.operators import validate as V
 from provlake.sources import ledger as S
 
@@ -75,3 +76,21 @@ def test_a_case_graph_reads_its_records_twice_at_most(spark):
     graph = X.case_graph(X.export_view(df))
     assert plan(graph).lower().count("parsejson(raw") <= 2 and plan(graph).count("LogicalRDD") <= 2
     assert sorted(r.id for r in graph.collect()) == ["kb:artifact-a", "kb:custody-r", "kb:evidence-r"]
+
+
+def test_running_state_makes_its_effects_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ref = "[{'artifact_id': 'a', 'path': 'p', 'labels': ['confidential']}]"
+    given = spark.range(3).selectExpr("'s' AS session_id", "id AS seq", "'artifact.read' AS op", f"from_json(\"{ref}\", '{T.REF}') AS used",
+                                      f"cast(array() AS {T.REF}) AS generated", "cast(null AS string) AS declassified")
+    effects = given.mapInArrow(counted, given.schema)
+    asked = spark.range(3).selectExpr("'s' AS session_id", "id AS seq", "'a' AS artifact_id")
+    got = {r.seq: (r.taint_depth, r.artifacts_touched, r.first_touch) for r in T.running_state(effects, asked).collect()}
+    assert got == {0: (0, 0, True), 1: (1, 1, False), 2: (1, 2, False)}
+    assert seen.value == 3
