@@ -1,6 +1,7 @@
 """Cases that showed a defect once, and plain recomputations of learned scores."""
 
 import collections
+import hashlib
 import itertools
 import random
 
@@ -9,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from provlake.llm import chat, common, language, mixing, quality, toxicity
+from provlake.llm import chat, common, fingerprint, language, mixing, quality, toxicity
 
 
 def test_large_conversation_ids_beside_a_null_one(spark):
@@ -161,3 +162,60 @@ def test_mixed_rows_are_shuffled_in_their_shards(spark):
     for _, g in mixed.groupby("_shard"):
         assert g.source.nunique() > 3 and not g.doc_id.dropna().is_monotonic_increasing
     d.unpersist()
+
+
+# ── fingerprints ────────────────────────────────────────────────────────────────────────────
+def _plain_fingerprint(text, n=fingerprint.SAMPLES):
+    """Word by word, all samples of all words, without what the operator remembers."""
+    best = []
+    for word, times in collections.Counter(text.split()).items():
+        h = fingerprint._hashes([word])
+        best.append((fingerprint.samples(h, np.array([float(times)]), n)[0], h[0], times))
+    if not best:
+        return np.zeros(n, np.uint16)
+    pick = np.array([b[0] for b in best]).argmin(0)
+    return fingerprint.drawn(np.array([[best[p][1] for p in pick]], np.uint64),
+                             np.array([[best[p][2] for p in pick]]))[0]
+
+
+def test_edited_texts_take_the_words_of_their_documents():
+    rng, sampler = random.Random(2), fingerprint.Sampler(8)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab  \u3000\n") for _ in range(rng.randrange(12))) for _ in range(2))
+        i, j = rng.randrange(len(a) + 1), rng.randrange(len(b) + 1)
+        of_a, of_b = sampler.ids([a, b])
+        assert sampler.joined(a[:i], of_a, b[:j], of_b).tolist() == sampler.ids([a[:i] + b[:j]])[0].tolist()
+
+
+def test_words_are_worked_out_once_and_without_t_where_they_come_once(monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice([f"w{rng.randrange(900)}", "the", "of"]) for _ in range(rng.randrange(200)))
+             for _ in range(60)] + ["", " ", "x", "x x x"]
+    want = np.array([_plain_fingerprint(t) for t in texts])
+    asked, real = collections.Counter(), fingerprint.samples
+
+    def counted(word_hash, weight, n):
+        asked.update((int(h), 1 if weight is None else int(weight[i])) for i, h in enumerate(word_hash))
+        assert weight is None or (weight > 1).all()
+        return real(word_hash, weight, n)
+    monkeypatch.setattr(fingerprint, "samples", counted)
+    sampler = fingerprint.Sampler()
+    assert (sampler.of_ids(sampler.ids(texts)) == want).all()
+    assert all((sampler(t) == w).all() for t, w in zip(texts, want, strict=True))
+    assert max(asked.values()) == 1
+
+
+def test_fingerprints_of_more_rows_than_are_sampled_at_once(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(rng.randrange(40)))
+             for _ in range(4 * fingerprint.ROWS + 3)]
+    docs = spark.createDataFrame([(3 * i, t or None) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = fingerprint.fingerprints(docs.repartition(5)).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in got] == [3 * i for i in range(len(texts))]
+    for r, a, b in zip(got, texts, texts[1:] + texts[:1], strict=True):
+        half = len(a) // 2
+        edited = a[:len(a) - half] + b[:half]
+        own, e, after = map(_plain_fingerprint, (a, edited, b))
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprint.written(own), fingerprint.written(e))
+        assert (r["near_edited"], r["near_next"]) == ((own == e).mean(), (own == after).mean())
