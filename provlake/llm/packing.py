@@ -28,8 +28,9 @@ from provlake.session import cut_lineage
 
 LONGEST = 2048
 END_ID = 1
-#: Words remembered by a task, and their characters, before it forgets all and starts anew.
-REMEMBERED = 300_000
+#: Words remembered by a task, and their characters, before it forgets all and starts anew. More
+#: would take more memory in every worker and, as they leave a core's cache, more time.
+REMEMBERED = 100_000
 REMEMBERED_CHARS = 16_000_000
 #: White space before and after a space (or a space that ends the text after white space): there
 #: the tokenizer's own split may not fall on the space, so such a text is encoded as a whole.

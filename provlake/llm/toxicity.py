@@ -149,6 +149,7 @@ def _fit(share: float | None):
         for ids, count in map(bags.counts, rows["text"]):
             found.append(ids)
             values.append(np.log2(1 + count).astype(np.float32))
+        del bags
         owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
         bucket, col = np.unique(np.concatenate(found), return_inverse=True)
         col, value = col.astype(np.int32), np.concatenate(values)
@@ -156,30 +157,34 @@ def _fit(share: float | None):
         # Weights give the classes the shares that they have among all labels.
         wanted = share if share is not None and 0 < share < 1 else y.mean()
 
+        def features(use: np.ndarray, keep: np.ndarray) -> np.ndarray:
+            """The kept columns of some of the texts: the largest arrays, so no more rows than needed."""
+            place = np.full(len(bucket), -1, np.int32)
+            place[keep] = np.arange(len(keep))
+            x = np.zeros((int(use.sum()), len(keep)), np.float32)
+            on = np.flatnonzero((place[col] >= 0) & use[owner])
+            x[(np.cumsum(use) - 1)[owner[on]], place[col[on]]] = value[on]
+            return x
+
         def learnt(use: np.ndarray) -> tuple:
-            """(columns, weights) from some of the texts, and the features of all."""
+            """(columns, weights) from some of the texts."""
             part = np.cumsum(use) - 1
             own = use[owner]
             keep = _chosen(part[owner[own]], col[own], y[use], len(bucket))
-            place = np.full(len(bucket), -1)
-            place[keep] = np.arange(len(keep))
-            x = np.zeros((len(y), len(keep)), np.float32)
-            on = place[col] >= 0
-            x[owner[on], place[col][on]] = value[on]
             seen = y[use].mean()
             weight = np.where(y[use] == 1, wanted / seen, (1 - wanted) / (1 - seen)) / use.sum()
-            return keep, _machine(x[use], y[use], weight.astype(np.float32)), x
+            return keep, _machine(features(use, keep), y[use], weight.astype(np.float32))
 
-        keep, (w, v, b), x = learnt(np.ones(len(y), bool))
+        keep, (w, v, b) = learnt(np.ones(len(y), bool))
         fold = rows.groupby("y").cumcount().to_numpy() % FITS
         z = np.zeros(len(y))
         for k in range(FITS):
             rest = fold != k
             if len(np.unique(y[rest])) < 2 or (fold == k).sum() == 0:
-                z[fold == k] = _logit(x[fold == k], w, v, b)[0]
+                z[~rest] = _logit(features(~rest, keep), w, v, b)[0]
                 continue
-            _, machine, other = learnt(rest)
-            z[~rest] = _logit(other[~rest].astype(float), *machine)[0]
+            kept, machine = learnt(rest)
+            z[~rest] = _logit(features(~rest, kept).astype(float), *machine)[0]
         scale = float(np.median(np.abs(z))) or 1.0
         # The machine, fitted to the classes' shares, decides at 0; the curve only says how surely.
         slope, _ = logistic(np.arcsinh(z / scale), y)

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from provlake.llm import chat, common, fingerprint, language, mixing, quality, toxicity
+from provlake.llm import chat, common, fingerprint, language, mixing, packing, quality, toxicity
 
 
 def test_large_conversation_ids_beside_a_null_one(spark):
@@ -219,3 +219,16 @@ def test_fingerprints_of_more_rows_than_are_sampled_at_once(spark):
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprint.written(own), fingerprint.written(e))
         assert (r["near_edited"], r["near_next"]) == ((own == e).mean(), (own == after).mean())
+
+
+# ── packing ─────────────────────────────────────────────────────────────────────────────────
+def test_packing_remembers_a_bounded_number_of_words():
+    import public_tokenizers
+    cache = packing.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
+    batch = 20_000
+    for k in range(8):
+        texts = [" ".join(f"q{k}x{i + j}" for j in range(100)) for i in range(0, batch, 100)]
+        ids = list(cache.ids(texts))
+        assert len(ids) == len(texts)
+        assert ids[0].tolist() == cache.tokenizer.encode(texts[0], add_special_tokens=False).ids
+        assert sum(map(len, cache.words.values())) <= 100_000 + batch
