@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BooleanType, NumericType
 from provlake import vocab
 from provlake.functions import literals
 from provlake.functions.rules import OPERATORS
-from provlake.session import cut_lineage
+from provlake.session import cut_lineage, unsized
 
 #: Different numbers that conditions may compare one context path with.
 MOST_BOUNDS = 1 << 16
@@ -119,7 +119,7 @@ def situations(df: DataFrame, action: Column, posture: Column, context: dict[str
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
     """``df``, written once, with a number of each row that stays as it is."""
-    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+    return unsized(cut_lineage(df.withColumn(name, F.monotonically_increasing_id())))
 
 
 def _bit(at: Column) -> Column:
@@ -188,7 +188,7 @@ def _masks(found: DataFrame, known: DataFrame, kinds: dict[str, str], bounds: di
     in scope nowhere in a block are left out."""
     test = ["path", "op", "item"]
     tests = _numbered(known.select(*test).distinct(), "test")
-    met = cut_lineage(_met(found, tests, kinds, bounds))
+    met = unsized(cut_lineage(_met(found, tests, kinds, bounds)))
     scoped = known.where(F.col("path").isin(ACTION, POSTURE)).select("ord", "no").distinct().withColumn(
         "scoped", F.lit(True))
     wants = policies.select("ord").join(known.groupBy("ord").agg(
@@ -231,7 +231,10 @@ def decide_by_table(df: DataFrame, action: Column, posture: Column, context: dic
     odd = policies.where(~F.col("effect").isin(*vocab.EFFECT_PRECEDENCE)).select("id", "effect").first()
     if odd:
         raise ValueError(f"{odd['id']}: unknown effect {odd['effect']!r}")
-    known = cut_lineage(conditions(policies))
+    # What grows with the table is joined by its real size: an estimate would send it all to the driver.
+    policies = unsized(cut_lineage(policies.select(
+        "ord", "id", "effect", "when_json", "reason", "actions", "postures", "guidance", "priority")))
+    known = unsized(cut_lineage(conditions(policies)))
     bounds = _bounds(known)
     paths = {r[0] for r in known.select("path").distinct().collect()}
     absent = {p: F.lit(None).cast("string") for p in paths if p not in context and not p.startswith("@")}
@@ -240,7 +243,7 @@ def decide_by_table(df: DataFrame, action: Column, posture: Column, context: dic
     names = policies.select("ord", "id", "effect", "priority")
     prec = F.get(F.from_json(F.lit(json.dumps({k: [v] for k, v in vocab.EFFECT_PRECEDENCE.items()})),
                              "map<string,array<int>>")[F.col("effect")], 0)
-    rows = cut_lineage(_masks(found, known, kinds, bounds, policies))
+    rows = unsized(cut_lineage(_masks(found, known, kinds, bounds, policies)))
 
     def expanded(bits: str) -> DataFrame:
         return rows.where(F.col(bits) != 0).join(names, "ord").select(

@@ -102,3 +102,16 @@ def test_derived_columns_cost_once_a_situation(spark):
     rows = got.select("n", "counterfactual", "long").collect()
     assert len(rows) == 40 * few.count() and all(r["long"] == len(r["counterfactual"]) for r in rows)
     assert situations > M.BLOCK and tried.value <= situations
+
+
+def test_a_small_guess_of_a_table_broadcasts_nothing(spark, tmp_path):
+    """A table that takes little room in its file is not sent to the driver by the file's size."""
+    rows = spark.range(3000).selectExpr(
+        "cast(id AS int) AS ord", "concat('p', id) AS id", "'ask' AS effect", "concat('{\"share\": ', id % 7, '.5}') AS when_json",
+        "repeat('why ', 9) AS reason", "cast(array() AS array<string>) AS actions", "cast(array() AS array<string>) AS postures",
+        "'' AS guidance", "0 AS priority")
+    rows.write.parquet(f"{tmp_path}/table")
+    table = spark.read.parquet(f"{tmp_path}/table")
+    got = M.decide_by_table(calls(spark), F.col("action"), F.col("posture"), context(), table)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["determining_policy"] for r in got.collect()} >= {"p0", "p1"}
