@@ -191,10 +191,12 @@ def seal(segments: DataFrame, files: DataFrame, sealed_at: str,
     """L-06: seals of verified segments, each naming the digest of the seal before it.
 
     ``segments(series, index, path, records, first_seq, last_seq, head_hash, refusal)`` has one
-    row per segment; ``files(path, content)`` whole segment files.  The caller leaves out what
+    row per segment; ``files(path, content)`` whole segment files, or ``files(path, file_digest)``
+    where they are large (``ledger.file_digests``).  The caller leaves out what
     ``refused_segments`` names.  Only these small rows are chained.
     """
-    digests = files.select("path", T.sha(F.col("content")).alias("file_digest"))
+    digests = files.select("path", F.col("file_digest") if "file_digest" in files.columns
+                           else T.sha(F.col("content")).alias("file_digest"))
     rows = segments.join(digests, "path").withColumns({
         "segment": F.format_string("seg-%06d", F.col("index").cast("long")),
         "sealed_at": F.lit(sealed_at)})

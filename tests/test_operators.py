@@ -1,5 +1,6 @@
 """Small literal fixtures and properties."""
 
+import gzip
 import hashlib
 import hmac
 import random
@@ -297,3 +298,36 @@ def test_drift_against_a_table_of_current_values(spark):
     tables = [spark.createDataFrame(list(d.items()), "key string, value string") for d in (Q.SUBJECT, Q.MODULES)]
     want = judged(Q.SUBJECT, Q.MODULES)
     assert judged(*tables) == want and any("changed" in r for r in want)
+
+
+def test_files_are_digested_as_they_are_in_pieces(spark, tmp_path):
+    mark = b"\xef\xbb\xbf"
+    files = {"ended": b"a\nb\n", "open": b"a\nb", "blank": b"a\n\n", "newline": b"\n", "returns": b"a\r\nb\r\n", "mark": mark,
+             "marked": mark + b"abcd\n", "marked-open": mark + b"abcd", "odd": b"{\xff\x00}\n" * 3, "inner": b"abc\n" + mark + b"\n",
+             "long": b"".join(b"%d %s\n" % (i, b"x" * (i % 700)) for i in range(9000)), "packed.gz": gzip.compress(b"a\nb\n")}
+    for name, content in files.items():
+        (tmp_path / f"ledger_id={name}").mkdir()
+        (tmp_path / f"ledger_id={name}" / f"part-{name}").write_bytes(content)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = {r.file.split("part-")[1]: r.file_digest for r in S.file_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == {name: hashlib.sha256(content).hexdigest() for name, content in files.items()}
+
+
+def test_seals_hold_no_file_in_memory(spark, tmp_path):
+    """A file is refused as one row from the reader's limit on; its digest is made all the same."""
+    S.write_jsonl(S.append(events(spark, 200)), str(tmp_path / "f"))
+    kept = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        digests = S.file_digests(spark, str(tmp_path / "f")).select(F.lit("a").alias("path"), "file_digest")
+        seg = spark.createDataFrame([("s", 0, "a", 200, 0, 199, "h")], "series string, index long, path string, records long, "
+                                    "first_seq long, last_seq long, head_hash string")
+        got = G.seal(seg, digests, "t").first()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", kept)
+    content = b"".join(p.read_bytes() for p in (tmp_path / "f").rglob("part-*"))
+    assert len(content) > 1000 and got.file_digest == hashlib.sha256(content).hexdigest()
